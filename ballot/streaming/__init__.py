@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The ensemble the package rebuilds is a sequence of batch scripts over files;
+it has no stream, watermark, window over event time or state.  Nothing is
+built here so that no behaviour is invented.  See README.md, "Not built".
+"""
