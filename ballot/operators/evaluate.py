@@ -274,16 +274,24 @@ def admission_gate(
     Output: step, model, hits_before, hits_after, admitted.
     """
     spark = df.sparkSession
+    # Every step reads the same ballots (rnk <= k of the models in play) and
+    # validation users: keep those two small inputs cached for the loop.
+    ballots_in = df.filter((F.col(RNK) <= k) & F.col(MODEL).isin(list(backbone) + list(candidates))).persist()
+    t = truth.persist()
     admitted = list(backbone)
     rows = []
-    for step, cand in enumerate(candidates, start=1):
-        res = admission_scenarios(df, weights, admitted, [cand], truth, cap=cap, k=k)
-        got = {r["scenario"]: r["hits"] for r in res.select("scenario", "hits").collect()}
-        before, after = int(got[0]), int(got[1])
-        ok = after >= before
-        rows.append((step, cand, before, after, ok))
-        if ok:
-            admitted.append(cand)
+    try:
+        for step, cand in enumerate(candidates, start=1):
+            res = admission_scenarios(ballots_in, weights, admitted, [cand], t, cap=cap, k=k)
+            got = {r["scenario"]: r["hits"] for r in res.select("scenario", "hits").collect()}
+            before, after = int(got[0]), int(got[1])
+            ok = after >= before
+            rows.append((step, cand, before, after, ok))
+            if ok:
+                admitted.append(cand)
+    finally:
+        ballots_in.unpersist()
+        t.unpersist()
     return spark.createDataFrame(
         rows, "step int, model string, hits_before long, hits_after long, admitted boolean"
     )

@@ -90,4 +90,4 @@ def attach_weights(df: DataFrame, weights: DataFrame, validate: bool = True) ->
         missing = df.select(MODEL).distinct().join(w, MODEL, "left_anti").limit(5).collect()
         if missing:
             raise ValueError(f"models without a weight: {sorted(r[0] for r in missing)}")
-    return df.join(bounded_broadcast(w), MODEL, "inner")
+    return df.join(bounded_broadcast(w, cache=True), MODEL, "inner")

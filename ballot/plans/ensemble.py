@@ -28,6 +28,7 @@ from ballot.operators.layer2 import cascade, consensus_filter, top1, union_model
 from ballot.operators.prepare import conform
 from ballot.operators.weights import cap_weights, model_weights
 from ballot.schema import BOOK, MODEL, PREDICTIONS, RAW, RNK, USER
+from ballot.session import scratch_path
 from ballot.sources.io import read_stage, write_stage, write_submission
 
 
@@ -52,9 +53,11 @@ def layer1_family(
     return _stage(out.select(*PREDICTIONS.fieldNames()), stage_path)
 
 
-def layer1_top10(preds: DataFrame, weights: DataFrame, k: int = 10, stage_path: str | None = None) -> DataFrame:
+def layer1_top10(
+    preds: DataFrame, weights: DataFrame, k: int = 10, stage_path: str | None = None, validate: bool = True
+) -> DataFrame:
     """P2: weighted fusion of the given models to a Top-10 baseline list."""
-    out = topk_fusion(preds, weights, k=k, name=f"top{k}").select(*PREDICTIONS.fieldNames())
+    out = topk_fusion(preds, weights, k=k, name=f"top{k}", validate=validate).select(*PREDICTIONS.fieldNames())
     return _stage(out, stage_path)
 
 
@@ -125,27 +128,37 @@ def full_run(
     aux: Sequence[str] = (),
     cap: int | None = None,
     k: int = 10,
+    work_dir: str | None = None,
 ) -> DataFrame:
     """P4: candidate jobs -> P1 per family -> P2 -> P3 -> O24 on test users.
 
     ``planted`` are external model lists (already conformed); generated lists
-    are added as more voters.  Output: hit@1 on the test users for every
-    Layer-2 voter and for the final picks (model = 'final').
+    are added as more voters.  Every layer is written to ``work_dir`` (default:
+    a fresh folder under ``spark.checkpoint.dir``) and read back, so each layer
+    is computed once and a lost executor recomputes from the last stage only.
+    Output: hit@1 on the test users for every Layer-2 voter and for the final
+    picks (model = 'final').
     """
+    spark = planted.sparkSession
+    base = work_dir or scratch_path(spark, "full-run")
     truth, train = temporal_holdout(interactions)
+    write_stage(truth, f"{base}/truth")
+    write_stage(train, f"{base}/train")
+    truth = spark.read.parquet(f"{base}/truth")
+    train = spark.read.parquet(f"{base}/train")
     val = truth.filter(F.col("split") == "validation").select(USER, BOOK)
     test = truth.filter(F.col("split") == "test").select(USER, BOOK)
-    generated = candidate_lists(train, items, users, k)
-    allp = union_models([planted] + generated)
-    fam_v5 = layer1_family(planted, layer1_weights, "v5", min_support=7)
+
+    allp = _stage(union_models([planted] + candidate_lists(train, items, users, k)), f"{base}/lists")
+    fam_v5 = layer1_family(allp, layer1_weights, "v5", min_support=7, stage_path=f"{base}/family_v5")
     emb = allp.filter(F.col("family") == "emb")
-    emb_w = model_weights(emb, val, k=k)
-    fam_emb = layer1_family(emb, emb_w, "emb", min_support=2)
+    fam_emb = layer1_family(emb, model_weights(emb, val, k=k), "emb", min_support=2, stage_path=f"{base}/family_emb")
     others = allp.filter(~F.col("family").isin("v5", "emb"))
-    voters = union_models([fam_v5, fam_emb, others])
-    top_w = model_weights(allp, val, k=k)
-    top10 = layer1_top10(allp, top_w, k)
+    voters = _stage(union_models([fam_v5, fam_emb, others]), f"{base}/voters")
+    top10 = layer1_top10(allp, model_weights(allp, val, k=k), k, stage_path=f"{base}/top10", validate=False)
     fv = final_vote(voters, val, users, train, aux=aux, cap=cap, top10=top10)
+    write_stage(fv.picks, f"{base}/picks")
+    picks = spark.read.parquet(f"{base}/picks")
     per_voter = hit_at_k(voters, test, 1)
-    final = hit_at_k(fv.picks, test, 1, name="final")
+    final = hit_at_k(picks, test, 1, name="final")
     return per_voter.unionByName(final).select(MODEL, "n_users", "hits", "rate")

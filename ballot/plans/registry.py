@@ -9,6 +9,7 @@ what they read back.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -331,9 +332,7 @@ def p4_full_run(c: Ctx) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: _q(fn)
-    for name, fn in sorted(globals().items())
-    if (name[:1] in ("o", "p")) and name[1:3].isdigit() and callable(fn)
+    name: _q(fn) for name, fn in sorted(globals().items()) if re.match(r"^[op]\d+_", name) and callable(fn)
 }
 
 __all__ = ["QUERIES", "Ctx", "PREDICTIONS", "WEIGHTS"]
