@@ -194,7 +194,7 @@ def admission_scenarios(
     """
     spark = df.sparkSession
     bb = df.filter(F.col(MODEL).isin(list(backbone)))
-    bb_votes = weighted_vote(bb, weights, k=k)
+    bb_votes = weighted_vote(bb, weights, k=k, validate="lazy")
     bb_top = top1(bb_votes).select(USER, F.col(BOOK).alias("_b0"))
     t = truth.select(USER, F.col(BOOK).alias("_truth"))
     n = scalar_count(truth).cast("long")
@@ -202,7 +202,7 @@ def admission_scenarios(
     cw = weights.filter(F.col(MODEL).isin(list(candidates)))
     if cap is not None:
         cw = cw.withColumn(WEIGHT, F.least(F.col(WEIGHT), F.lit(cap)))
-    cand = ballots(df.filter(F.col(MODEL).isin(list(candidates))), cw, k=k).select(
+    cand = ballots(df.filter(F.col(MODEL).isin(list(candidates))), cw, k=k, validate="lazy").select(
         F.col(MODEL).alias("scenario_model"), USER, BOOK, "value", F.col(PRIORITY).alias("_prio")
     )
     boosted = cand.join(bb_votes, [USER, BOOK], "left").select(

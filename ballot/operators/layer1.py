@@ -118,7 +118,9 @@ def integrate_family(
     return conform(out)
 
 
-def topk_fusion(df: DataFrame, weights: DataFrame, k: int = 10, name: str = "top10", validate: bool = True) -> DataFrame:
+def topk_fusion(
+    df: DataFrame, weights: DataFrame, k: int = 10, name: str = "top10", validate: bool | str = True
+) -> DataFrame:
     """Weighted fusion to the best ``k`` books per user (linear ballots).
 
     Output: model (= ``name``), family, user_id, book_id, raw_score (fused

@@ -34,7 +34,9 @@ def ballot_value(k: int, positional: str = "flat"):
     raise ValueError(f"positional must be one of {POSITIONAL}")
 
 
-def ballots(df: DataFrame, weights: DataFrame, k: int = 1, positional: str = "flat", validate: bool = True) -> DataFrame:
+def ballots(
+    df: DataFrame, weights: DataFrame, k: int = 1, positional: str = "flat", validate: bool | str = True
+) -> DataFrame:
     """One row per (model, user, book) with rnk <= k, valued and hashed by user."""
     b = attach_weights(df.filter(F.col(RNK) <= k), weights, validate=validate)
     return b.select(USER, BOOK, MODEL, RNK, PRIORITY, ballot_value(k, positional).cast("long").alias("value")).repartition(
@@ -43,7 +45,7 @@ def ballots(df: DataFrame, weights: DataFrame, k: int = 1, positional: str = "fl
 
 
 def weighted_vote(
-    df: DataFrame, weights: DataFrame, k: int = 1, positional: str = "flat", validate: bool = True
+    df: DataFrame, weights: DataFrame, k: int = 1, positional: str = "flat", validate: bool | str = True
 ) -> DataFrame:
     """Sum ballot values per (user, book).  The raw score is never read.
 

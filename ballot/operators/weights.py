@@ -78,16 +78,24 @@ def cap_weights(weights: DataFrame, cap: int, total_cap: int | None = None) -> D
     return capped.withColumn(WEIGHT, scaled.cast("long"))
 
 
-def attach_weights(df: DataFrame, weights: DataFrame, validate: bool = True) -> DataFrame:
-    """Inner-join predictions to their model's weight, priority and role.
-
-    With ``validate`` a model without a weight raises ``ValueError`` (one pass
-    over the distinct model names).  The weights side has one row per model
-    and is broadcast after a size check.
+def attach_weights(df: DataFrame, weights: DataFrame, validate: bool | str = True) -> DataFrame:
+    """Join predictions to their model's weight, priority and role.
+
+    ``validate``: ``True`` (or ``"eager"``) raises ``ValueError`` for a model
+    without a weight, at the cost of one extra pass over the distinct model
+    names; ``"lazy"`` checks inside the same plan (the job fails with the model
+    name, no extra pass); ``False`` skips the check (weights known to cover
+    every model, e.g. computed from the same predictions).  The weights side
+    has one row per model and is broadcast after a size check.
     """
-    w = weights.select(MODEL, WEIGHT, PRIORITY, ROLE)
-    if validate:
+    w = bounded_broadcast(weights.select(MODEL, WEIGHT, PRIORITY, ROLE), cache=True)
+    if validate is True or validate == "eager":
         missing = df.select(MODEL).distinct().join(w, MODEL, "left_anti").limit(5).collect()
         if missing:
             raise ValueError(f"models without a weight: {sorted(r[0] for r in missing)}")
-    return df.join(bounded_broadcast(w, cache=True), MODEL, "inner")
+        return df.join(w, MODEL, "inner")
+    if validate == "lazy":
+        j = df.join(w, MODEL, "left")
+        err = F.raise_error(F.concat(F.lit("model without a weight: "), F.col(MODEL)))
+        return j.withColumn(WEIGHT, F.when(F.col(WEIGHT).isNull(), err).otherwise(F.col(WEIGHT)).cast("long"))
+    return df.join(w, MODEL, "inner")

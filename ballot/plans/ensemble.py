@@ -54,7 +54,7 @@ def layer1_family(
 
 
 def layer1_top10(
-    preds: DataFrame, weights: DataFrame, k: int = 10, stage_path: str | None = None, validate: bool = True
+    preds: DataFrame, weights: DataFrame, k: int = 10, stage_path: str | None = None, validate: bool | str = True
 ) -> DataFrame:
     """P2: weighted fusion of the given models to a Top-10 baseline list."""
     out = topk_fusion(preds, weights, k=k, name=f"top{k}", validate=validate).select(*PREDICTIONS.fieldNames())
@@ -80,12 +80,18 @@ def final_vote(
     top10: DataFrame | None = None,
     books: DataFrame | None = None,
     out_path: str | None = None,
+    stage_path: str | None = None,
 ) -> FinalVote:
     """P3: weights from validation, capped aux weights, flat Top-1 vote,
     arbitration and the cascade consensus -> vote -> Top-10 -> cold start.
 
-    ``voters`` are Layer-2 models (families already merged by P1).
+    ``voters`` are Layer-2 models (families already merged by P1).  With
+    ``stage_path`` the voters are written once and read back, so the weights
+    (one pass) and the vote (a second pass) read a stage file instead of
+    recomputing the voters' lineage twice.
     """
+    if stage_path:
+        voters = _stage(voters.select(*PREDICTIONS.fieldNames()), stage_path)
     w = model_weights(voters, truth_val, k=1, aux=aux)
     if cap is not None:
         w = cap_weights(w, cap, total_cap)

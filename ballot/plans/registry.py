@@ -56,7 +56,7 @@ class Ctx:
         self.items = TB.book_vectors(spark, sf)
 
     def votes(self) -> DataFrame:
-        return L2.weighted_vote(self.preds, self.fw, k=1)
+        return L2.weighted_vote(self.preds, self.fw, k=1, validate="lazy")
 
     def picks(self) -> DataFrame:
         return L2.top1(self.votes())
@@ -68,7 +68,7 @@ class Ctx:
         return PL.layer1_family(self.preds, self.fw, "v5", variants=V5, k=10, min_support=7)
 
     def p2(self) -> DataFrame:
-        return PL.layer1_top10(self.preds, self.fw, k=10)
+        return PL.layer1_top10(self.preds, self.fw, k=10, validate="lazy")
 
     def voters(self) -> DataFrame:
         return L2.union_models([self.preds.filter(F.col(FAMILY) != "v5"), self.p1()])
@@ -164,7 +164,7 @@ def o11_consensus_filter(c: Ctx) -> DataFrame:
 
 
 def o12_attach_weights(c: Ctx) -> DataFrame:
-    return W.attach_weights(c.preds, c.fw)
+    return W.attach_weights(c.preds, c.fw, validate="lazy")
 
 
 def o13_supplementary(c: Ctx) -> DataFrame:
@@ -207,7 +207,7 @@ def o19_integrate_family(c: Ctx) -> DataFrame:
 
 
 def o20_topk_fusion(c: Ctx) -> DataFrame:
-    return L1.topk_fusion(c.preds, c.fw, k=10)
+    return L1.topk_fusion(c.preds, c.fw, k=10, validate="lazy")
 
 
 def o21_arbitrate(c: Ctx) -> DataFrame:
@@ -317,12 +317,21 @@ def p1_layer1_family(c: Ctx) -> DataFrame:
 
 
 def p2_layer1_top10(c: Ctx) -> DataFrame:
-    return PL.layer1_top10(c.preds, c.fw, k=10, stage_path=scratch_path(c.spark, "p2"))
+    return PL.layer1_top10(c.preds, c.fw, k=10, stage_path=scratch_path(c.spark, "p2"), validate="lazy")
 
 
 def p3_final_vote(c: Ctx) -> DataFrame:
     fv = PL.final_vote(
-        c.voters(), c.val, c.users, c.train, aux=FIXTURE_AUX, cap=CAP, total_cap=TOTAL_CAP, m=2, top10=c.p2()
+        c.voters(),
+        c.val,
+        c.users,
+        c.train,
+        aux=FIXTURE_AUX,
+        cap=CAP,
+        total_cap=TOTAL_CAP,
+        m=2,
+        top10=c.p2(),
+        stage_path=scratch_path(c.spark, "p3-voters"),
     )
     return fv.picks
 

@@ -31,6 +31,9 @@ def build_session(cpus: int | str = 8, partitions: int | None = None, app: str =
         .config("spark.driver.memory", os.environ.get("BALLOT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    event_log = os.environ.get("BALLOT_EVENT_LOG")
+    if event_log:  # stage and task times for profiling, written to a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)

@@ -70,7 +70,14 @@ def _planted_rows(truth: DataFrame, n_books: Column) -> DataFrame:
             for mid, name, fam, acc, _w in FIXTURE_MODELS
         ]
     )
-    base = truth.select(F.col(USER).cast("long").alias("u"), F.col(BOOK).cast("long").alias("tb")).repartition("u")
+    # An explicit partition count on (user, truth book): AQE would coalesce the
+    # small truth frame to one partition and run the whole 160-fold expansion
+    # in one task; a by-number repartition on keys that differ from the
+    # upstream window's is neither removed nor coalesced.
+    n_parts = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = truth.select(F.col(USER).cast("long").alias("u"), F.col(BOOK).cast("long").alias("tb")).repartition(
+        n_parts, "u", "tb"
+    )
     per_model = base.select("u", "tb", F.explode(spec).alias("s")).select("u", "tb", "s.*")
     rows = per_model.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(LIST_DEPTH).cast("long"))).alias("r"))
     u, m, r, acc = F.col("u"), F.col("m"), F.col("r"), F.col("acc")

@@ -142,6 +142,15 @@ def test_attach_weights_unknown_model(spark):
         W.attach_weights(df, weights(spark, [("a", 0.5)]))
 
 
+def test_attach_weights_unknown_model_lazy_check_fails_the_job(spark):
+    df = P.conform(preds_df(spark, [("a", 1, 10, 1.0), ("zz", 1, 10, 1.0)]))
+    joined = W.attach_weights(df, weights(spark, [("a", 0.5)]), validate="lazy")
+    with pytest.raises(Exception, match="model without a weight"):
+        joined.collect()
+    ok = W.attach_weights(df.filter(F.col("model") == "a"), weights(spark, [("a", 0.5)]), validate="lazy")
+    assert rows(ok, "model", "weight") == [("a", 500_000)]
+
+
 # ------------------------------------------------------------------ O10 / O13 / O14 / O15
 
 
