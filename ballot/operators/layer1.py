@@ -105,9 +105,14 @@ def integrate_family(
     variants = list(variants)
     fam = fam.filter(F.col(MODEL).isin(variants))
     votes = weighted_vote(fam, weights, k=k, positional=positional, validate=False)
-    stable = variant_intersection(fam, family, k=k, variants=variants)
-    b = family_boost(weights, variants) if boost is None else boost
-    boosted = stable_boost(votes, stable, b).filter(F.col("support") >= min_support)
+    # After conform each (model, user, book) is unique, so the pairs every
+    # registered variant lists (O15's stable set) are exactly the votes with
+    # support = N: the boost reads the vote aggregate, no second pass or join.
+    n = len(set(variants))
+    b = family_boost(weights, variants) if boost is None else F.lit(int(boost))
+    boosted = votes.withColumn(
+        "score", F.when(F.col("support") == n, F.col("score") + b).otherwise(F.col("score")).cast("long")
+    ).filter(F.col("support") >= min_support)
     out = boosted.select(
         F.lit(name or family).alias(MODEL),
         F.lit(family).alias(FAMILY),
