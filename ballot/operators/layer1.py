@@ -120,7 +120,8 @@ def integrate_family(
         BOOK,
         F.col("score").cast("double").alias(RAW),
     )
-    return conform(out)
+    # each variant lists at most k books per user
+    return conform(out, list_bound=k * len(variants))
 
 
 def topk_fusion(

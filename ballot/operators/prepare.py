@@ -1,20 +1,20 @@
 """O05 conform, O06 standardize, O07 calibrate.
 
-Partitioning: ``conform`` hashes rows by (model, user_id) once.  The dedupe
-aggregate on (model, family, user_id, book_id) and the ranking window on
-(model, user_id) both reuse that partitioning, so conform costs one exchange.
-Duplicates are rare in prediction files, so giving up the map-side partial
-aggregate costs little, while a second full exchange would cost a lot.
-A window group is one model's list for one user, which is bounded by the
-model's list length, not by the size of the data.
+Partitioning: in the common case ``conform`` hashes rows by (model, user_id)
+once; the dedupe aggregate on (model, family, user_id, book_id) and the
+ranking window on (model, user_id) both reuse that partitioning, so conform
+costs one exchange.  When a (model, user) list may be huge (no proven bound
+and a sample says so) the dedupe hashes on all four keys and the ranking runs
+across many tasks (``ballot.functions.rank``), so no list is held by one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast, clean_score, safe_ratio
+from ballot.functions.rank import HOT_LIST_ROWS, hot_groups, rank_within
 from ballot.schema import BOOK, FAMILY, MODEL, RAW, RNK, USER
 
 STD_METHODS = ("minmax", "zscore", "rank")
@@ -35,12 +35,23 @@ def list_order():
     return [F.col("_given").asc_nulls_last(), F.col(RAW).desc_nulls_last(), F.col(BOOK).asc()]
 
 
-def conform(df: DataFrame) -> DataFrame:
+def conform(
+    df: DataFrame,
+    list_bound: int | None = None,
+    hot_rows: int = HOT_LIST_ROWS,
+    sample_fraction: float | None = None,
+) -> DataFrame:
     """Drop null keys, clean scores, dedupe (model, user, book), rank gap-free.
 
     Duplicate pairs keep the max score and the min given rank.  A given rank
     decides the order; otherwise ``raw_score DESC NULLS LAST``; then
     ``book_id ASC``.  Idempotent: a second pass reproduces the same ranks.
+
+    ``list_bound``: a proven upper bound on rows per (model, user) list, e.g.
+    the depth of a Top-k file.  Without it, list sizes are estimated from a
+    sample; lists of about ``hot_rows`` rows or more are then deduplicated on
+    all four keys and ranked across many tasks (``functions.rank``), while
+    the common case keeps the single-exchange plan.
     """
     df = _with_optional(df)
     clean = df.filter(F.col(MODEL).isNotNull() & F.col(USER).isNotNull() & F.col(BOOK).isNotNull()).select(
@@ -51,13 +62,18 @@ def conform(df: DataFrame) -> DataFrame:
         clean_score(RAW).alias(RAW),
         F.col(RNK).cast("int").alias("_given"),
     )
-    dedup = (
-        clean.repartition(MODEL, USER)
-        .groupBy(MODEL, FAMILY, USER, BOOK)
-        .agg(F.max(RAW).alias(RAW), F.min("_given").alias("_given"))
-    )
-    w = Window.partitionBy(MODEL, USER).orderBy(*list_order())
-    return dedup.select(MODEL, FAMILY, USER, BOOK, RAW, F.row_number().over(w).cast("int").alias(RNK))
+    hot = None
+    if list_bound is None or list_bound >= hot_rows:
+        hot = hot_groups(clean, [MODEL, USER], hot_rows, sample_fraction)
+    keys = [MODEL, FAMILY, USER, BOOK]
+    aggs = [F.max(RAW).alias(RAW), F.min("_given").alias("_given")]
+    if hot is None:
+        dedup = clean.repartition(MODEL, USER).groupBy(*keys).agg(*aggs)
+    else:
+        # hashed on all four keys: a hot list is spread by book, partial aggregation on
+        dedup = clean.groupBy(*keys).agg(*aggs)
+    ranked = rank_within(dedup, [MODEL, USER], list_order(), "_rnk", hot)
+    return ranked.select(MODEL, FAMILY, USER, BOOK, RAW, F.col("_rnk").cast("int").alias(RNK))
 
 
 def standardize(df: DataFrame, method: str = "rank", scope: str = "model", col: str = RAW, out: str = "std_score") -> DataFrame:
@@ -65,7 +81,7 @@ def standardize(df: DataFrame, method: str = "rank", scope: str = "model", col:
 
     ``scope="model"`` computes the statistics over the whole model file (one
     small aggregate, broadcast after a size check); ``"model_user"`` over each
-    (model, user) list with a window that reuses conform's partitioning.
+    (model, user) list (aggregate joined back on the list key).
     ``rank`` is (n - rnk + 1) / n with n the list length per (model, user).
     NULL in gives NULL out, except for ``rank``.
     """
@@ -74,28 +90,28 @@ def standardize(df: DataFrame, method: str = "rank", scope: str = "model", col:
     if scope not in ("model", "model_user"):
         raise ValueError("scope must be 'model' or 'model_user'")
     x = F.col(col)
+    # Per-list statistics as aggregate + join rather than a window: after
+    # conform's single-exchange plan both sides are already partitioned by
+    # (model, user) (no extra exchange), and a very long list is partially
+    # aggregated instead of being held by one window task.
     if method == "rank":
-        n = F.count(F.lit(1)).over(Window.partitionBy(MODEL, USER))
-        return df.withColumn(out, ((n - F.col(RNK) + 1) / n).cast("double"))
+        n = df.groupBy(MODEL, USER).agg(F.count(F.lit(1)).alias("_n"))
+        res = df.join(n, [MODEL, USER], "inner")
+        return res.withColumn(out, ((F.col("_n") - F.col(RNK) + 1) / F.col("_n")).cast("double")).drop("_n")
 
+    stats_cols = [F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd")]
     if scope == "model_user":
-        w = Window.partitionBy(MODEL, USER)
-        lo, hi = F.min(x).over(w), F.max(x).over(w)
-        mean, sd = F.avg(x).over(w), F.stddev_pop(x).over(w)
-        stats_df = df
+        stats_df = df.join(df.groupBy(MODEL, USER).agg(*stats_cols), [MODEL, USER], "inner")
     else:
-        stats = df.groupBy(MODEL).agg(
-            F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd")
-        )
+        stats = df.groupBy(MODEL).agg(*stats_cols)
         stats_df = df.join(bounded_broadcast(stats, cache=True), MODEL, "left")
-        lo, hi, mean, sd = F.col("_lo"), F.col("_hi"), F.col("_mean"), F.col("_sd")
+    lo, hi, mean, sd = F.col("_lo"), F.col("_hi"), F.col("_mean"), F.col("_sd")
 
     if method == "minmax":
         val = F.when(x.isNull(), None).when(hi == lo, F.lit(1.0)).otherwise(safe_ratio(x - lo, hi - lo))
     else:
         val = F.when(x.isNull(), None).when(sd == 0, F.lit(0.0)).otherwise(safe_ratio(x - mean, sd))
-    res = stats_df.withColumn(out, val.cast("double"))
-    return res.drop("_lo", "_hi", "_mean", "_sd") if scope == "model" else res
+    return stats_df.withColumn(out, val.cast("double")).drop("_lo", "_hi", "_mean", "_sd")
 
 
 def calibrate(df: DataFrame, truth: DataFrame, method: str = "bins", n_bins: int = 10) -> DataFrame:

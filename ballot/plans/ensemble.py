@@ -122,7 +122,7 @@ def candidate_lists(train: DataFrame, items: DataFrame, users: DataFrame, k: int
         graph_propagate(train, max_degree=60, k=k),
     ]
     lists += [embedding_variant(items, train, d, k) for d in (16, 32, 64)]
-    return [conform(x) for x in lists]
+    return [conform(x, list_bound=k) for x in lists]
 
 
 def full_run(

@@ -27,7 +27,7 @@ from ballot.schema import AUX, BACKBONE, BOOK, FAMILY, MODEL, PREDICTIONS, RNK,
 from ballot.session import scratch_path
 from ballot.sources import io as IO
 from ballot.sources import tables as TB
-from ballot.sources.fixture import FIXTURE_AUX, FIXTURE_MODELS, V5, fixture_weights, planted_predictions
+from ballot.sources.fixture import FIXTURE_AUX, FIXTURE_MODELS, LIST_DEPTH, V5, fixture_weights, planted_predictions
 
 # Fixed parameters of the registered queries.
 SINCE = "2000-01-01"  # borrows used by the co-borrow and two-hop jobs
@@ -49,7 +49,7 @@ class Ctx:
         self.truth = self.holdout.select(USER, BOOK)
         self.val = self.holdout.filter(F.col("split") == "validation").select(USER, BOOK)
         self.raw = planted_predictions(spark, sf, self.truth)
-        self.preds = P.conform(self.raw)
+        self.preds = P.conform(self.raw, list_bound=LIST_DEPTH)
         self.fw = fixture_weights(spark)
         self.users = TB.users(spark, sf)
         self.books = TB.books(spark, sf)

@@ -344,3 +344,28 @@ def test_coborrow_hand_computed(spark):
     assert [(b, s) for u, b, s in got if u == 3] == [(2, 2.0), (3, 1.0)]
     # user 1 owns 1, 2: cooc(1,3) + cooc(2,3) = 2
     assert [(b, s) for u, b, s in got if u == 1] == [(3, 2.0)]
+
+
+# ------------------------------------------------------------------ skew-safe ranking
+
+
+def test_rank_within_hot_groups_equals_window(spark):
+    from ballot.functions.rank import hot_groups, rank_within
+
+    data = [("a", 1, b, float(b % 7)) for b in range(300)] + [("a", 2, b, 1.0) for b in range(5)]
+    df = preds_df(spark, data).withColumnRenamed("raw_score", "s")
+    order = [F.col("s").desc(), F.col("book_id").asc()]
+    hot = hot_groups(df, ["model", "user_id"], hot_rows=100, fraction=1.0)
+    assert rows(hot.select("model", "user_id")) == [("a", 1)]
+    split = rank_within(df.repartition(7), ["model", "user_id"], order, "r", hot)
+    plain = rank_within(df, ["model", "user_id"], order, "r", None)
+    assert rows(split) == rows(plain)
+    assert sorted(r.r for r in split.filter("user_id = 1").collect()) == list(range(1, 301))
+
+
+def test_conform_hot_path_equals_plain(spark):
+    data = [("a", 1, b % 250, float(b % 11)) for b in range(400)] + [("b", 1, 3, None), ("b", 2, 4, 2.0)]
+    df = preds_df(spark, data)
+    plain = P.conform(df, list_bound=1000, hot_rows=10**9)
+    hot = P.conform(df, hot_rows=50, sample_fraction=1.0)
+    assert rows(hot) == rows(plain)
