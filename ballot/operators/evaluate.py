@@ -92,9 +92,11 @@ def variant_stability(df: DataFrame, family: str, k: int = 10, variants: Sequenc
     ``same_top1``, ``inter`` = sum |A ∩ B| and ``union`` = sum |A ∪ B| over
     users in both, and ``jaccard`` = inter / union.
 
-    Rows are first reduced to one bit mask of variants per user and per
-    (user, book), then counted per distinct mask; only the distinct masks are
-    expanded into pairs.  Nothing is paired per user.
+    One aggregate on (user, book) gives the bit mask of variants listing the
+    pair (and of those ranking it first); one aggregate on user ORs those into
+    the user's variant mask and counts each variant's list size.  Everything
+    after that is keyed by distinct masks, and only distinct masks are
+    expanded into variant pairs: nothing is paired per user.
     """
     fam = df.filter((F.col(FAMILY) == family) & (F.col(RNK) <= k))
     if variants is None:
@@ -102,62 +104,57 @@ def variant_stability(df: DataFrame, family: str, k: int = 10, variants: Sequenc
     variants = list(variants)
     if len(variants) > 62:
         raise ValueError("at most 62 variants per family")
+    nv = len(variants)
     bit = F.lit(0).cast("long")
     for i, v in enumerate(variants):
         bit = F.when(F.col(MODEL) == v, F.lit(1 << i).cast("long")).otherwise(bit)
     fam = fam.filter(F.col(MODEL).isin(variants)).withColumn("_bit", bit)
 
-    # per user: variant mask and list sizes
-    per_user_model = fam.groupBy(USER, MODEL, "_bit").agg(F.count(F.lit(1)).alias("_n"))
-    user_mask = per_user_model.groupBy(USER).agg(F.sum("_bit").alias("_mask"))
-    sizes = (
-        per_user_model.join(user_mask, USER)
-        .groupBy("_mask", MODEL)
-        .agg(F.sum("_n").alias("_size_sum"))
+    pair = fam.groupBy(USER, BOOK).agg(
+        F.sum("_bit").alias("_mask"),
+        F.sum(F.when(F.col(RNK) == 1, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias("_m1"),
     )
-    mask_users = user_mask.groupBy("_mask").agg(F.count(F.lit(1)).alias("_users"))
-    # per (user, book): which variants list it
-    pair_mask = fam.groupBy(USER, BOOK).agg(F.sum("_bit").alias("_mask"))
-    inter_masks = pair_mask.groupBy("_mask").agg(F.count(F.lit(1)).alias("_cnt"))
-    top1_masks = (
-        fam.filter(F.col(RNK) == 1).groupBy(USER, BOOK).agg(F.sum("_bit").alias("_mask"))
-        .groupBy("_mask").agg(F.count(F.lit(1)).alias("_cnt"))
+    has = [F.shiftright("_mask", i).bitwiseAND(1) for i in range(nv)]
+    per_user = pair.groupBy(USER).agg(
+        F.bit_or("_mask").alias("_umask"), *[F.sum(h).alias(f"_n{i}") for i, h in enumerate(has)]
     )
+    per_mask = per_user.groupBy("_umask").agg(
+        F.count(F.lit(1)).alias("_users"), *[F.sum(f"_n{i}").alias(f"_s{i}") for i in range(nv)]
+    )
+    inter_masks = pair.groupBy("_mask").agg(F.count(F.lit(1)).alias("_cnt"))
+    top1_masks = pair.filter(F.col("_m1") != 0).groupBy(F.col("_m1").alias("_mask")).agg(F.count(F.lit(1)).alias("_cnt"))
 
-    pairs = [(a, b, i, j) for i, a in enumerate(variants) for j, b in enumerate(variants) if i != j]
-    pair_df = df.sparkSession.createDataFrame(
-        [(a, b, (1 << i) | (1 << j)) for a, b, i, j in pairs], "model_a string, model_b string, _pm long"
+    pairs = [(a, b, (1 << i) | (1 << j), i + 1, j + 1) for i, a in enumerate(variants) for j, b in enumerate(variants) if i != j]
+    # |variants| * (|variants| - 1) rows, at most 62 * 61: a proven bound
+    pair_df = F.broadcast(
+        df.sparkSession.createDataFrame(pairs, "model_a string, model_b string, _pm long, _ia int, _ib int")
     )
-    pair_df = F.broadcast(pair_df)  # |variants|^2 rows, at most 62 * 61
 
-    def expand(masks: DataFrame, val: str, out: str) -> DataFrame:
-        return (
-            masks.join(pair_df, (F.col("_mask").bitwiseAND(F.col("_pm")) == F.col("_pm")))
-            .groupBy("model_a", "model_b")
-            .agg(F.sum(val).cast("long").alias(out))
-        )
+    def contains(mask: str):
+        return F.col(mask).bitwiseAND(F.col("_pm")) == F.col("_pm")
 
-    users_both = expand(mask_users, "_users", "users_both")
-    inter = expand(inter_masks, "_cnt", "inter")
-    same_top1 = expand(top1_masks, "_cnt", "same_top1")
-    size_a = (
-        sizes.join(pair_df, (F.col("_mask").bitwiseAND(F.col("_pm")) == F.col("_pm")) & (F.col(MODEL) == F.col("model_a")))
+    sizes = F.array(*[F.col(f"_s{i}") for i in range(nv)])
+    by_user = (
+        per_mask.join(pair_df, contains("_umask"))
         .groupBy("model_a", "model_b")
-        .agg(F.sum("_size_sum").cast("long").alias("_sa"))
+        .agg(
+            F.sum("_users").cast("long").alias("users_both"),
+            F.sum(F.element_at(sizes, F.col("_ia"))).cast("long").alias("_sa"),
+            F.sum(F.element_at(sizes, F.col("_ib"))).cast("long").alias("_sb"),
+        )
     )
-    size_b = (
-        sizes.join(pair_df, (F.col("_mask").bitwiseAND(F.col("_pm")) == F.col("_pm")) & (F.col(MODEL) == F.col("model_b")))
-        .groupBy("model_a", "model_b")
-        .agg(F.sum("_size_sum").cast("long").alias("_sb"))
+    inter = inter_masks.join(pair_df, contains("_mask")).groupBy("model_a", "model_b").agg(
+        F.sum("_cnt").cast("long").alias("inter")
+    )
+    same_top1 = top1_masks.join(pair_df, contains("_mask")).groupBy("model_a", "model_b").agg(
+        F.sum("_cnt").cast("long").alias("same_top1")
     )
     keys = ["model_a", "model_b"]
     out = (
         pair_df.select(*keys)
-        .join(users_both, keys, "left")
+        .join(by_user, keys, "left")
         .join(same_top1, keys, "left")
         .join(inter, keys, "left")
-        .join(size_a, keys, "left")
-        .join(size_b, keys, "left")
         .select(
             *keys,
             F.coalesce("users_both", F.lit(0)).cast("long").alias("users_both"),
