@@ -535,6 +535,140 @@ BLOCKS["scen"] = ((), "SELECT * FROM (VALUES (0, NULL)"
 QUERIES["o27_admission_scenarios"] = (("preds", "fw", "val", "scen"), QUERIES["o27_admission_scenarios"][1])
 
 
+# ---------------------------------------------------------------- P4 full run
+# Candidate lists on the holdout train, the merged v5 and emb families, the
+# Top-10 baseline with hits@10 weights, the final vote with capped aux weights
+# and the cascade, then hit@1 on test users for every voter and the picks.
+
+
+def _graph_sql(src: str, model: str = "graph") -> str:
+    return f"""
+    SELECT '{model}' AS model, 'graph' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
+           CAST(rnk AS INTEGER) AS rnk FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC) AS rnk FROM (
+        SELECT a.user_id, c.book_id, CAST(sum(1000000 // (db.d * du.d)) AS BIGINT) AS score
+        FROM (SELECT DISTINCT user_id, book_id FROM {src}) a
+        JOIN (SELECT book_id, count(*) AS d FROM (SELECT DISTINCT user_id, book_id FROM {src})
+              GROUP BY book_id) db ON db.book_id = a.book_id AND db.d <= 60
+        JOIN (SELECT DISTINCT user_id, book_id FROM {src}) b ON b.book_id = a.book_id AND b.user_id <> a.user_id
+        JOIN (SELECT user_id, count(*) AS d FROM (SELECT DISTINCT user_id, book_id FROM {src})
+              GROUP BY user_id) du ON du.user_id = b.user_id
+        JOIN (SELECT DISTINCT user_id, book_id FROM {src}) c ON c.user_id = b.user_id
+        GROUP BY a.user_id, c.book_id
+        HAVING sum(1000000 // (db.d * du.d)) > 0))
+    WHERE rnk <= 10"""
+
+
+def _emb_sql(src: str, dim: int) -> str:
+    return f"""
+    SELECT 'emb{dim}' AS model, 'emb' AS family, user_id, book_id, cosine AS raw_score, CAST(rnk AS INTEGER) AS rnk
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cosine DESC NULLS LAST, book_id ASC) AS rnk
+          FROM (
+      SELECT c.user_id, c.book_id,
+             CAST(d.dot AS DOUBLE) / sqrt(CAST(nu.nu AS DOUBLE) * CAST(nb.nb AS DOUBLE)) AS cosine
+      FROM (SELECT DISTINCT user_id, book_id FROM {src}) c
+      JOIN (SELECT x.user_id, x.book_id, CAST(sum(pr.p * e.q) AS BIGINT) AS dot
+            FROM (SELECT DISTINCT user_id, book_id FROM {src}) x
+            JOIN emb e ON e.book_id = x.book_id AND e.pos < {dim}
+            JOIN (SELECT c2.user_id, e2.pos, CAST(sum(c2.cnt * e2.q) AS BIGINT) AS p
+                  FROM (SELECT user_id, book_id, count(*) AS cnt FROM {src} GROUP BY user_id, book_id) c2
+                  JOIN emb e2 ON e2.book_id = c2.book_id AND e2.pos < {dim} GROUP BY c2.user_id, e2.pos) pr
+              ON pr.user_id = x.user_id AND pr.pos = e.pos
+            GROUP BY x.user_id, x.book_id) d ON d.user_id = c.user_id AND d.book_id = c.book_id
+      JOIN (SELECT user_id, CAST(sum(p * p) AS BIGINT) AS nu FROM (
+              SELECT c3.user_id, e3.pos, CAST(sum(c3.cnt * e3.q) AS BIGINT) AS p
+              FROM (SELECT user_id, book_id, count(*) AS cnt FROM {src} GROUP BY user_id, book_id) c3
+              JOIN emb e3 ON e3.book_id = c3.book_id AND e3.pos < {dim} GROUP BY c3.user_id, e3.pos)
+            GROUP BY user_id) nu ON nu.user_id = c.user_id
+      JOIN (SELECT book_id, CAST(sum(q * q) AS BIGINT) AS nb FROM emb WHERE pos < {dim} GROUP BY book_id) nb
+        ON nb.book_id = c.book_id))
+    WHERE rnk <= 10"""
+
+
+def _weights_sql(src: str, truth: str, k: int, aux: str | None) -> str:
+    role = f"CASE WHEN model IN ({aux}) OR family IN ({aux}) THEN 'aux' ELSE 'backbone' END" if aux else "'backbone'"
+    return f"""
+    SELECT model, weight,
+           CAST(row_number() OVER (ORDER BY weight DESC, model ASC) AS INTEGER) AS priority, {role} AS role
+    FROM (SELECT m.model, m.family,
+                 CAST(coalesce(h.hits, 0) * 1000000 // (SELECT count(*) FROM {truth}) AS BIGINT) AS weight
+          FROM (SELECT DISTINCT model, family FROM {src}) m
+          LEFT JOIN (SELECT p.model, count(*) AS hits FROM {src} p JOIN {truth} v
+                     ON p.user_id = v.user_id AND p.book_id = v.book_id
+                     WHERE p.rnk <= {k} GROUP BY p.model) h ON m.model = h.model)"""
+
+
+BLOCKS["test"] = (("holdout",), "SELECT user_id, book_id FROM holdout WHERE split = 'test'")
+BLOCKS["graph4"] = (("train",), _graph_sql("train"))
+for _d in (16, 32, 64):
+    BLOCKS[f"emb4_{_d}"] = (("train", "emb"), _emb_sql("train", _d))
+BLOCKS["allp"] = (("preds", "poplist", "hist", "coblist", "graph4", "emb4_16", "emb4_32", "emb4_64"), """
+    SELECT model, family, user_id, book_id, raw_score, rnk FROM preds
+    UNION ALL SELECT * FROM poplist UNION ALL SELECT * FROM hist UNION ALL SELECT * FROM coblist
+    UNION ALL SELECT * FROM graph4 UNION ALL SELECT * FROM emb4_16 UNION ALL SELECT * FROM emb4_32
+    UNION ALL SELECT * FROM emb4_64""")
+BLOCKS["emb_w"] = (("allp", "val"), _weights_sql("(SELECT * FROM allp WHERE family = 'emb')", "val", 10, None))
+BLOCKS["fam_emb"] = (("allp", "emb_w"), """
+    SELECT 'emb' AS model, 'emb' AS family, user_id, book_id, raw_score,
+           CAST(row_number() OVER (PARTITION BY user_id
+                ORDER BY raw_score DESC NULLS LAST, book_id ASC) AS INTEGER) AS rnk
+    FROM (SELECT user_id, book_id,
+                 CAST(score + CASE WHEN support = 3 THEN 1 + (SELECT sum(weight) FROM emb_w) ELSE 0 END AS DOUBLE)
+                 AS raw_score
+          FROM (SELECT p.user_id, p.book_id, CAST(sum(w.weight * (10 - p.rnk + 1) // 10) AS BIGINT) AS score,
+                       count(*) AS support
+                FROM allp p JOIN emb_w w ON p.model = w.model
+                WHERE p.family = 'emb' AND p.rnk <= 10 GROUP BY p.user_id, p.book_id)
+          WHERE support >= 2)""")
+BLOCKS["voters4"] = (("p1", "fam_emb", "allp"), """
+    SELECT * FROM p1 UNION ALL SELECT * FROM fam_emb
+    UNION ALL SELECT * FROM allp WHERE family NOT IN ('v5', 'emb')""")
+BLOCKS["top_w"] = (("allp", "val"), _weights_sql("allp", "val", 10, None))
+BLOCKS["top10_4"] = (("allp", "top_w"), """
+    SELECT user_id, book_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id
+             ORDER BY score DESC, support DESC, best_priority ASC, book_id ASC) AS rn
+      FROM (SELECT p.user_id, p.book_id, CAST(sum(w.weight * (10 - p.rnk + 1) // 10) AS BIGINT) AS score,
+                   count(*) AS support, min(w.priority) AS best_priority
+            FROM allp p JOIN top_w w ON p.model = w.model WHERE p.rnk <= 10 GROUP BY p.user_id, p.book_id))
+    WHERE rn = 1""")
+BLOCKS["w4raw"] = (("voters4", "val"), _weights_sql("voters4", "val", 1, _AUX))
+BLOCKS["w4"] = (("w4raw",), f"""
+    SELECT model, CAST(CASE WHEN role = 'aux' THEN least(weight, {CAP}) ELSE weight END AS BIGINT) AS weight,
+           priority, role FROM w4raw""")
+BLOCKS["v4"] = (("voters4", "w4"), """
+    SELECT p.user_id, p.book_id, CAST(sum(w.weight) AS BIGINT) AS score, count(*) AS support,
+           min(w.priority) AS best_priority
+    FROM voters4 p JOIN w4 w ON p.model = w.model WHERE p.rnk <= 1 GROUP BY p.user_id, p.book_id""")
+BLOCKS["picks4"] = (("v4", "top10_4", "coldsrc"), """
+    SELECT user_id, book_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord ASC, book_id ASC) AS rn FROM (
+        SELECT user_id, book_id, 0 AS ord FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id
+                 ORDER BY score DESC, support DESC, best_priority ASC, book_id ASC) AS r
+          FROM v4 WHERE support >= 2) WHERE r = 1
+        UNION ALL SELECT user_id, book_id, 1 FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id
+                 ORDER BY score DESC, support DESC, best_priority ASC, book_id ASC) AS r
+          FROM v4) WHERE r = 1
+        UNION ALL SELECT user_id, book_id, 2 FROM top10_4
+        UNION ALL SELECT user_id, book_id, ord FROM coldsrc)
+      WHERE user_id IS NOT NULL AND book_id IS NOT NULL)
+    WHERE rn = 1""")
+QUERIES["p4_full_run"] = (("voters4", "picks4", "test"), """
+    SELECT m.model, (SELECT count(*) FROM test) AS n_users, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits,
+           CAST(coalesce(h.hits, 0) AS DOUBLE) / (SELECT count(*) FROM test) AS rate
+    FROM (SELECT DISTINCT model FROM voters4) m
+    LEFT JOIN (SELECT p.model, count(DISTINCT p.user_id) AS hits FROM voters4 p JOIN test t
+               ON p.user_id = t.user_id AND p.book_id = t.book_id WHERE p.rnk <= 1 GROUP BY p.model) h
+      ON m.model = h.model
+    UNION ALL
+    SELECT 'final', (SELECT count(*) FROM test),
+           (SELECT count(*) FROM picks4 p JOIN test t ON p.user_id = t.user_id AND p.book_id = t.book_id),
+           CAST((SELECT count(*) FROM picks4 p JOIN test t ON p.user_id = t.user_id AND p.book_id = t.book_id)
+                AS DOUBLE) / (SELECT count(*) FROM test)""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 
