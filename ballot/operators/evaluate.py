@@ -271,6 +271,12 @@ def admission_gate(
     Output: step, model, hits_before, hits_after, admitted.
     """
     spark = df.sparkSession
+    # A candidate enters at its capped weight and keeps it once admitted.
+    if cap is not None:
+        weights = weights.withColumn(
+            WEIGHT,
+            F.when(F.col(MODEL).isin(list(candidates)), F.least(F.col(WEIGHT), F.lit(cap))).otherwise(F.col(WEIGHT)),
+        )
     # Every step reads the same ballots (rnk <= k of the models in play) and
     # validation users: keep those two small inputs cached for the loop.
     ballots_in = df.filter((F.col(RNK) <= k) & F.col(MODEL).isin(list(backbone) + list(candidates))).persist()
@@ -279,7 +285,7 @@ def admission_gate(
     rows = []
     try:
         for step, cand in enumerate(candidates, start=1):
-            res = admission_scenarios(ballots_in, weights, admitted, [cand], t, cap=cap, k=k)
+            res = admission_scenarios(ballots_in, weights, admitted, [cand], t, cap=None, k=k)
             got = {r["scenario"]: r["hits"] for r in res.select("scenario", "hits").collect()}
             before, after = int(got[0]), int(got[1])
             ok = after >= before

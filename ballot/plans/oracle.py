@@ -669,6 +669,46 @@ QUERIES["p4_full_run"] = (("voters4", "picks4", "test"), """
                 AS DOUBLE) / (SELECT count(*) FROM test)""")
 
 
+# ---------------------------------------------------------------- O28 gate
+# Greedy admission as a recursive CTE: the state carries the admitted list and
+# its validation hits; each step votes admitted + the next candidate.
+_GATE_CANDS = ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(_CANDS))
+_BB27_LIST = "[" + _BB27 + "]"
+BLOCKS["gate_cands"] = ((), f"SELECT * FROM (VALUES {_GATE_CANDS}) AS t(step, model)")
+BLOCKS["gate_ballots"] = (("preds", "fw", "val", "gate_cands"), f"""
+    SELECT p.user_id, p.book_id, p.model, w.priority,
+           CASE WHEN p.model IN (SELECT model FROM gate_cands) THEN least(w.weight, {CAP}) ELSE w.weight END AS weight
+    FROM preds p JOIN fw w ON p.model = w.model
+    WHERE p.rnk <= 1 AND p.user_id IN (SELECT user_id FROM val)""")
+
+
+def _gate_hits(models: str) -> str:
+    return f"""(SELECT count(*) FROM (
+        SELECT b.user_id, b.book_id, row_number() OVER (PARTITION BY b.user_id
+               ORDER BY sum(b.weight) DESC, count(*) DESC, min(b.priority) ASC, b.book_id ASC) AS rn
+        FROM gate_ballots b WHERE {models} GROUP BY b.user_id, b.book_id) r
+      JOIN val v ON v.user_id = r.user_id AND v.book_id = r.book_id WHERE r.rn = 1)"""
+
+
+QUERIES["o28_admission_gate"] = (("gate_ballots", "gate_cands", "val"), f"""
+    , gate AS (
+      WITH RECURSIVE g(step, admitted, hits, model, hits_before, hits_after, ok) AS (
+        SELECT 0, {_BB27_LIST}, {_gate_hits(f"b.model IN ({_BB27})")},
+               CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
+        UNION ALL
+        SELECT g.step + 1,
+               CASE WHEN x.after >= g.hits THEN list_append(g.admitted, c.model) ELSE g.admitted END,
+               CASE WHEN x.after >= g.hits THEN x.after ELSE g.hits END,
+               c.model, g.hits, x.after, x.after >= g.hits
+        FROM g JOIN gate_cands c ON c.step = g.step + 1,
+        LATERAL (SELECT {_gate_hits("(list_contains(g.admitted, b.model) OR b.model = c.model)")} AS after) x
+      )
+      SELECT * FROM g)
+    SELECT CAST(step AS INTEGER) AS step, model, CAST(hits_before AS BIGINT) AS hits_before,
+           CAST(hits_after AS BIGINT) AS hits_after, ok AS admitted
+    FROM gate WHERE step > 0""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 
@@ -687,6 +727,9 @@ def _order(names: tuple[str, ...]) -> list[str]:
 def sql(name: str) -> str:
     blocks, final = QUERIES[name]
     ctes = ",\n".join(f"{n} AS ({BLOCKS[n][1]}\n)" for n in _order(blocks))
+    if final.lstrip().startswith(","):  # the query adds its own CTE(s)
+        head, _, rest = final.partition(")\n    SELECT CAST(step")
+        return f"WITH {ctes}\n{head})\n    SELECT CAST(step{rest}"
     return f"WITH {ctes}\n{final}"
 
 
