@@ -190,6 +190,8 @@ def admission_scenarios(
     Output: scenario, model, weight, n_users, hits, rate.
     """
     spark = df.sparkSession
+    # Hits are counted on truth users only, so only their ballots matter.
+    df = df.filter(F.col(RNK) <= k).join(truth.select(USER), USER, "left_semi")
     bb = df.filter(F.col(MODEL).isin(list(backbone)))
     bb_votes = weighted_vote(bb, weights, k=k, validate="lazy")
     bb_top = top1(bb_votes).select(USER, F.col(BOOK).alias("_b0"))
@@ -279,7 +281,11 @@ def admission_gate(
         )
     # Every step reads the same ballots (rnk <= k of the models in play) and
     # validation users: keep those two small inputs cached for the loop.
-    ballots_in = df.filter((F.col(RNK) <= k) & F.col(MODEL).isin(list(backbone) + list(candidates))).persist()
+    ballots_in = (
+        df.filter((F.col(RNK) <= k) & F.col(MODEL).isin(list(backbone) + list(candidates)))
+        .join(truth.select(USER), USER, "left_semi")
+        .persist()
+    )
     t = truth.persist()
     admitted = list(backbone)
     rows = []
