@@ -32,13 +32,17 @@ from ballot.session import scratch_path
 from ballot.sources.io import read_stage, write_stage, write_submission
 
 
-def _stage(df: DataFrame, path: str | None) -> DataFrame:
+def stage(df: DataFrame, path: str | None) -> DataFrame:
+    """Write a predictions frame to ``path`` and return it read back."""
     if not path:
         return df
-    write_stage(df, path)
+    write_stage(df.select(*PREDICTIONS.fieldNames()), path)
     return read_stage(df.sparkSession, path, PREDICTIONS)
 
 
+_stage = stage
+
+
 def layer1_family(
     preds: DataFrame,
     weights: DataFrame,

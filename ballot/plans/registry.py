@@ -321,6 +321,9 @@ def p2_layer1_top10(c: Ctx) -> DataFrame:
 
 
 def p3_final_vote(c: Ctx) -> DataFrame:
+    # Layer 2 reads stage files: the conformed lists are written once, and P1,
+    # the voters and the Top-10 baseline all read that stage.
+    c.preds = PL.stage(c.preds, scratch_path(c.spark, "p3-lists"))
     fv = PL.final_vote(
         c.voters(),
         c.val,
@@ -331,7 +334,6 @@ def p3_final_vote(c: Ctx) -> DataFrame:
         total_cap=TOTAL_CAP,
         m=2,
         top10=c.p2(),
-        stage_path=scratch_path(c.spark, "p3-voters"),
     )
     return fv.picks
 
