@@ -369,3 +369,13 @@ def test_conform_hot_path_equals_plain(spark):
     plain = P.conform(df, list_bound=1000, hot_rows=10**9)
     hot = P.conform(df, hot_rows=50, sample_fraction=1.0)
     assert rows(hot) == rows(plain)
+
+
+def test_calibrate_isotonic_is_monotone_per_model(spark):
+    data = [("a", u, b, float(b)) for u in range(1, 9) for b in range(4)]
+    df = P.conform(preds_df(spark, data))
+    truth = spark.createDataFrame([(u, 3 if u % 2 else 0) for u in range(1, 9)], "user_id long, book_id long")
+    out = P.calibrate(df, truth, "isotonic").select("raw_score", "cal_score").distinct().collect()
+    pts = sorted((r.raw_score, r.cal_score) for r in out)
+    assert len(pts) == 4 and all(0.0 <= c <= 1.0 for _, c in pts)
+    assert all(a[1] <= b[1] for a, b in zip(pts, pts[1:]))
