@@ -162,20 +162,21 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT 'popular' AS model, 'popular' AS family, u.user_id, g.book_id,
            CAST(g.n AS DOUBLE) AS raw_score, g.rnk
     FROM users u JOIN popgrp g ON u.grp = g.grp"""),
-    "cob_train": (("train",), """
+    "train_recent": (("train",), "SELECT * FROM train WHERE ts >= TIMESTAMP '2000-01-01 00:00:00'"),
+    "cob_train": (("train_recent",), """
     SELECT * FROM (
       SELECT user_id, book_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC)
              AS INTEGER) AS rnk, score FROM (
         SELECT e.user_id, p.b2 AS book_id, CAST(sum(p.cnt) AS BIGINT) AS score
-        FROM (SELECT DISTINCT user_id, book_id FROM train) e
+        FROM (SELECT DISTINCT user_id, book_id FROM train_recent) e
         JOIN (SELECT a.book_id AS b1, b.book_id AS b2, count(*) AS cnt
-              FROM (SELECT DISTINCT user_id, book_id FROM train
-                    WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id, book_id FROM train)
+              FROM (SELECT DISTINCT user_id, book_id FROM train_recent
+                    WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id, book_id FROM train_recent)
                                       GROUP BY user_id HAVING count(*) <= 100)) a
-              JOIN (SELECT DISTINCT user_id, book_id FROM train) b
+              JOIN (SELECT DISTINCT user_id, book_id FROM train_recent) b
                 ON a.user_id = b.user_id AND a.book_id <> b.book_id
               GROUP BY a.book_id, b.book_id) p ON e.book_id = p.b1
-        WHERE NOT EXISTS (SELECT 1 FROM train x WHERE x.user_id = e.user_id AND x.book_id = p.b2)
+        WHERE NOT EXISTS (SELECT 1 FROM train_recent x WHERE x.user_id = e.user_id AND x.book_id = p.b2)
         GROUP BY e.user_id, p.b2))
     WHERE rnk <= 10"""),
     "coblist": (("cob_train",), """
@@ -599,7 +600,7 @@ def _weights_sql(src: str, truth: str, k: int, aux: str | None) -> str:
 
 
 BLOCKS["test"] = (("holdout",), "SELECT user_id, book_id FROM holdout WHERE split = 'test'")
-BLOCKS["graph4"] = (("train",), _graph_sql("train"))
+BLOCKS["graph4"] = (("train_recent",), _graph_sql("train_recent"))
 for _d in (16, 32, 64):
     BLOCKS[f"emb4_{_d}"] = (("train", "emb"), _emb_sql("train", _d))
 BLOCKS["allp"] = (("preds", "poplist", "hist", "coblist", "graph4", "emb4_16", "emb4_32", "emb4_64"), """

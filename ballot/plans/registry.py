@@ -73,6 +73,13 @@ class Ctx:
     def voters(self) -> DataFrame:
         return L2.union_models([self.preds.filter(F.col(FAMILY) != "v5"), self.p1()])
 
+    def stage_train(self) -> None:
+        """Write the training borrows once; the candidate jobs that fan out
+        over them read the stage instead of recomputing the holdout join."""
+        path = scratch_path(self.spark, "train")
+        IO.write_stage(self.train, path)
+        self.train = self.spark.read.parquet(path)
+
     def list_weights(self) -> DataFrame:
         return W.weights_frame(self.spark, LIST_WEIGHTS)
 
@@ -81,7 +88,7 @@ class Ctx:
         return [
             pop,
             C.history_candidates(self.train, 10),
-            C.coborrow_candidates(self.train, 10, max_history=100),
+            C.coborrow_candidates(PL.recent(self.train, SINCE), 10, max_history=100),
             C.embedding_variant(self.items, self.train, 64, 10),
         ]
 
@@ -282,6 +289,7 @@ def o36_coborrow_candidates(c: Ctx) -> DataFrame:
 
 
 def o37_hybrid_candidates(c: Ctx) -> DataFrame:
+    c.stage_train()
     return C.hybrid_candidates(c.candidate_lists(), c.list_weights(), k=10)
 
 
@@ -291,6 +299,7 @@ def o38_cold_start_fill(c: Ctx) -> DataFrame:
 
 
 def _features(c: Ctx) -> DataFrame:
+    c.stage_train()
     lists = c.candidate_lists()
     cand = L2.union_models(lists).select(USER, BOOK)
     cos = C.embedding_variant(c.items, c.train, 64, k=None).select(USER, BOOK, F.col("raw_score").alias("cosine"))
