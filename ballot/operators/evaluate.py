@@ -58,11 +58,15 @@ def hit_at_k(preds: DataFrame, truth: DataFrame, k: int = 1, name: str = "picks"
 # --------------------------------------------------------------------- O25
 
 
-def temporal_holdout(interactions: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+def temporal_holdout(
+    interactions: DataFrame, folds: int = 5, split_col: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Truth = last borrow per user; train = borrows strictly before it.
 
     Last = ``ts DESC, seq DESC, book_id ASC``.  ``split`` is 'validation' when
-    ``pmod(user_id, folds) = 0``, else 'test'.  Returns ``(truth, train)``.
+    ``pmod(user_id, folds) = 0``, else 'test'; with STRING keys the caller
+    names a column ``split_col`` (on ``interactions``, constant per user)
+    holding 'validation' or 'test'.  Returns ``(truth, train)``.
     The ``row_number() = 1`` filter becomes a WindowGroupLimit, so a user with
     a huge history is cut to one row per partition before the shuffle.
     """
@@ -74,7 +78,11 @@ def temporal_holdout(interactions: DataFrame, folds: int = 5) -> tuple[DataFrame
             USER,
             BOOK,
             "ts",
-            F.when(F.pmod(F.col(USER), F.lit(folds)) == 0, F.lit("validation")).otherwise(F.lit("test")).alias("split"),
+            (
+                F.col(split_col)
+                if split_col
+                else F.when(F.pmod(F.col(USER), F.lit(folds)) == 0, F.lit("validation")).otherwise(F.lit("test"))
+            ).alias("split"),
         )
     )
     cut = last.select(USER, F.col("ts").alias("_cut"))
@@ -309,8 +317,13 @@ def admission_gate(
 # --------------------------------------------------------------------- O29
 
 
-def pair_lift(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
-    """Counts of users fixed / broken / both_right / both_wrong by a change."""
+def pair_lift(before: DataFrame, after: DataFrame, truth: DataFrame, details: bool = False) -> DataFrame:
+    """Counts of users fixed / broken / both_right / both_wrong by a change.
+
+    With ``details`` the affected users instead: one row per user whose
+    outcome changed, ``user_id, truth, before, after, change`` ('fixed' or
+    'broken').
+    """
     t = truth.select(USER, F.col(BOOK).alias("_truth"))
     b = before.select(USER, F.col(BOOK).alias("_before"))
     a = after.select(USER, F.col(BOOK).alias("_after"))
@@ -318,6 +331,16 @@ def pair_lift(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFram
     rb = F.coalesce(F.col("_before") == F.col("_truth"), F.lit(False))
     ra = F.coalesce(F.col("_after") == F.col("_truth"), F.lit(False))
 
+    if details:
+        change = F.when(~rb & ra, F.lit("fixed")).when(rb & ~ra, F.lit("broken"))
+        return j.select(
+            USER,
+            F.col("_truth").alias("truth"),
+            F.col("_before").alias("before"),
+            F.col("_after").alias("after"),
+            change.alias("change"),
+        ).filter(F.col("change").isNotNull())
+
     def cnt(c):
         return F.sum(c.cast("long")).cast("long")
 

@@ -90,9 +90,14 @@ def integrate_family(
     positional: str = "linear",
     boost: int | None = None,
     name: str | None = None,
+    min_score: int | None = None,
 ) -> DataFrame:
     """Merge a family's variants into ONE voter for Layer 2 (P1 core).
 
+    ``min_score`` (micro-votes) is the second reading of "seven or above":
+    keep pairs whose fused score (after the boost) reaches it; it applies in
+    addition to ``min_support`` (pass ``min_support=1`` to use it alone).
+
     Variants are weighted and fused with positional ballots over their Top-k;
     pairs all variants agree on (the stable set) are boosted above every other
     pair; only pairs listed by at least ``min_support`` variants are kept; the
@@ -113,6 +118,8 @@ def integrate_family(
     boosted = votes.withColumn(
         "score", F.when(F.col("support") == n, F.col("score") + b).otherwise(F.col("score")).cast("long")
     ).filter(F.col("support") >= min_support)
+    if min_score is not None:
+        boosted = boosted.filter(F.col("score") >= min_score)
     out = boosted.select(
         F.lit(name or family).alias(MODEL),
         F.lit(family).alias(FAMILY),

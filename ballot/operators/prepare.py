@@ -57,8 +57,8 @@ def conform(
     clean = df.filter(F.col(MODEL).isNotNull() & F.col(USER).isNotNull() & F.col(BOOK).isNotNull()).select(
         F.col(MODEL).cast("string").alias(MODEL),
         F.col(FAMILY).cast("string").alias(FAMILY),
-        F.col(USER).cast("long").alias(USER),
-        F.col(BOOK).cast("long").alias(BOOK),
+        F.col(USER),  # key types are kept: LONG by default, STRING accepted
+        F.col(BOOK),
         clean_score(RAW).alias(RAW),
         F.col(RNK).cast("int").alias("_given"),
     )

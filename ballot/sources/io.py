@@ -24,14 +24,21 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def _read_one(spark: SparkSession, model: str, family: str, path: str, fmt: str, schema: T.StructType | None) -> DataFrame:
+def _read_one(
+    spark: SparkSession, model: str, family: str, path: str, fmt: str, schema: T.StructType | None, key_type: str
+) -> DataFrame:
+    types = dict(_FILE_TYPES)
+    if key_type == "string":
+        types[USER] = types[BOOK] = T.StringType()
+    elif key_type != "long":
+        raise ValueError("key_type must be 'long' or 'string'")
     if fmt == "csv":
         if schema is None:
             names = _header(spark, path)
-            unknown = [n for n in names if n not in _FILE_TYPES]
+            unknown = [n for n in names if n not in types]
             if unknown:
-                raise ValueError(f"{path}: unknown columns {unknown}; expected some of {list(_FILE_TYPES)}")
-            schema = T.StructType([T.StructField(n, _FILE_TYPES[n], True) for n in names])
+                raise ValueError(f"{path}: unknown columns {unknown}; expected some of {list(types)}")
+            schema = T.StructType([T.StructField(n, types[n], True) for n in names])
         df = (
             spark.read.schema(schema)
             .option("header", True)
@@ -54,8 +61,8 @@ def _read_one(spark: SparkSession, model: str, family: str, path: str, fmt: str,
     return df.select(
         F.lit(model).alias(MODEL),
         F.lit(family).alias(FAMILY),
-        F.col(USER).cast("long").alias(USER),
-        F.col(BOOK).cast("long").alias(BOOK),
+        F.col(USER).cast(key_type).alias(USER),
+        F.col(BOOK).cast(key_type).alias(BOOK),
         (F.col(RAW) if RAW in cols else F.lit(None)).cast("double").alias(RAW),
         (F.col(RNK) if RNK in cols else F.when(F.lit(RAW not in cols), F.lit(1))).cast("int").alias(RNK),
     )
@@ -67,18 +74,20 @@ def read_predictions(
     *,
     fmt: str = "csv",
     schema: T.StructType | None = None,
+    key_type: str = "long",
 ) -> DataFrame:
     """Load each model's file into one long ``predictions`` frame.
 
     ``sources``: ``(model, family, path)``.  The model name comes from the
     list, not from the path.  File row order is never used as a rank.
+    ``key_type``: 'long' (default) or 'string' user and book keys.
     """
     if not sources:
         raise ValueError("no sources")
     names = [s[0] for s in sources]
     if len(set(names)) != len(names):
         raise ValueError("model names must be unique")
-    parts = [_read_one(spark, m, fam, p, fmt, schema) for m, fam, p in sources]
+    parts = [_read_one(spark, m, fam, p, fmt, schema, key_type) for m, fam, p in sources]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -379,3 +379,43 @@ def test_calibrate_isotonic_is_monotone_per_model(spark):
     pts = sorted((r.raw_score, r.cal_score) for r in out)
     assert len(pts) == 4 and all(0.0 <= c <= 1.0 for _, c in pts)
     assert all(a[1] <= b[1] for a, b in zip(pts, pts[1:]))
+
+
+# ------------------------------------------------------------------ options
+
+
+def test_string_keys_are_kept(spark):
+    df = spark.createDataFrame(
+        [("a", "u1", "b10", 0.5), ("a", "u1", "b11", 0.9)], "model string, user_id string, book_id string, raw_score double"
+    )
+    out = P.conform(df)
+    assert dict(out.dtypes)["user_id"] == "string"
+    assert rows(out, "book_id", "rnk") == [("b10", 2), ("b11", 1)]
+
+
+def test_holdout_split_column_for_string_keys(spark):
+    ts = datetime(2020, 1, 1)
+    inter = spark.createDataFrame(
+        [("u1", "b1", ts, 1, "test"), ("u2", "b2", ts, 1, "validation")],
+        "user_id string, book_id string, ts timestamp_ntz, seq long, fold string",
+    )
+    truth, _ = E.temporal_holdout(inter, split_col="fold")
+    assert rows(truth, "user_id", "split") == [("u1", "test"), ("u2", "validation")]
+
+
+def test_pair_lift_details(spark):
+    truth = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "user_id long, book_id long")
+    before = spark.createDataFrame([(1, 1), (2, 0), (3, 3)], "user_id long, book_id long")
+    after = spark.createDataFrame([(1, 1), (2, 2), (3, 0)], "user_id long, book_id long")
+    got = rows(E.pair_lift(before, after, truth, details=True), "user_id", "change")
+    assert got == [(2, "fixed"), (3, "broken")]
+
+
+def test_integrate_family_min_score(spark):
+    data = [(m, 1, 10, 1.0) for m in ("a", "b")] + [("a", 1, 11, 0.5)]
+    df = P.conform(preds_df(spark, data)).withColumn("family", F.lit("f"))
+    w = weights(spark, [("a", 0.3), ("b", 0.2)])
+    loose = L1.integrate_family(df, "f", w, variants=["a", "b"], k=2, min_support=1)
+    assert rows(loose, "book_id") == [(10,), (11,)]
+    strict = L1.integrate_family(df, "f", w, variants=["a", "b"], k=2, min_support=1, min_score=400_000)
+    assert rows(strict, "book_id") == [(10,)]
