@@ -171,30 +171,49 @@ def quantized_components(items: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def embedding_variant(items: DataFrame, train: DataFrame, dim: int, k: int = 10, name: str | None = None) -> DataFrame:
+def _as_vector(df: DataFrame, key: str, val: str, dim: int, out: str) -> DataFrame:
+    """(key, pos, val) rows -> one LONG array of ``dim`` slots per key (0 where
+    absent).  A key has at most ``dim`` rows, so the group is bounded."""
+    return df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", val))).alias("_m")).select(
+        key,
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("long"))).alias(
+            out
+        ),
+    )
+
+
+def _dot(a: str, b: str) -> Column:
+    prods = F.zip_with(F.col(a), F.col(b), lambda x, y: x * y)
+    return F.aggregate(prods, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def embedding_variant(
+    items: DataFrame, train: DataFrame, dim: int, k: int | None = 10, name: str | None = None
+) -> DataFrame:
     """User profile from book vectors cut to ``dim``; rank own books by cosine.
 
     profile(u) = sum over borrows of the quantised book vector; dot products
     and squared norms are exact LONG sums; the cosine is one double division
     at the end: dot / sqrt(|p|^2 * |q|^2).  Candidates are the user's own
     books that have a vector.  Order: cosine desc (NULL last), book asc.
+
+    The profile is aggregated per (user, pos) (partial aggregation), then
+    packed with the book vectors into ``dim``-slot arrays, so each candidate
+    (user, book) is one row with two arrays and the dot product is an array
+    expression; no per-dimension rows are joined.
     """
     comps = quantized_components(items, dim)
     counts = train.groupBy(USER, BOOK).agg(F.count(F.lit(1)).cast("long").alias("_c"))
-    with_vec = counts.join(comps, BOOK)  # (user, book, c, pos, q)
-    profile = with_vec.groupBy(USER, "pos").agg(F.sum(F.col("_c") * F.col("q")).cast("long").alias("_p"))
-    # dot(u, b) for own books: join on (user, pos), never on pos alone
-    dot = (
-        with_vec.join(profile, [USER, "pos"])
-        .groupBy(USER, BOOK)
-        .agg(F.sum(F.col("_p") * F.col("q")).cast("long").alias("_dot"))
-    )
-    nu = profile.groupBy(USER).agg(F.sum(F.col("_p") * F.col("_p")).cast("long").alias("_nu"))
-    nb = comps.groupBy(BOOK).agg(F.sum(F.col("q") * F.col("q")).cast("long").alias("_nb"))
-    cos = safe_ratio(
-        F.col("_dot"), F.sqrt(F.col("_nu").cast("double") * F.col("_nb").cast("double"))
+    own = counts.join(comps.select(BOOK).distinct(), BOOK, "left_semi")  # own books with a vector
+    profile = (
+        counts.join(comps, BOOK)
+        .groupBy(USER, "pos")
+        .agg(F.sum(F.col("_c") * F.col("q")).cast("long").alias("_p"))
     )
-    scored = dot.join(nu, USER).join(nb, BOOK).select(USER, BOOK, cos.alias("cosine"))
+    pvec = _as_vector(profile, USER, "_p", dim, "_pv").withColumn("_nu", _dot("_pv", "_pv"))
+    bvec = _as_vector(comps, BOOK, "q", dim, "_bv").withColumn("_nb", _dot("_bv", "_bv"))
+    cos = safe_ratio(_dot("_pv", "_bv"), F.sqrt(F.col("_nu").cast("double") * F.col("_nb").cast("double")))
+    scored = own.join(pvec, USER).join(bvec, BOOK).select(USER, BOOK, cos.alias("cosine"))
     ranked = _ranked(scored, [USER], [F.col("cosine").desc_nulls_last(), F.col(BOOK).asc()], k)
     return _as_predictions(ranked, name or f"emb{dim}", "emb", "cosine")
 
