@@ -149,7 +149,6 @@ def calibrate(df: DataFrame, truth: DataFrame, method: str = "bins", n_bins: int
 
 
 def _calibrate_isotonic(scored: DataFrame, truth: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler  # noqa: F401  (import check)
     from pyspark.ml.regression import IsotonicRegression
 
     t = truth.select(F.col(USER), F.col(BOOK).alias("_truth"))
