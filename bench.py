@@ -48,6 +48,11 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - t0, 3)
+    # Input sizes (parquet row counts), after the timed section.
+    input_rows = {
+        t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+        for t in ("orders", "lineitem", "customer", "part", "embeddings")
+    }
     sf = sf_dir.rsplit("sf", 1)[-1]
     out = {
         "metric": "headline_queries_total_wall",
@@ -58,6 +63,7 @@ def main() -> None:
         "cpus": int(cpus) if str(cpus).isdigit() else cpus,
         "spark": spark.version,
         "warmup": warm if warm and os.path.isdir(warm) else None,
+        "input_rows": input_rows,
     }
     print(json.dumps(out), flush=True)
     spark.stop()
