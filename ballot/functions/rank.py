@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballot.functions.small import bounded_broadcast
+from ballot.session import checkpoint_dir
 
 # A (model, user) list longer than this is ranked across many tasks.
 HOT_LIST_ROWS = 1_000_000
@@ -72,6 +73,7 @@ def rank_within(
 
     big = tagged.filter(F.col("_hot").isNotNull()).drop("_hot")
     spread = big.orderBy(*[F.col(g).asc() for g in group], *order).withColumn("_pid", F.spark_partition_id())
+    checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
     spread = spread.checkpoint(eager=True)  # fixes partition ids for both uses below
     local = _window_rank(spread, group + ["_pid"], order, "_lr")
     blocks = spread.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_c"))
