@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ballot.llm import sharding
+from ballot.llm import decontaminate, linededup, sharding
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -19,13 +20,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) leak."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines before dropping, dropped lines, and digest of what stays."""
+    kept = linededup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and shard."""
     return sharding.assign_shards(documents(spark, sf_dir), "doc_id", SHARDS).select("doc_id", "n_chars", "slot", "shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
+keyed AS (SELECT *, translate(trim(line, {WS}), {AZ}) AS key FROM lines),
+owner AS (SELECT key, min(doc_id) AS own FROM keyed WHERE length(key) >= 10 GROUP BY key),
+marked AS (SELECT k.doc_id, k.line, k.pos, coalesce(o.own < k.doc_id, false) AS gone FROM keyed k LEFT JOIN owner o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}

@@ -2,10 +2,10 @@
 
 A word is a maximal run of bytes other than ``[\\x20\\x09-\\x0D]``; A-Z count
 as a-z.  Each word becomes a 64-bit fingerprint (random table entry of every
-byte, weighted by position, then mixed), so later steps compare integers.  Two
+byte times a power of its place, then mixed), so later steps compare integers.  Two
 different words share a fingerprint with a chance of about 2**-64.
 Null texts have no words.  Work arrays stay small for long texts: only byte
-masks cover a whole text, the 8-byte arrays cover ``_CHUNK`` words at a time.
+masks cover a whole text, the 8-byte arrays cover ``_SPAN`` bytes at a time.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SPAN = 1 << 17  # bytes hashed at once
+_POWER = np.cumprod(np.full(_SPAN, _BASE, np.uint64))
+_UNPOWER = np.cumprod(np.full(_SPAN, pow(_BASE, -1, 2**64), np.uint64))
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 # Separators of ``alnum`` words: every ASCII byte that is no letter or digit.
 _NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_CHUNK = 1 << 17
+_CHUNK = 8192
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -65,15 +67,35 @@ def word_bounds(data: np.ndarray, off: np.ndarray, alnum: bool = False) -> tuple
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _POWER[: len(values)], out=out[1:])
+    return out
+
+
+def _long_word(values: np.ndarray) -> np.uint64:
+    total = 0
+    for lo in range(0, len(values), _SPAN):
+        total += int(_sums(values[lo : lo + _SPAN])[-1]) * pow(_BASE, lo, 2**64)
+    return np.uint64(total * pow(_BASE, -1, 2**64) % 2**64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alnum: bool = False) -> np.ndarray:
+    """Per word the sum of its bytes' table entries times powers of an odd
+    base, from prefix sums over all bytes of a chunk of words (modulo 2**64)."""
     table = np.where(_NOT_ALNUM if alnum else _SPACES, np.uint64(0), _BYTE[_LOWER])
     out = np.empty(len(starts), np.uint64)
-    for a in range(0, len(starts), _CHUNK):
-        s, e = starts[a : a + _CHUNK], ends[a : a + _CHUNK]
-        lo, hi = s[0], e[-1]
-        place = np.arange(lo, hi) - np.repeat(s, np.diff(np.append(s, hi)))
-        # bytes between two words have no table entry, so they add nothing
-        out[a : a + len(s)] = np.add.reduceat(table[data[lo:hi]] * _PLACE[place & 0xFFFF], s - lo)
+    a = 0
+    while a < len(starts):
+        b = min(a + _CHUNK, len(starts), int(np.searchsorted(ends, starts[a] + _SPAN, side="right")))
+        if b <= a:
+            out[a] = _long_word(table.take(data[starts[a] : ends[a]]))
+            a += 1
+            continue
+        lo = starts[a]
+        sums = _sums(table.take(data[lo : ends[b - 1]]))
+        out[a:b] = (sums[ends[a:b] - lo] - sums[starts[a:b] - lo]) * _UNPOWER[starts[a:b] - lo]
+        a = b
     return mix(out + (ends - starts).astype(np.uint64) * _K1)
 
 
