@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, linededup, sharding
+from ballot.llm import decontaminate, linededup, neardup, sharding
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -40,10 +40,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), "doc_id", SHARDS).select("doc_id", "n_chars", "slot", "shard")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
