@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, linededup, neardup, sharding
+from ballot.llm import decontaminate, linededup, mixing, neardup, sharding
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -35,6 +35,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in the mix."""
+    return mixing.mix_report(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and shard."""
     return sharding.assign_shards(documents(spark, sf_dir), "doc_id", SHARDS).select("doc_id", "n_chars", "slot", "shard")
@@ -48,6 +53,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
