@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, linededup, mixing, neardup, sharding
+from ballot.llm import decontaminate, linededup, mixing, neardup, quality, secret_scan, sharding
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -50,11 +50,30 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents labelled as good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's figures and verdict."""
+    judged = quality.judge(documents(spark, sf_dir), trusted(spark, sf_dir))
+    return judged.select("doc_id", "_quality.*").withColumn("score", F.col("score") / 1_000_000)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets and how many owners hold them.  An owner is a
+    source, and every document is a repository of its own."""
+    return secret_scan.scan(documents(spark, sf_dir), owner="source", repository="doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
