@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, linededup, mixing, neardup, pii, quality, secret_scan, sharding, substring
+from ballot.llm import decontaminate, language_model, linededup, mixing, neardup, pii, quality, secret_scan, sharding, substring
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -29,6 +29,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability."""
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data."""
     return pii.find_pii(documents(spark, sf_dir))
@@ -79,6 +84,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
@@ -93,6 +99,7 @@ WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_pii": op3_pii,
     "op4_line_dedup": f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
