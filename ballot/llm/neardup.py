@@ -198,3 +198,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(final, "node", "left")
     label = F.coalesce("_label", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the ids that near_duplicates does not keep.
+
+    Ids that go are sent to all tasks up to ``MAX_BROADCAST``; texts are
+    shuffled only beyond it.  An id of which some row is kept stays whole.
+    """
+    judged = near_duplicates(docs, doc_id, text, **options).filter("doc_id is not null")
+    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).filter("not _kept").select("_gone")
+    return docs.join(bounded_broadcast(staged(gone, "near-gone"), MAX_BROADCAST), F.col(doc_id) == F.col("_gone"), "left_anti")
