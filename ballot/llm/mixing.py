@@ -19,8 +19,7 @@ task sees a whole source in order.
 Only DataFrame functions are used.  Defined results: a null text has no
 words; null sources are a source of their own, the last; repeated rows of an
 id are taken or left together; sources without words have target 0; an empty
-table gives an empty result; columns of other names are kept, and the working
-columns' names begin with ``_mix_``.
+table gives an empty result; ``mix`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -152,6 +151,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mix itself: every document as many times as it is taken, columns as in ``docs``."""
     _, plan = plan_mix(docs, doc_id, text, source, share, epochs, seed, weights)
     small = plan.select([F.col(c).alias("_mix_" + c) for c in ("source", "whole", "gap", "depth", "prefix", "chosen")])
-    rows = docs.join(bounded_broadcast(small, MAX_BROADCAST), F.col(source).eqNullSafe(F.col("_mix_source")))
-    copies = _copies(F.col(doc_id), _place(F.col(doc_id), seed), "_mix_").cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    # packed, so no column of theirs meets a working column
+    packed = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.struct(*docs.columns).alias("_row"))
+    rows = packed.join(bounded_broadcast(small, MAX_BROADCAST), F.col("_source").eqNullSafe(F.col("_mix_source")))
+    copies = _copies(F.col("_id"), _place(F.col("_id"), seed), "_mix_").cast("int")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")

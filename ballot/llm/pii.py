@@ -194,7 +194,7 @@ _HOST = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-]){_NAME}"
     rf"(?:(?P<a>{_AT_MARKED}|\s*@\s*){_HOST}(?:(?:\.|{_DOT_MARKED}|{_DOT_BARE}){_HOST})+"
-    rf"|(?P<b>\s+at\s+){_HOST}(?:(?:{_DOT_MARKED}|{_DOT_BARE}){_HOST})+)(?!\w)",
+    rf"|(?P<b>\s+at\s+)(?!(?:the|an?|this|that|my|our|your)\b){_HOST}(?:(?:{_DOT_MARKED}|{_DOT_BARE}){_HOST})*(?:{_DOT_MARKED}|{_DOT_BARE})[A-Za-z]{{2,}})(?!\w)",
     re.I,
 )
 _DISGUISE = re.compile(rf"{_AT_MARKED}|{_DOT_MARKED}|{_DOT_BARE}|\s+at\s+|\s*@\s*", re.I)

@@ -73,7 +73,8 @@ def find(docs: DataFrame, text: str) -> DataFrame:
 
     def secret_like(x: Column) -> Column:
         apart = ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return x["value"].rlike("(?:[^0-9]*[0-9]){4}") & x["value"].rlike("[A-Za-z]") & apart
+        digits = F.length(F.regexp_replace(x["value"], "[^0-9]+", ""))
+        return (digits >= 4) & x["value"].rlike("[A-Za-z]") & apart
 
     return out.withColumn("_more", F.filter(_spans(t, "token", TOKEN, 0), secret_like))
 

@@ -113,4 +113,5 @@ def remove_units(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", te
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(spans, F.col(doc_id).eqNullSafe(F.col("_doc")), "left").drop("_doc").mapInArrow(run, docs.schema)
+    both = docs.alias("d").join(spans.alias("x"), F.col(f"d.{doc_id}").eqNullSafe(F.col("x._doc")), "left")
+    return both.select("d.*", F.col("x._spans").alias("_spans_of_units")).mapInArrow(run, docs.schema)

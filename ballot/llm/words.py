@@ -44,7 +44,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, and the offset at which each text begins (n + 1)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col, "").cast(pa.large_string())
+    col = pc.fill_null(col.cast(pa.large_string()), "")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
