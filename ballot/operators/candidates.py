@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballot.functions import idiv, safe_ratio
+from ballot.functions import bounded_broadcast, safe_ratio
+from ballot.functions.rank import HOT_LIST_ROWS, hot_groups, rank_within
 from ballot.operators.layer1 import topk_fusion
 from ballot.operators.layer2 import cascade
 from ballot.schema import BOOK, FAMILY, MICRO, MODEL, RAW, RNK, USER
@@ -65,7 +66,8 @@ def popularity_candidates(train: DataFrame, k: int = 10, group: DataFrame | None
 
 def popularity_for_users(pop: DataFrame, users: DataFrame, name: str = "popular") -> DataFrame:
     """Hand each user the list of the user's group (``users``: user_id, grp)."""
-    j = users.select(USER, "grp").join(pop, "grp", "inner")
+    # k rows a group; the users' side is the one that grows
+    j = users.select(USER, "grp").join(bounded_broadcast(pop), "grp", "inner")
     return _as_predictions(j, name, "popular", "n")
 
 
@@ -79,36 +81,57 @@ def history_candidates(train: DataFrame, k: int = 10, name: str = "history") ->
     return _as_predictions(_ranked(c, [USER], order, k), name, "history", "n")
 
 
-# --------------------------------------------------------------------- O36
+# ---------------------------------------------------- sequences of borrows
 
 
-def coborrow_pairs(train: DataFrame, max_history: int = 100) -> DataFrame:
-    """Item-item co-borrow counts: users with both books, b1 != b2.
+def borrow_sequence(train: DataFrame, key: str, out: str, hot_rows: int = HOT_LIST_ROWS) -> DataFrame:
+    """Distinct (user, book) borrows numbered from 1 inside each ``key``.
 
-    Users with more than ``max_history`` distinct books are left out of pair
-    generation (a user with d books emits d * (d - 1) pairs).
+    Order: first borrow (ts, then seq if there is one), then the other key.  A user or book
+    of about ``hot_rows`` borrows or more is numbered across many tasks.
     """
-    e = _edges(train)
-    deg = e.groupBy(USER).agg(F.count(F.lit(1)).alias("_d"))
-    el = e.join(deg.filter(F.col("_d") <= max_history), USER, "left_semi")
-    a = el.select(USER, F.col(BOOK).alias("b1"))
-    b = el.select(USER, F.col(BOOK).alias("b2"))
-    return (
-        a.join(b, USER)
-        .filter(F.col("b1") != F.col("b2"))
-        .groupBy("b1", "b2")
-        .agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    )
+    other = BOOK if key == USER else USER
+    seq = F.min("seq") if "seq" in train.columns else F.lit(None).cast("long")
+    edges = train.groupBy(USER, BOOK).agg(F.min("ts").alias("_ts"), seq.alias("_seq"))
+    order = [F.col("_ts").asc_nulls_last(), F.col("_seq").asc_nulls_last(), F.col(other).asc()]
+    return rank_within(edges, [key], order, out, hot_groups(edges, [key], hot_rows)).select(USER, BOOK, out)
+
+
+def adjacent(seq: DataFrame, key: str, pos: str, window: int, keep: str, out: str) -> DataFrame:
+    """Each borrow with those at most ``window`` places before or after it in
+    the sequence of ``key``: ``keep`` of the other as ``out``, ``_gap`` places
+    away.  At most 2 x window rows per borrow, for every user and book alike:
+    the join key (key, place) is unique, so it has no hot value."""
+    offsets = F.array(*[F.lit(j) for j in range(-window, window + 1) if j])
+    near = seq.withColumn("_j", F.explode(offsets)).withColumn("_at", F.col(pos) + F.col("_j"))
+    other = seq.select(F.col(key).alias("_k"), F.col(pos).alias("_p"), F.col(keep).alias(out))
+    joined = near.join(other, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_p")))
+    return joined.withColumn("_gap", F.abs("_j")).drop("_j", "_at", "_k", "_p")
+
+
+# --------------------------------------------------------------------- O36
 
 
-def coborrow_candidates(train: DataFrame, k: int = 10, max_history: int = 100, name: str = "coborrow") -> DataFrame:
-    """Books co-borrowed with the user's books, excluding the user's own.
+def coborrow_pairs(train: DataFrame, window: int = 5, neighbours: int = 20) -> DataFrame:
+    """(b1, b2, cnt): for each book the ``neighbours`` books that most users
+    borrowed at most ``window`` places before or after it (ties: book asc)."""
+    links = adjacent(borrow_sequence(train, USER, "_pos"), USER, "_pos", window, BOOK, "b2")
+    counts = links.groupBy(F.col(BOOK).alias("b1"), "b2").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    return _ranked(counts, ["b1"], [F.col("cnt").desc(), F.col("b2").asc()], neighbours).drop(RNK)
 
-    score(u, b) = sum over the user's books b' of cooc(b', b).
+
+def coborrow_candidates(
+    train: DataFrame, k: int = 10, window: int = 5, neighbours: int = 20, name: str = "coborrow"
+) -> DataFrame:
+    """Books borrowed close to the user's books, excluding the user's own.
+
+    score(u, b) = sum over the user's books b' of cnt(b', b), for b among the
+    neighbours of b'.  Every borrow takes part; rows are at most borrows x
+    2 window for the counts and borrows x neighbours for the scores.
     Order: score desc, book asc.
     """
     e = _edges(train)
-    pairs = coborrow_pairs(train, max_history)
+    pairs = coborrow_pairs(train, window, neighbours)
     scored = (
         e.join(pairs, e[BOOK] == pairs["b1"])
         .groupBy(USER, F.col("b2").alias(BOOK))
@@ -122,40 +145,29 @@ def coborrow_candidates(train: DataFrame, k: int = 10, max_history: int = 100, n
 # --------------------------------------------------------------------- O31
 
 
-def graph_propagate(train: DataFrame, max_degree: int = 60, k: int = 10, name: str = "graph") -> DataFrame:
+def graph_propagate(train: DataFrame, k: int = 10, window: int = 2, name: str = "graph") -> DataFrame:
     """Two-hop user -> book -> user -> book score (a GNN stand-in).
 
-    score(u, b) = sum over paths u -> b' -> u' -> b, u' != u, of
-    ``10^6 div (deg(b') * deg(u'))``.  Books above ``max_degree`` are dropped
-    as intermediate nodes only.  The sum factors through a user-user weight
-    W(u, u') = sum over shared b' of the path term, because the term does not
-    depend on the end book; terms that floor to 0 (deg(b') * deg(u') > 10^6)
-    are dropped before any join, which keeps a very heavy user from being
-    expanded.  Only books with a positive score are candidates, so dropping
-    zero terms changes no emitted row.  Order: score desc, book asc.
+    From each of the user's books b' to the readers at most ``window`` places
+    before or after the user in the book's sequence of readers, and on to the
+    books at most ``window`` places from b' in such a reader's own sequence.
+    A path weighs (window + 1 - |places between readers|) x
+    (window + 1 - |places between books|); score(u, b) is the sum over its
+    paths.  Every borrow takes part, with at most (2 window)^2 paths each, so
+    a popular book or a heavy reader costs no more than any other borrow.
+    Order: score desc, book asc.
     """
-    e = _edges(train)
-    deg_b = e.groupBy(BOOK).agg(F.count(F.lit(1)).cast("long").alias("_db"))
-    deg_u = e.groupBy(USER).agg(F.count(F.lit(1)).cast("long").alias("_du"))
-    mid = e.join(deg_b.filter(F.col("_db") <= max_degree), BOOK)  # (user, book, deg_b)
-    src = mid.select(F.col(USER).alias("u"), BOOK)
-    via = (
-        mid.join(deg_u, USER)
-        .filter(F.col("_db") * F.col("_du") <= MICRO)
-        .select(F.col(USER).alias("u2"), BOOK, idiv(F.lit(MICRO), F.col("_db") * F.col("_du")).alias("_t"))
-    )
-    w_uu = (
-        src.join(via, BOOK)
-        .filter(F.col("u") != F.col("u2"))
-        .groupBy("u", "u2")
-        .agg(F.sum("_t").cast("long").alias("_w"))
-    )
-    ends = e.select(F.col(USER).alias("u2"), BOOK)
+    by_book = borrow_sequence(train, BOOK, "_pos")
+    by_user = borrow_sequence(train, USER, "_pos")
+    near = lambda gap: (F.lit(window + 1) - F.col(gap)).cast("long")
+    readers = adjacent(by_book, BOOK, "_pos", window, USER, "u2")
+    readers = readers.select(USER, F.col(BOOK).alias("b1"), "u2", near("_gap").alias("_w1"))
+    books = adjacent(by_user, USER, "_pos", window, BOOK, "b2")
+    books = books.select(F.col(USER).alias("u2"), F.col(BOOK).alias("b1"), "b2", near("_gap").alias("_w2"))
     scored = (
-        w_uu.join(ends, "u2")
-        .groupBy(F.col("u").alias(USER), BOOK)
-        .agg(F.sum("_w").cast("long").alias("score"))
-        .filter(F.col("score") > 0)
+        readers.join(books, ["u2", "b1"])
+        .groupBy(USER, F.col("b2").alias(BOOK))
+        .agg(F.sum(F.col("_w1") * F.col("_w2")).cast("long").alias("score"))
     )
     ranked = _ranked(scored, [USER], [F.col("score").desc(), F.col(BOOK).asc()], k)
     return _as_predictions(ranked, name, "graph", "score")
@@ -164,27 +176,43 @@ def graph_propagate(train: DataFrame, max_degree: int = 60, k: int = 10, name: s
 # --------------------------------------------------------------------- O32
 
 
-def quantized_components(items: DataFrame, dim: int) -> DataFrame:
-    """(book_id, pos, q) for pos < dim, q = floor(double(x) * 10^6) as LONG."""
-    return items.select(BOOK, F.posexplode("embedding").alias("pos", "x")).filter(F.col("pos") < dim).select(
-        BOOK, "pos", F.floor(F.col("x").cast("double") * MICRO).cast("long").alias("q")
-    )
+def quantized_vectors(items: DataFrame, dim: int) -> DataFrame:
+    """(book_id, _bv): floor(double(x) * 10^6) as LONG of the first ``dim``
+    components, 0 where the vector is shorter.  Items without a vector are out."""
+    q = lambda i: F.coalesce(F.floor(F.get("embedding", F.lit(i)).cast("double") * MICRO).cast("long"), F.lit(0).cast("long"))
+    some = items.filter(F.size("embedding") > 0)
+    return some.select(BOOK, F.array(*[q(i) for i in range(dim)]).alias("_bv"))
 
 
-def _as_vector(df: DataFrame, key: str, val: str, dim: int, out: str) -> DataFrame:
-    """(key, pos, val) rows -> one LONG array of ``dim`` slots per key (0 where
-    absent).  A key has at most ``dim`` rows, so the group is bounded."""
-    return df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", val))).alias("_m")).select(
-        key,
-        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("long"))).alias(
-            out
-        ),
-    )
+_HALF = 20  # bits of the low part of a profile component
+
+
+def _sum_products(a: str, b: str, fa, fb) -> Column:
+    prods = F.zip_with(F.col(a), F.col(b), lambda x, y: fa(x) * fb(y))
+    return F.aggregate(prods, F.lit(0).cast("long"), lambda acc, x: acc + x).cast("decimal(38,0)")
+
+
+def _high(x: Column) -> Column:
+    return F.shiftright(x, _HALF)
+
 
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << _HALF) - 1).cast("long"))
 
-def _dot(a: str, b: str) -> Column:
-    prods = F.zip_with(F.col(a), F.col(b), lambda x, y: x * y)
-    return F.aggregate(prods, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+def _same(x: Column) -> Column:
+    return x
+
+
+def _profile_dot(p: str, q: str) -> Column:
+    """Exact dot product of a profile and a book vector: the profile's high and
+    low parts are summed as LONG and put together as DECIMAL."""
+    return _sum_products(p, q, _high, _same) * F.lit(1 << _HALF) + _sum_products(p, q, _low, _same)
+
+
+def _profile_norm(p: str) -> Column:
+    cross = _sum_products(p, p, _high, _low) * F.lit(1 << (_HALF + 1))
+    return _sum_products(p, p, _high, _high).cast("decimal(26,0)") * F.lit(1 << (2 * _HALF)).cast("decimal(13,0)") + cross + _sum_products(p, p, _low, _low)
 
 
 def embedding_variant(
@@ -193,27 +221,23 @@ def embedding_variant(
     """User profile from book vectors cut to ``dim``; rank own books by cosine.
 
     profile(u) = sum over borrows of the quantised book vector; dot products
-    and squared norms are exact LONG sums; the cosine is one double division
-    at the end: dot / sqrt(|p|^2 * |q|^2).  Candidates are the user's own
-    books that have a vector.  Order: cosine desc (NULL last), book asc.
-
-    The profile is aggregated per (user, pos) (partial aggregation), then
-    packed with the book vectors into ``dim``-slot arrays, so each candidate
-    (user, book) is one row with two arrays and the dot product is an array
-    expression; no per-dimension rows are joined.
+    and squared norms are exact (DECIMAL from LONG parts, good for some 10^8
+    borrows of a user); the cosine is one double division at the end:
+    dot / sqrt(|p|^2 * |q|^2).  Candidates are the user's own books that have a
+    vector.  Order: cosine desc (NULL last), book asc.
+
+    One row per borrowed (user, book) joins its vector; the profile is ``dim``
+    sums in one aggregate by user.  Nothing is exploded by component.
     """
-    comps = quantized_components(items, dim)
+    vectors = quantized_vectors(items, dim)
     counts = train.groupBy(USER, BOOK).agg(F.count(F.lit(1)).cast("long").alias("_c"))
-    own = counts.join(comps.select(BOOK).distinct(), BOOK, "left_semi")  # own books with a vector
-    profile = (
-        counts.join(comps, BOOK)
-        .groupBy(USER, "pos")
-        .agg(F.sum(F.col("_c") * F.col("q")).cast("long").alias("_p"))
-    )
-    pvec = _as_vector(profile, USER, "_p", dim, "_pv").withColumn("_nu", _dot("_pv", "_pv"))
-    bvec = _as_vector(comps, BOOK, "q", dim, "_bv").withColumn("_nb", _dot("_bv", "_bv"))
-    cos = safe_ratio(_dot("_pv", "_bv"), F.sqrt(F.col("_nu").cast("double") * F.col("_nb").cast("double")))
-    scored = own.join(pvec, USER).join(bvec, BOOK).select(USER, BOOK, cos.alias("cosine"))
+    own = counts.join(vectors, BOOK)
+    sums = [F.sum(F.col("_c") * F.get("_bv", F.lit(i))).cast("long").alias(f"_p{i}") for i in range(dim)]
+    profile = own.groupBy(USER).agg(*sums).select(USER, F.array(*[f"_p{i}" for i in range(dim)]).alias("_pv"))
+    profile = profile.withColumn("_nu", _profile_norm("_pv").cast("double"))
+    norm = F.aggregate(F.transform("_bv", lambda x: x * x), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    cos = safe_ratio(_profile_dot("_pv", "_bv"), F.sqrt(F.col("_nu") * norm.cast("double")))
+    scored = own.join(profile, USER).select(USER, BOOK, cos.alias("cosine"))
     ranked = _ranked(scored, [USER], [F.col("cosine").desc_nulls_last(), F.col(BOOK).asc()], k)
     return _as_predictions(ranked, name or f"emb{dim}", "emb", "cosine")
 
@@ -239,7 +263,7 @@ def cold_start_sources(users: DataFrame, train: DataFrame, group: bool = True) -
     sources = []
     if group and "grp" in users.columns:
         gtop = popularity_candidates(train, 1, users).select("grp", BOOK, F.col("n").alias("score"))
-        sources.append(("group_top", users.select(USER, "grp").join(gtop, "grp", "inner").select(USER, BOOK, "score")))
+        sources.append(("group_top", users.select(USER, "grp").join(bounded_broadcast(gtop), "grp", "inner").select(USER, BOOK, "score")))
     top = popularity_candidates(train, 1).select(BOOK, F.col("n").alias("score"))
     # Global top book as a scalar subquery: no join, no copy of a table per user.
     sources.append(

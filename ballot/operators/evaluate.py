@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast, safe_ratio, scalar_count
@@ -100,78 +100,50 @@ def variant_stability(df: DataFrame, family: str, k: int = 10, variants: Sequenc
     ``same_top1``, ``inter`` = sum |A ∩ B| and ``union`` = sum |A ∪ B| over
     users in both, and ``jaccard`` = inter / union.
 
-    One aggregate on (user, book) gives the bit mask of variants listing the
-    pair (and of those ranking it first); one aggregate on user ORs those into
-    the user's variant mask and counts each variant's list size.  Everything
-    after that is keyed by distinct masks, and only distinct masks are
-    expanded into variant pairs: nothing is paired per user.
+    Two aggregates give the sorted set of variants (numbers) that list each
+    (user, book), and each user's variants with their list sizes.  Both are
+    counted by distinct set, and only distinct sets are exploded into variant
+    pairs: nothing is paired per user, and any number of variants will do.
     """
     fam = df.filter((F.col(FAMILY) == family) & (F.col(RNK) <= k))
     if variants is None:
         variants = sorted(r[0] for r in fam.select(MODEL).distinct().collect())
     variants = list(variants)
-    if len(variants) > 62:
-        raise ValueError("at most 62 variants per family")
-    nv = len(variants)
-    bit = F.lit(0).cast("long")
-    for i, v in enumerate(variants):
-        bit = F.when(F.col(MODEL) == v, F.lit(1 << i).cast("long")).otherwise(bit)
-    fam = fam.filter(F.col(MODEL).isin(variants)).withColumn("_bit", bit)
-
-    pair = fam.groupBy(USER, BOOK).agg(
-        F.sum("_bit").alias("_mask"),
-        F.sum(F.when(F.col(RNK) == 1, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias("_m1"),
-    )
-    has = [F.shiftright("_mask", i).bitwiseAND(1) for i in range(nv)]
-    per_user = pair.groupBy(USER).agg(
-        F.bit_or("_mask").alias("_umask"), *[F.sum(h).alias(f"_n{i}") for i, h in enumerate(has)]
-    )
-    per_mask = per_user.groupBy("_umask").agg(
-        F.count(F.lit(1)).alias("_users"), *[F.sum(f"_n{i}").alias(f"_s{i}") for i in range(nv)]
-    )
-    inter_masks = pair.groupBy("_mask").agg(F.count(F.lit(1)).alias("_cnt"))
-    top1_masks = pair.filter(F.col("_m1") != 0).groupBy(F.col("_m1").alias("_mask")).agg(F.count(F.lit(1)).alias("_cnt"))
+    number = F.array_position(F.array(*[F.lit(v) for v in variants]), F.col(MODEL)).cast("int")
+    fam = fam.filter(F.col(MODEL).isin(variants)).select(USER, BOOK, RNK, number.alias("_v"))
 
-    pairs = [(a, b, (1 << i) | (1 << j), i + 1, j + 1) for i, a in enumerate(variants) for j, b in enumerate(variants) if i != j]
-    # |variants| * (|variants| - 1) rows, at most 62 * 61: a proven bound
-    pair_df = F.broadcast(
-        df.sparkSession.createDataFrame(pairs, "model_a string, model_b string, _pm long, _ia int, _ib int")
+    def variant_set(when: Column | None = None) -> Column:
+        return F.sort_array(F.collect_set(F.col("_v") if when is None else F.when(when, F.col("_v"))))
+
+    # a set holds one number a variant at most
+    pair = fam.groupBy(USER, BOOK).agg(variant_set().alias("_set"), variant_set(F.col(RNK) == 1).alias("_first"))
+    sizes = fam.groupBy(USER, "_v").agg(F.count_distinct(BOOK).alias("_n"))
+    per_user = sizes.groupBy(USER).agg(
+        variant_set().alias("_set"), F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias("_sizes")
     )
+    n_of = [F.sum(F.coalesce(F.try_element_at("_sizes", F.lit(i + 1)), F.lit(0))) for i in range(len(variants))]
+    per_set = per_user.groupBy("_set").agg(F.count(F.lit(1)).alias("_users"), F.array(*n_of).alias("_sums"))
 
-    def contains(mask: str):
-        return F.col(mask).bitwiseAND(F.col("_pm")) == F.col("_pm")
+    def by_pair(sets: DataFrame, *aggs: Column) -> DataFrame:
+        return sets.withColumn("_a", F.explode("_set")).withColumn("_b", F.explode("_set")).filter("_a <> _b").groupBy("_a", "_b").agg(*aggs)
 
-    sizes = F.array(*[F.col(f"_s{i}") for i in range(nv)])
-    by_user = (
-        per_mask.join(pair_df, contains("_umask"))
-        .groupBy("model_a", "model_b")
-        .agg(
-            F.sum("_users").cast("long").alias("users_both"),
-            F.sum(F.element_at(sizes, F.col("_ia"))).cast("long").alias("_sa"),
-            F.sum(F.element_at(sizes, F.col("_ib"))).cast("long").alias("_sb"),
-        )
+    both = by_pair(
+        per_set,
+        F.sum("_users").cast("long").alias("users_both"),
+        F.sum(F.get("_sums", F.col("_a") - 1) + F.get("_sums", F.col("_b") - 1)).cast("long").alias("_listed"),
     )
-    inter = inter_masks.join(pair_df, contains("_mask")).groupBy("model_a", "model_b").agg(
-        F.sum("_cnt").cast("long").alias("inter")
-    )
-    same_top1 = top1_masks.join(pair_df, contains("_mask")).groupBy("model_a", "model_b").agg(
-        F.sum("_cnt").cast("long").alias("same_top1")
-    )
-    keys = ["model_a", "model_b"]
+    inter = by_pair(pair.groupBy("_set").agg(F.count(F.lit(1)).alias("_c")), F.sum("_c").cast("long").alias("inter"))
+    first = pair.filter(F.size("_first") > 1).groupBy(F.col("_first").alias("_set")).agg(F.count(F.lit(1)).alias("_c"))
+    same = by_pair(first, F.sum("_c").cast("long").alias("same_top1"))
+    names = [(i + 1, j + 1, a, b) for i, a in enumerate(variants) for j, b in enumerate(variants) if i != j]
+    keys = ["_a", "_b"]
     out = (
-        pair_df.select(*keys)
-        .join(by_user, keys, "left")
-        .join(same_top1, keys, "left")
+        df.sparkSession.createDataFrame(names, "_a int, _b int, model_a string, model_b string")
+        .join(both, keys, "left")
+        .join(same, keys, "left")
         .join(inter, keys, "left")
-        .select(
-            *keys,
-            F.coalesce("users_both", F.lit(0)).cast("long").alias("users_both"),
-            F.coalesce("same_top1", F.lit(0)).cast("long").alias("same_top1"),
-            F.coalesce("inter", F.lit(0)).cast("long").alias("inter"),
-            (F.coalesce("_sa", F.lit(0)) + F.coalesce("_sb", F.lit(0)) - F.coalesce("inter", F.lit(0)))
-            .cast("long")
-            .alias("union"),
-        )
+        .na.fill(0, ["users_both", "same_top1", "inter", "_listed"])
+        .select("model_a", "model_b", "users_both", "same_top1", "inter", (F.col("_listed") - F.col("inter")).alias("union"))
     )
     return out.withColumn("jaccard", safe_ratio("inter", "union"))
 
@@ -359,21 +331,34 @@ def pair_lift(before: DataFrame, after: DataFrame, truth: DataFrame, details: bo
 def submission_check(picks: DataFrame, users: DataFrame, books: DataFrame) -> DataFrame:
     """One row: expected, delivered, missing, duplicate_users, null_keys,
     unknown_books, unknown_users."""
-    u = users.select(USER).distinct()
-    bk = books.select(BOOK).distinct()
-    p = picks.select(USER, BOOK)
-    nonnull = p.filter(F.col(USER).isNotNull() & F.col(BOOK).isNotNull())
-    per_user = p.filter(F.col(USER).isNotNull()).groupBy(USER).agg(F.count(F.lit(1)).alias("_n"))
-    row = p.sparkSession.range(1).select(
-        scalar_count(u).cast("long").alias("expected"),
-        scalar_count(p).cast("long").alias("delivered"),
-        scalar_count(u.join(per_user, USER, "left_anti")).cast("long").alias("missing"),
-        scalar_count(per_user.filter(F.col("_n") > 1)).cast("long").alias("duplicate_users"),
-        scalar_count(p.filter(F.col(USER).isNull() | F.col(BOOK).isNull())).cast("long").alias("null_keys"),
-        scalar_count(nonnull.join(bk, BOOK, "left_anti")).cast("long").alias("unknown_books"),
-        scalar_count(nonnull.join(u, USER, "left_anti")).cast("long").alias("unknown_users"),
+    u = users.select(USER).distinct().withColumn("_user", F.lit(True))
+    bk = books.select(F.col(BOOK).alias("_b")).distinct().withColumn("_book", F.lit(True))
+    p = picks.select(USER, F.col(BOOK).alias("_b"))
+    # every pick with what is known of its user and book; users without a pick too
+    known = p.withColumn("_pick", F.lit(True)).join(bk, "_b", "left")
+    per_user = known.groupBy(USER).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("_b").isNull()).alias("_null_books"),
+        F.count_if(F.col("_b").isNotNull() & F.col("_book").isNull()).alias("_bad_books"),
+    )
+    joined = per_user.join(u.withColumnRenamed(USER, "_u"), F.col(USER) == F.col("_u"), "full")
+    n, real = F.col("_n"), F.col(USER).isNotNull()
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    null_keys = F.when(real, F.col("_null_books")).otherwise(n)
+    bad_books = F.when(real, F.col("_bad_books"))
+    stray = F.when(real & F.col("_user").isNull(), n - F.col("_null_books"))
+    return joined.agg(
+        F.count("_user").cast("long").alias("expected"),
+        total(n).alias("delivered"),
+        F.count_if(F.col("_user") & n.isNull()).cast("long").alias("missing"),
+        F.count_if(real & (n > 1)).cast("long").alias("duplicate_users"),
+        total(null_keys).alias("null_keys"),
+        total(bad_books).alias("unknown_books"),
+        total(stray).alias("unknown_users"),
     )
-    return row
 
 
 __all__ = [

@@ -43,14 +43,15 @@ def conform(
 ) -> DataFrame:
     """Drop null keys, clean scores, dedupe (model, user, book), rank gap-free.
 
-    Duplicate pairs keep the max score and the min given rank.  A given rank
+    Duplicate pairs keep the max score, the min given rank and the first
+    family by name.  A given rank
     decides the order; otherwise ``raw_score DESC NULLS LAST``; then
     ``book_id ASC``.  Idempotent: a second pass reproduces the same ranks.
 
     ``list_bound``: a proven upper bound on rows per (model, user) list, e.g.
     the depth of a Top-k file.  Without it, list sizes are estimated from a
-    sample; lists of about ``hot_rows`` rows or more are then deduplicated on
-    all four keys and ranked across many tasks (``functions.rank``), while
+    sample; lists of about ``hot_rows`` rows or more are then deduplicated by
+    model, user and book and ranked across many tasks (``functions.rank``), while
     the common case keeps the single-exchange plan.
     """
     df = _with_optional(df)
@@ -65,12 +66,12 @@ def conform(
     hot = None
     if list_bound is None or list_bound >= hot_rows:
         hot = hot_groups(clean, [MODEL, USER], hot_rows, sample_fraction)
-    keys = [MODEL, FAMILY, USER, BOOK]
-    aggs = [F.max(RAW).alias(RAW), F.min("_given").alias("_given")]
+    keys = [MODEL, USER, BOOK]
+    aggs = [F.min(FAMILY).alias(FAMILY), F.max(RAW).alias(RAW), F.min("_given").alias("_given")]
     if hot is None:
         dedup = clean.repartition(MODEL, USER).groupBy(*keys).agg(*aggs)
     else:
-        # hashed on all four keys: a hot list is spread by book, partial aggregation on
+        # hashed on all three keys: a hot list is spread by book, partial aggregation on
         dedup = clean.groupBy(*keys).agg(*aggs)
     ranked = rank_within(dedup, [MODEL, USER], list_order(), "_rnk", hot)
     return ranked.select(MODEL, FAMILY, USER, BOOK, RAW, F.col("_rnk").cast("int").alias(RNK))
@@ -129,20 +130,18 @@ def calibrate(df: DataFrame, truth: DataFrame, method: str = "bins", n_bins: int
         return _calibrate_isotonic(scored, truth)
     if method != "bins":
         raise ValueError("method must be 'bins' or 'isotonic'")
-    binned = scored.withColumn(
-        "_bin", F.least(F.lit(n_bins - 1), F.floor(F.col("_mm") * n_bins).cast("int"))
-    )
+    # a NULL score has no bin (least would skip the NULL) and gets the model-wide rate
+    bin_ = F.least(F.lit(n_bins - 1), F.floor(F.col("_mm") * n_bins).cast("int"))
+    binned = scored.withColumn("_bin", F.when(F.col("_mm").isNotNull(), bin_))
     t = truth.select(F.col(USER), F.col(BOOK).alias("_truth"))
     val = binned.join(t, USER, "inner").withColumn("_hit", (F.col(BOOK) == F.col("_truth")).cast("long"))
-    per_bin = val.groupBy(MODEL, "_bin").agg(
-        ((F.sum("_hit") + 1) / (F.count(F.lit(1)) + 2)).cast("double").alias("_p_bin")
-    )
-    per_model = val.groupBy(MODEL).agg(
-        ((F.sum("_hit") + 1) / (F.count(F.lit(1)) + 2)).cast("double").alias("_p_model")
-    )
-    out = binned.join(bounded_broadcast(per_bin, cache=True), [MODEL, "_bin"], "left").join(
-        bounded_broadcast(per_model, cache=True), MODEL, "left"
-    )
+    # one pass over the validation rows; the model-wide rate rolls its bins up
+    per_bin = val.groupBy(MODEL, "_bin").agg(F.sum("_hit").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    per_bin = bounded_broadcast(per_bin, cache=True)
+    rate = lambda h, n: ((h + 1) / (n + 2)).cast("double")
+    per_model = per_bin.groupBy(MODEL).agg(rate(F.sum("_h"), F.sum("_n")).alias("_p_model"))
+    bins = per_bin.select(MODEL, "_bin", rate(F.col("_h"), F.col("_n")).alias("_p_bin"))
+    out = binned.join(bins, [MODEL, "_bin"], "left").join(per_model, MODEL, "left")
     return out.withColumn("cal_score", F.coalesce("_p_bin", "_p_model", F.lit(0.5))).drop(
         "_mm", "_bin", "_p_bin", "_p_model"
     )

@@ -116,26 +116,14 @@ def final_vote(
     return FinalVote(picks=picks, weights=w, votes=votes)
 
 
-RECENT = "2000-01-01"
-
-
-def recent(train: DataFrame, since: str = RECENT) -> DataFrame:
-    """Borrows on or after ``since``: the co-borrow and two-hop jobs use this
-    recent-history window (their pair counts grow with the square of a
-    user's history)."""
-    return train.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-
-
-def candidate_lists(
-    train: DataFrame, items: DataFrame, users: DataFrame, k: int = 10, since: str = RECENT
-) -> list[DataFrame]:
+def candidate_lists(train: DataFrame, items: DataFrame, users: DataFrame, k: int = 10) -> list[DataFrame]:
     """Sub-model jobs on the training borrows, each a predictions frame."""
     pop = popularity_for_users(popularity_candidates(train, k, users), users)
     lists = [
         pop,
         history_candidates(train, k),
-        coborrow_candidates(recent(train, since), k, max_history=100),
-        graph_propagate(recent(train, since), max_degree=60, k=k),
+        coborrow_candidates(train, k),
+        graph_propagate(train, k),
     ]
     lists += [embedding_variant(items, train, d, k) for d in (16, 32, 64)]
     return [conform(x, list_bound=k) for x in lists]

@@ -18,16 +18,60 @@ _SUB3 = "'v5_01', 'v5_02', 'v5_03'"
 _BB27 = "'hybrid', 'v5_01', 'v5_02', 'v5_03'"
 CAP, TOTAL_CAP = 150000, 400000
 
+
+
+def _sequence_sql(src: str, key: str, other: str) -> str:
+    return f"""(SELECT user_id, book_id, row_number() OVER (PARTITION BY {key}
+                       ORDER BY ts ASC NULLS LAST, seq ASC NULLS LAST, {other} ASC) AS pos
+                FROM (SELECT user_id, book_id, min(ts) AS ts, min(seq) AS seq FROM {src} GROUP BY user_id, book_id))"""
+
+
+def _coborrow_sql(src: str, window: int = 5, neighbours: int = 20) -> str:
+    """User, book, rank, score of O36 over the borrows ``src``."""
+    seq = _sequence_sql(src, "user_id", "book_id")
+    return f"""
+    SELECT user_id, book_id, rnk, score FROM (
+      SELECT user_id, book_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC)
+             AS INTEGER) AS rnk, score FROM (
+        SELECT e.user_id, p.b2 AS book_id, CAST(sum(p.cnt) AS BIGINT) AS score
+        FROM (SELECT DISTINCT user_id, book_id FROM {src}) e
+        JOIN (SELECT b1, b2, cnt, row_number() OVER (PARTITION BY b1 ORDER BY cnt DESC, b2 ASC) AS place
+              FROM (SELECT a.book_id AS b1, b.book_id AS b2, count(*) AS cnt
+                    FROM {seq} a JOIN {seq} b
+                      ON a.user_id = b.user_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= {window}
+                    GROUP BY a.book_id, b.book_id)) p
+          ON e.book_id = p.b1 AND p.place <= {neighbours}
+        LEFT JOIN (SELECT DISTINCT user_id, book_id FROM {src}) x ON x.user_id = e.user_id AND x.book_id = p.b2
+        WHERE x.user_id IS NULL
+        GROUP BY e.user_id, p.b2))
+    WHERE rnk <= 10"""
+
+
+def _graph_sql(src: str, model: str = "graph", window: int = 2) -> str:
+    """O31 over the borrows ``src``."""
+    return f"""
+    SELECT '{model}' AS model, 'graph' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
+           CAST(rnk AS INTEGER) AS rnk FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC) AS rnk FROM (
+        SELECT r.user_id, c.book_id,
+               CAST(sum(({window} + 1 - r.gap) * ({window} + 1 - abs(c.pos - b.pos))) AS BIGINT) AS score
+        FROM (SELECT x.user_id, x.book_id AS b1, y.user_id AS u2, abs(x.pos - y.pos) AS gap
+              FROM {_sequence_sql(src, "book_id", "user_id")} x
+              JOIN {_sequence_sql(src, "book_id", "user_id")} y
+                ON x.book_id = y.book_id AND x.pos <> y.pos AND abs(x.pos - y.pos) <= {window}) r
+        JOIN {_sequence_sql(src, "user_id", "book_id")} b ON b.user_id = r.u2 AND b.book_id = r.b1
+        JOIN {_sequence_sql(src, "user_id", "book_id")} c
+          ON c.user_id = r.u2 AND c.pos <> b.pos AND abs(c.pos - b.pos) <= {window}
+        GROUP BY r.user_id, c.book_id))
+    WHERE rnk <= 10"""
+
+
 # name -> (dependencies, body)
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "inter": ((), """
     SELECT o.o_custkey AS user_id, l.l_partkey AS book_id, o.o_orderdate AS ts,
            o.o_orderkey * 10 + (9 - l.l_linenumber) AS seq
     FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey"""),
-    "recent": ((), """
-    SELECT o.o_custkey AS user_id, l.l_partkey AS book_id, o.o_orderdate AS ts
-    FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-    WHERE o.o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'"""),
     "holdout": (("inter",), """
     SELECT user_id, book_id, ts,
            CASE WHEN user_id % 5 = 0 THEN 'validation' ELSE 'test' END AS split
@@ -66,8 +110,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT model, family, user_id, book_id, raw_score,
            CAST(row_number() OVER (PARTITION BY model, user_id
                 ORDER BY raw_score DESC NULLS LAST, book_id ASC) AS INTEGER) AS rnk
-    FROM (SELECT model, family, user_id, book_id, max(raw_score) AS raw_score
-          FROM planted GROUP BY model, family, user_id, book_id)"""),
+    FROM (SELECT model, min(family) AS family, user_id, book_id, max(raw_score) AS raw_score
+          FROM planted GROUP BY model, user_id, book_id)"""),
     # flat Top-1 vote with the fixture weights
     "votes": (("preds", "fw"), """
     SELECT p.user_id, p.book_id, CAST(sum(w.weight) AS BIGINT) AS score, count(*) AS support,
@@ -162,23 +206,7 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT 'popular' AS model, 'popular' AS family, u.user_id, g.book_id,
            CAST(g.n AS DOUBLE) AS raw_score, g.rnk
     FROM users u JOIN popgrp g ON u.grp = g.grp"""),
-    "train_recent": (("train",), "SELECT * FROM train WHERE ts >= TIMESTAMP '2000-01-01 00:00:00'"),
-    "cob_train": (("train_recent",), """
-    SELECT * FROM (
-      SELECT user_id, book_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC)
-             AS INTEGER) AS rnk, score FROM (
-        SELECT e.user_id, p.b2 AS book_id, CAST(sum(p.cnt) AS BIGINT) AS score
-        FROM (SELECT DISTINCT user_id, book_id FROM train_recent) e
-        JOIN (SELECT a.book_id AS b1, b.book_id AS b2, count(*) AS cnt
-              FROM (SELECT DISTINCT user_id, book_id FROM train_recent
-                    WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id, book_id FROM train_recent)
-                                      GROUP BY user_id HAVING count(*) <= 100)) a
-              JOIN (SELECT DISTINCT user_id, book_id FROM train_recent) b
-                ON a.user_id = b.user_id AND a.book_id <> b.book_id
-              GROUP BY a.book_id, b.book_id) p ON e.book_id = p.b1
-        WHERE NOT EXISTS (SELECT 1 FROM train_recent x WHERE x.user_id = e.user_id AND x.book_id = p.b2)
-        GROUP BY e.user_id, p.b2))
-    WHERE rnk <= 10"""),
+    "cob_train": (("train",), _coborrow_sql("train")),
     "coblist": (("cob_train",), """
     SELECT 'coborrow' AS model, 'coborrow' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score, rnk
     FROM cob_train"""),
@@ -234,15 +262,15 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
           FROM preds GROUP BY model, user_id) u ON p.model = u.model AND p.user_id = u.user_id"""),
     "o07_calibrate": (("preds", "val"), """
     SELECT b.model, b.user_id, b.book_id, coalesce(pb.p, pm.p, 0.5) AS cal_score
-    FROM (SELECT p.*, least(9, CAST(floor(
-                 CASE WHEN s.hi = s.lo THEN 1.0 ELSE (p.raw_score - s.lo) / (s.hi - s.lo) END * 10) AS INTEGER)) AS bin
+    FROM (SELECT p.*, CASE WHEN p.raw_score IS NOT NULL THEN least(9, CAST(floor(
+                 CASE WHEN s.hi = s.lo THEN 1.0 ELSE (p.raw_score - s.lo) / (s.hi - s.lo) END * 10) AS INTEGER)) END AS bin
           FROM preds p JOIN (SELECT model, min(raw_score) AS lo, max(raw_score) AS hi FROM preds GROUP BY model) s
             ON p.model = s.model) b
     LEFT JOIN (SELECT x.model, x.bin, (sum(CASE WHEN x.book_id = v.book_id THEN 1 ELSE 0 END) + 1)
                       / (count(*) + 2) AS p
-               FROM (SELECT p.*, least(9, CAST(floor(
+               FROM (SELECT p.*, CASE WHEN p.raw_score IS NOT NULL THEN least(9, CAST(floor(
                        CASE WHEN s.hi = s.lo THEN 1.0 ELSE (p.raw_score - s.lo) / (s.hi - s.lo) END * 10)
-                       AS INTEGER)) AS bin
+                       AS INTEGER)) END AS bin
                      FROM preds p JOIN (SELECT model, min(raw_score) AS lo, max(raw_score) AS hi
                                         FROM preds GROUP BY model) s ON p.model = s.model) x
                JOIN val v ON x.user_id = v.user_id GROUP BY x.model, x.bin) pb
@@ -263,9 +291,10 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT p.model, p.family, p.user_id, p.book_id, p.raw_score, p.rnk, w.weight, w.priority, w.role
     FROM preds p JOIN fw w ON p.model = w.model"""),
     "o13_supplementary": (("preds",), f"""
-    SELECT * FROM preds n WHERE n.model = 'dspos2' AND n.rnk <= 10
-      AND NOT EXISTS (SELECT 1 FROM preds b WHERE b.model IN ('hybrid', {_V5}) AND b.rnk <= 10
-                      AND b.user_id = n.user_id AND b.book_id = n.book_id)"""),
+    SELECT n.* FROM (SELECT * FROM preds WHERE model = 'dspos2' AND rnk <= 10) n
+    LEFT JOIN (SELECT DISTINCT user_id, book_id FROM preds WHERE model IN ('hybrid', {_V5}) AND rnk <= 10) b
+      ON b.user_id = n.user_id AND b.book_id = n.book_id
+    WHERE b.user_id IS NULL"""),
     "o14_cascade": (("cons2", "picks", "top10", "coldsrc"), """
     SELECT user_id, book_id, score, source FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord ASC, book_id ASC) AS rn FROM (
@@ -379,22 +408,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
               AND book_id NOT IN (SELECT p_partkey FROM part)) AS unknown_books,
            (SELECT count(*) FROM cons2 WHERE user_id IS NOT NULL AND book_id IS NOT NULL
               AND user_id NOT IN (SELECT c_custkey FROM customer)) AS unknown_users"""),
-    "o31_graph_propagate": (("recent",), """
-    SELECT 'graph' AS model, 'graph' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
-           CAST(rnk AS INTEGER) AS rnk FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC) AS rnk FROM (
-        SELECT a.user_id, c.book_id,
-               CAST(sum(1000000 // (db.d * du.d)) AS BIGINT) AS score
-        FROM (SELECT DISTINCT user_id, book_id FROM recent) a
-        JOIN (SELECT book_id, count(*) AS d FROM (SELECT DISTINCT user_id, book_id FROM recent)
-              GROUP BY book_id) db ON db.book_id = a.book_id AND db.d <= 60
-        JOIN (SELECT DISTINCT user_id, book_id FROM recent) b ON b.book_id = a.book_id AND b.user_id <> a.user_id
-        JOIN (SELECT user_id, count(*) AS d FROM (SELECT DISTINCT user_id, book_id FROM recent)
-              GROUP BY user_id) du ON du.user_id = b.user_id
-        JOIN (SELECT DISTINCT user_id, book_id FROM recent) c ON c.user_id = b.user_id
-        GROUP BY a.user_id, c.book_id
-        HAVING sum(1000000 // (db.d * du.d)) > 0))
-    WHERE rnk <= 10"""),
+    "o31_graph_propagate": (("inter",), _graph_sql("inter")),
     "o32_embedding_variant": (("inter", "emb"), """
     SELECT 'emb64' AS model, 'emb' AS family, user_id, book_id, cosine AS raw_score, CAST(rnk AS INTEGER) AS rnk
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cosine DESC NULLS LAST, book_id ASC) AS rnk
@@ -420,23 +434,9 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     WHERE rnk <= 10"""),
     "o34_popularity_candidates": (("popgrp",), "SELECT * FROM popgrp"),
     "o35_history_candidates": (("hist",), "SELECT * FROM hist"),
-    "o36_coborrow_candidates": (("recent",), """
+    "o36_coborrow_candidates": (("inter",), f"""
     SELECT 'coborrow' AS model, 'coborrow' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score, rnk
-    FROM (
-      SELECT user_id, book_id, score,
-             CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC) AS INTEGER) AS rnk FROM (
-        SELECT e.user_id, p.b2 AS book_id, CAST(sum(p.cnt) AS BIGINT) AS score
-        FROM (SELECT DISTINCT user_id, book_id FROM recent) e
-        JOIN (SELECT a.book_id AS b1, b.book_id AS b2, count(*) AS cnt
-              FROM (SELECT DISTINCT user_id, book_id FROM recent
-                    WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id, book_id FROM recent)
-                                      GROUP BY user_id HAVING count(*) <= 100)) a
-              JOIN (SELECT DISTINCT user_id, book_id FROM recent) b
-                ON a.user_id = b.user_id AND a.book_id <> b.book_id
-              GROUP BY a.book_id, b.book_id) p ON e.book_id = p.b1
-        WHERE NOT EXISTS (SELECT 1 FROM recent x WHERE x.user_id = e.user_id AND x.book_id = p.b2)
-        GROUP BY e.user_id, p.b2))
-    WHERE rnk <= 10"""),
+    FROM ({_coborrow_sql("inter")})"""),
     "o37_hybrid_candidates": (("poplist", "hist", "coblist", "emblist", "lw"), """
     SELECT 'hybrid' AS model, 'hybrid' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
            CAST(rn AS INTEGER) AS rnk
@@ -542,24 +542,6 @@ QUERIES["o27_admission_scenarios"] = (("preds", "fw", "val", "scen"), QUERIES["o
 # and the cascade, then hit@1 on test users for every voter and the picks.
 
 
-def _graph_sql(src: str, model: str = "graph") -> str:
-    return f"""
-    SELECT '{model}' AS model, 'graph' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
-           CAST(rnk AS INTEGER) AS rnk FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC) AS rnk FROM (
-        SELECT a.user_id, c.book_id, CAST(sum(1000000 // (db.d * du.d)) AS BIGINT) AS score
-        FROM (SELECT DISTINCT user_id, book_id FROM {src}) a
-        JOIN (SELECT book_id, count(*) AS d FROM (SELECT DISTINCT user_id, book_id FROM {src})
-              GROUP BY book_id) db ON db.book_id = a.book_id AND db.d <= 60
-        JOIN (SELECT DISTINCT user_id, book_id FROM {src}) b ON b.book_id = a.book_id AND b.user_id <> a.user_id
-        JOIN (SELECT user_id, count(*) AS d FROM (SELECT DISTINCT user_id, book_id FROM {src})
-              GROUP BY user_id) du ON du.user_id = b.user_id
-        JOIN (SELECT DISTINCT user_id, book_id FROM {src}) c ON c.user_id = b.user_id
-        GROUP BY a.user_id, c.book_id
-        HAVING sum(1000000 // (db.d * du.d)) > 0))
-    WHERE rnk <= 10"""
-
-
 def _emb_sql(src: str, dim: int) -> str:
     return f"""
     SELECT 'emb{dim}' AS model, 'emb' AS family, user_id, book_id, cosine AS raw_score, CAST(rnk AS INTEGER) AS rnk
@@ -600,7 +582,7 @@ def _weights_sql(src: str, truth: str, k: int, aux: str | None) -> str:
 
 
 BLOCKS["test"] = (("holdout",), "SELECT user_id, book_id FROM holdout WHERE split = 'test'")
-BLOCKS["graph4"] = (("train_recent",), _graph_sql("train_recent"))
+BLOCKS["graph4"] = (("train",), _graph_sql("train"))
 for _d in (16, 32, 64):
     BLOCKS[f"emb4_{_d}"] = (("train", "emb"), _emb_sql("train", _d))
 BLOCKS["allp"] = (("preds", "poplist", "hist", "coblist", "graph4", "emb4_16", "emb4_32", "emb4_64"), """

@@ -30,7 +30,6 @@ from ballot.sources import tables as TB
 from ballot.sources.fixture import FIXTURE_AUX, FIXTURE_MODELS, LIST_DEPTH, V5, fixture_weights, planted_predictions
 
 # Fixed parameters of the registered queries.
-SINCE = "2000-01-01"  # borrows used by the co-borrow and two-hop jobs
 CAP = 150_000  # aux weight cap, micro-votes
 TOTAL_CAP = 400_000  # cap on the sum of aux weights, micro-votes
 SUB3 = ["v5_01", "v5_02", "v5_03"]
@@ -73,9 +72,6 @@ class Ctx:
     def picks(self) -> DataFrame:
         return L2.top1(self.votes())
 
-    def recent(self) -> DataFrame:
-        return TB.tpch_interactions(self.spark, self.sf, since=SINCE)
-
     def p1(self) -> DataFrame:
         return PL.layer1_family(self.preds, self.fw, "v5", variants=V5, k=10, min_support=7)
 
@@ -92,6 +88,12 @@ class Ctx:
         IO.write_stage(self.train, path)
         self.train = self.spark.read.parquet(path)
 
+    def stage_inter(self) -> DataFrame:
+        """All borrows, written once: the sequence jobs read them several times."""
+        path = scratch_path(self.spark, "inter")
+        IO.write_stage(self.inter, path)
+        return self.spark.read.parquet(path)
+
     def list_weights(self) -> DataFrame:
         return W.weights_frame(self.spark, LIST_WEIGHTS)
 
@@ -100,7 +102,7 @@ class Ctx:
         return [
             pop,
             C.history_candidates(self.train, 10),
-            C.coborrow_candidates(PL.recent(self.train, SINCE), 10, max_history=100),
+            C.coborrow_candidates(self.train, 10),
             C.embedding_variant(self.items, self.train, 64, 10),
         ]
 
@@ -277,7 +279,7 @@ def o30_submission_check(c: Ctx) -> DataFrame:
 
 
 def o31_graph_propagate(c: Ctx) -> DataFrame:
-    return C.graph_propagate(c.recent(), max_degree=60, k=10)
+    return C.graph_propagate(c.stage_inter(), k=10)
 
 
 def o32_embedding_variant(c: Ctx) -> DataFrame:
@@ -297,7 +299,7 @@ def o35_history_candidates(c: Ctx) -> DataFrame:
 
 
 def o36_coborrow_candidates(c: Ctx) -> DataFrame:
-    return C.coborrow_candidates(c.recent(), 10, max_history=100)
+    return C.coborrow_candidates(c.stage_inter(), 10)
 
 
 def o37_hybrid_candidates(c: Ctx) -> DataFrame:

@@ -324,13 +324,61 @@ def test_cold_start_fill(spark):
 
 def test_graph_propagate_hand_computed(spark):
     ts = datetime(2020, 1, 1)
-    # u1: b1; u2: b1, b2.  deg(b1) = 2, deg(u2) = 2.
+    # u1: b1; u2: b1, b2.  Readers of b1 in order: u1, u2.
     train = spark.createDataFrame([(1, 1, ts), (2, 1, ts), (2, 2, ts)], "user_id long, book_id long, ts timestamp_ntz")
-    got = rows(C.graph_propagate(train, max_degree=60), "user_id", "book_id", "raw_score")
-    # u1 -> b1 -> u2 -> {b1, b2}: 10^6 div (2 * 2) = 250000 each
-    assert (1, 1, 250000.0) in got and (1, 2, 250000.0) in got
-    # u2 -> b1 -> u1 -> b1: 10^6 div (2 * 1)
-    assert (2, 1, 500000.0) in got
+    got = rows(C.graph_propagate(train, window=2), "user_id", "book_id", "raw_score")
+    # u1 -> b1 -> u2 (one place) -> b2 (one place): 2 * 2; u1 has no other book for u2
+    assert got == [(1, 2, 4.0)]
+
+
+def test_heavy_user_and_popular_book_take_part(spark):
+    """A user of 200 books and a book of 200 readers both give and get candidates."""
+    ts = datetime(2020, 1, 1)
+    heavy = [(1, b, ts) for b in range(1, 201)]
+    popular = [(u, 500, ts) for u in range(1000, 1200)]
+    small = [(u, 1 + u % 200, ts) for u in range(1000, 1200)] + [(1, 500, ts), (2000, 1, ts)] + [(u, 900, ts) for u in range(1000, 1005)]
+    train = spark.createDataFrame(heavy + popular + small, "user_id long, book_id long, ts timestamp_ntz")
+    for got in (C.graph_propagate(train), C.coborrow_candidates(train)):
+        r = rows(got, "user_id", "book_id")
+        assert len({u for u, _ in r}) > 190  # users of one popular and one other book
+        assert {b for _, b in r} & set(range(1, 201))
+        assert (2000, 500) in r and (1, 900) in r
+    pairs = C.coborrow_pairs(train, window=5, neighbours=20)
+    assert pairs.groupBy("b1").count().agg({"count": "max"}).first()[0] == 20
+    assert pairs.filter("b1 = 100").count() >= 10 and pairs.filter("b1 = 500").count() == 20
+    seq = C.borrow_sequence(train, "user_id", "_pos")
+    assert C.adjacent(seq, "user_id", "_pos", 2, "book_id", "b2").groupBy("user_id", "book_id").count().agg({"count": "max"}).first()[0] == 4
+    hot = C.borrow_sequence(train, "book_id", "_pos", hot_rows=50)
+    assert rows(hot) == rows(C.borrow_sequence(train, "book_id", "_pos"))
+
+
+def test_conform_keeps_one_row_for_a_pair_under_two_families(spark):
+    df = spark.createDataFrame(
+        [("m", "b", 1, 7, 1.0), ("m", "a", 1, 7, 2.0), ("m", "a", 1, 8, 1.5)],
+        "model string, family string, user_id long, book_id long, raw_score double",
+    )
+    for kw in ({"list_bound": 10}, {"hot_rows": 1, "sample_fraction": 1.0}):
+        assert rows(P.conform(df, **kw), "family", "book_id", "raw_score", "rnk") == [("a", 7, 2.0, 1), ("a", 8, 1.5, 2)]
+
+
+def test_calibrate_null_scores_get_the_model_rate(spark):
+    data = [("m", u, b, s, i + 1) for u in range(20) for i, (b, s) in enumerate([(u, 10.0), (100 + u, 0.0), (200 + u, None)])]
+    df = spark.createDataFrame(data, "model string, user_id long, book_id long, raw_score double, rnk int").withColumn("family", F.col("model"))
+    truth = spark.createDataFrame([(u, u) for u in range(20)], "user_id long, book_id long")
+    got = {r.book_id: r.cal_score for r in P.calibrate(df, truth).collect()}
+    assert got[0] == 21 / 22 and got[100] == 1 / 22 and got[200] == 21 / 62
+
+
+def test_embedding_variant_of_a_heavy_user(spark):
+    """100,000 borrows of unit vectors: the squared norm is far beyond a LONG."""
+    ts = datetime(2020, 1, 1)
+    train = spark.range(100_000).selectExpr("1L AS user_id", "id % 2 AS book_id").withColumn("ts", F.lit(ts))
+    items = spark.createDataFrame([(0, [1.0, 0.0, -0.5]), (1, [0.6, 0.8]), (2, None)], "book_id long, embedding array<float>")
+    got = {r.book_id: r.raw_score for r in C.embedding_variant(items, train, 3).collect()}
+    p = [1.6, 0.8, -0.5]
+    norm = sum(x * x for x in p) ** 0.5
+    assert got[0] == pytest.approx((1.6 + 0.25) / norm / 1.25**0.5, rel=1e-6)
+    assert got[1] == pytest.approx((0.96 + 0.64) / norm, rel=1e-6)
 
 
 def test_coborrow_hand_computed(spark):
@@ -339,7 +387,7 @@ def test_coborrow_hand_computed(spark):
         [(1, 1, ts), (1, 2, ts), (2, 1, ts), (2, 2, ts), (2, 3, ts), (3, 1, ts)],
         "user_id long, book_id long, ts timestamp_ntz",
     )
-    got = rows(C.coborrow_candidates(train, 10, max_history=100), "user_id", "book_id", "raw_score")
+    got = rows(C.coborrow_candidates(train, 10), "user_id", "book_id", "raw_score")
     # user 3 owns book 1: cooc(1,2) = 2, cooc(1,3) = 1
     assert [(b, s) for u, b, s in got if u == 3] == [(2, 2.0), (3, 1.0)]
     # user 1 owns 1, 2: cooc(1,3) + cooc(2,3) = 2

@@ -11,6 +11,7 @@ from ballot.operators import candidates as C
 from ballot.operators import layer2 as L2
 from ballot.operators import prepare as P
 from ballot.operators import weights as W
+from ballot.plans.registry import QUERIES
 from ballot.schema import BACKBONE
 from ballot.sources import tables as TB
 
@@ -74,3 +75,9 @@ def test_no_python_udf_in_core_plans(spark, static_plans):
     p = plan(L2.top1(L2.weighted_vote(base, _weights(spark), validate="lazy")))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "WholeStageCodegen" in p or "*(" in p
+
+
+def test_embedding_profile_is_not_exploded_and_masks_are_not_looped(spark):
+    assert "Generate" not in plan(QUERIES["o32_embedding_variant"](spark, SF_SMALL))
+    assert "NestedLoop" not in plan(QUERIES["o26_variant_stability"](spark, SF_SMALL))
+    assert "NestedLoop" not in plan(QUERIES["o30_submission_check"](spark, SF_SMALL))
