@@ -85,9 +85,13 @@ def temporal_holdout(
             ).alias("split"),
         )
     )
-    cut = last.select(USER, F.col("ts").alias("_cut"))
-    train = interactions.join(cut, USER, "inner").filter(F.col("ts") < F.col("_cut")).drop("_cut")
-    return last, train
+    return last, train_before(interactions, last)
+
+
+def train_before(interactions: DataFrame, truth: DataFrame) -> DataFrame:
+    """The borrows strictly before each user's last one."""
+    cut = truth.select(USER, F.col("ts").alias("_cut"))
+    return interactions.join(cut, USER, "inner").filter(F.col("ts") < F.col("_cut")).drop("_cut")
 
 
 # --------------------------------------------------------------------- O26
@@ -370,5 +374,6 @@ __all__ = [
     "submission_check",
     "supplementary",
     "temporal_holdout",
+    "train_before",
     "variant_stability",
 ]

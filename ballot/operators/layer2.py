@@ -81,6 +81,16 @@ def arbitrate(votes: DataFrame) -> DataFrame:
     return votes.withColumn("arb_rank", F.row_number().over(w).cast("int"))
 
 
+def top1_by_consensus(votes: DataFrame, m: int = 2) -> DataFrame:
+    """Per user the best pair with at least ``m`` voters, else the best pair:
+    consensus and plain vote in one window, named in ``source``."""
+    agreed = F.col("support") >= m
+    w = Window.partitionBy(USER).orderBy(agreed.desc_nulls_last(), *arbitration_order())
+    best = votes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+    source = F.when(agreed, F.lit("consensus")).otherwise(F.lit("vote"))
+    return best.select(USER, BOOK, F.col("score").cast("long").alias("score"), source.alias("source"))
+
+
 def top1(votes: DataFrame, source: str = "vote") -> DataFrame:
     """Unique, stable Top-1 per user: ``picks(user_id, book_id, score, source)``.
 
@@ -110,11 +120,12 @@ def decision_margin(votes: DataFrame) -> DataFrame:
     )
 
 
-def cascade(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+def cascade(sources: Sequence[tuple[str | None, DataFrame]]) -> DataFrame:
     """Per user, the pick of the first source (in list order) that has the user.
 
     ``sources``: ordered ``(name, picks)`` pairs; each picks frame has at most
-    one row per user.  Output ``picks`` with ``source`` = the name used.
+    one row per user.  Output ``picks`` with ``source`` = the name used, or the
+    frame's own ``source`` where the name is None.
     """
     if not sources:
         raise ValueError("cascade needs at least one source")
@@ -123,7 +134,7 @@ def cascade(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
             F.col(USER),
             F.col(BOOK),
             (F.col("score") if "score" in p.columns else F.lit(None)).cast("long").alias("score"),
-            F.lit(name).alias("source"),
+            (F.col("source") if name is None else F.lit(name)).alias("source"),
             F.lit(i).alias("_order"),
         )
         for i, (name, p) in enumerate(sources)

@@ -22,14 +22,14 @@ from ballot.operators.candidates import (
     popularity_candidates,
     popularity_for_users,
 )
-from ballot.operators.evaluate import hit_at_k, submission_check, temporal_holdout
+from ballot.operators.evaluate import hit_at_k, submission_check, temporal_holdout, train_before
 from ballot.operators.layer1 import integrate_family, topk_fusion
-from ballot.operators.layer2 import cascade, consensus_filter, top1, union_models, weighted_vote
-from ballot.operators.prepare import conform
+from ballot.operators.layer2 import cascade, top1_by_consensus, union_models, weighted_vote
+from ballot.operators.prepare import conform, standardize
 from ballot.operators.weights import cap_weights, model_weights
 from ballot.schema import BOOK, MODEL, PREDICTIONS, RAW, RNK, USER
 from ballot.session import scratch_path
-from ballot.sources.io import read_stage, write_stage, write_submission
+from ballot.sources.io import read_stage, read_submission, write_stage, write_submission
 
 
 def stage(df: DataFrame, path: str | None) -> DataFrame:
@@ -72,6 +72,12 @@ class FinalVote:
     votes: DataFrame
 
 
+def standardized(preds: DataFrame) -> DataFrame:
+    """The lists with their scores standardised (O06, by rank): one scale for
+    all models, the order inside each list unchanged."""
+    return standardize(preds, "rank", out="_std").withColumn(RAW, F.col("_std")).select(*PREDICTIONS.fieldNames())
+
+
 def final_vote(
     voters: DataFrame,
     truth_val: DataFrame,
@@ -86,36 +92,57 @@ def final_vote(
     out_path: str | None = None,
     stage_path: str | None = None,
 ) -> FinalVote:
-    """P3: weights from validation, capped aux weights, flat Top-1 vote,
-    arbitration and the cascade consensus -> vote -> Top-10 -> cold start.
+    """P3: standardised voters, weights from validation, capped aux weights,
+    flat Top-1 vote, arbitration and the cascade consensus -> vote -> Top-10 ->
+    cold start; with ``out_path`` the checked submission (O30, then O03).
 
     ``voters`` are Layer-2 models (families already merged by P1).  With
-    ``stage_path`` the voters are written once and read back, so the weights
-    (one pass) and the vote (a second pass) read a stage file instead of
-    recomputing the voters' lineage twice.
+    ``stage_path`` the voters and the picks are written once each and read
+    back: the weights, the vote, the check and the submission read stages
+    instead of recomputing the voters' lineage.  ``picks`` are then those of
+    the submission, read back.
     """
-    if stage_path:
-        voters = _stage(voters.select(*PREDICTIONS.fieldNames()), stage_path)
+    spark = voters.sparkSession
+    voters = _stage(standardized(voters), f"{stage_path}/voters" if stage_path else None)
     w = model_weights(voters, truth_val, k=1, aux=aux)
     if cap is not None:
         w = cap_weights(w, cap, total_cap)
     votes = weighted_vote(voters, w, k=1, validate=False)
-    sources = [("consensus", top1(consensus_filter(votes, m), "consensus")), ("vote", top1(votes, "vote"))]
+    sources: list = [(None, top1_by_consensus(votes, m))]
     if top10 is not None:
         sources.append(
             ("top10", top10.filter(F.col(RNK) == 1).select(USER, BOOK, F.col(RAW).cast("long").alias("score")))
         )
     sources += cold_start_sources(users, train)
     picks = cascade(sources)
+    if stage_path:
+        write_stage(picks, f"{stage_path}/picks")
+        picks = spark.read.parquet(f"{stage_path}/picks")
     if out_path:
         if books is not None:
             chk = submission_check(picks, users, books).collect()[0]
-            if chk["duplicate_users"] or chk["null_keys"]:
+            if any(chk[c] for c in ("missing", "duplicate_users", "null_keys", "unknown_books", "unknown_users")):
                 raise ValueError(f"submission check failed: {chk.asDict()}")
         write_submission(picks, out_path)
+        picks = read_submission(spark, out_path).join(picks, [USER, BOOK])
     return FinalVote(picks=picks, weights=w, votes=votes)
 
 
+def stage_holdout(interactions: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """Truth and train written to ``base`` and read back.  The truth is written
+    first, and train is built from that stage, so the last-borrow window runs once."""
+    spark = interactions.sparkSession
+    truth, _ = temporal_holdout(interactions)
+    write_stage(truth, f"{base}/truth")
+    truth = spark.read.parquet(f"{base}/truth")
+    write_stage(train_before(interactions, truth), f"{base}/train")
+    return truth, spark.read.parquet(f"{base}/train")
+
+
+#: Layer-2 names of the generated lists (the emb variants are merged into one).
+GENERATED = ("popular", "history", "coborrow", "graph", "emb")
+
+
 def candidate_lists(train: DataFrame, items: DataFrame, users: DataFrame, k: int = 10) -> list[DataFrame]:
     """Sub-model jobs on the training borrows, each a predictions frame."""
     pop = popularity_for_users(popularity_candidates(train, k, users), users)
@@ -139,11 +166,13 @@ def full_run(
     cap: int | None = None,
     k: int = 10,
     work_dir: str | None = None,
+    total_cap: int | None = None,
 ) -> DataFrame:
     """P4: candidate jobs -> P1 per family -> P2 -> P3 -> O24 on test users.
 
     ``planted`` are external model lists (already conformed); generated lists
-    are added as more voters.  Every layer is written to ``work_dir`` (default:
+    are added as more voters.  They are new models, so they enter as aux ones:
+    each weight is capped by ``cap``, all aux weights together by ``total_cap``.  Every layer is written to ``work_dir`` (default:
     a fresh folder under ``spark.checkpoint.dir``) and read back, so each layer
     is computed once and a lost executor recomputes from the last stage only.
     Output: hit@1 on the test users for every Layer-2 voter and for the final
@@ -151,11 +180,7 @@ def full_run(
     """
     spark = planted.sparkSession
     base = work_dir or scratch_path(spark, "full-run")
-    truth, train = temporal_holdout(interactions)
-    write_stage(truth, f"{base}/truth")
-    write_stage(train, f"{base}/train")
-    truth = spark.read.parquet(f"{base}/truth")
-    train = spark.read.parquet(f"{base}/train")
+    truth, train = stage_holdout(interactions, base)
     val = truth.filter(F.col("split") == "validation").select(USER, BOOK)
     test = truth.filter(F.col("split") == "test").select(USER, BOOK)
 
@@ -166,9 +191,11 @@ def full_run(
     others = allp.filter(~F.col("family").isin("v5", "emb"))
     voters = _stage(union_models([fam_v5, fam_emb, others]), f"{base}/voters")
     top10 = layer1_top10(allp, model_weights(allp, val, k=k), k, stage_path=f"{base}/top10", validate=False)
-    fv = final_vote(voters, val, users, train, aux=aux, cap=cap, top10=top10)
-    write_stage(fv.picks, f"{base}/picks")
-    picks = spark.read.parquet(f"{base}/picks")
+    fv = final_vote(
+        voters, val, users, train, aux=[*aux, *GENERATED], cap=cap, total_cap=total_cap, top10=top10,
+        stage_path=f"{base}/final",
+    )
+    picks = fv.picks
     per_voter = hit_at_k(voters, test, 1)
     final = hit_at_k(picks, test, 1, name="final")
     return per_voter.unionByName(final).select(MODEL, "n_users", "hits", "rate")

@@ -615,10 +615,14 @@ BLOCKS["top10_4"] = (("allp", "top_w"), """
                    count(*) AS support, min(w.priority) AS best_priority
             FROM allp p JOIN top_w w ON p.model = w.model WHERE p.rnk <= 10 GROUP BY p.user_id, p.book_id))
     WHERE rn = 1""")
-BLOCKS["w4raw"] = (("voters4", "val"), _weights_sql("voters4", "val", 1, _AUX))
+# new models enter as aux, capped alone and together
+_NEW = "'popular', 'history', 'coborrow', 'graph', 'emb'"
+BLOCKS["w4raw"] = (("voters4", "val"), _weights_sql("voters4", "val", 1, f"{_AUX}, {_NEW}"))
 BLOCKS["w4"] = (("w4raw",), f"""
-    SELECT model, CAST(CASE WHEN role = 'aux' THEN least(weight, {CAP}) ELSE weight END AS BIGINT) AS weight,
-           priority, role FROM w4raw""")
+    SELECT model, CAST(CASE WHEN role = 'aux' AND s > {TOTAL_CAP} THEN cw * {TOTAL_CAP} // s ELSE cw END AS BIGINT)
+           AS weight, priority, role
+    FROM (SELECT *, (SELECT sum(CASE WHEN role = 'aux' THEN least(weight, {CAP}) ELSE 0 END) FROM w4raw) AS s
+          FROM (SELECT *, CASE WHEN role = 'aux' THEN least(weight, {CAP}) ELSE weight END AS cw FROM w4raw))""")
 BLOCKS["v4"] = (("voters4", "w4"), """
     SELECT p.user_id, p.book_id, CAST(sum(w.weight) AS BIGINT) AS score, count(*) AS support,
            min(w.priority) AS best_priority

@@ -61,10 +61,7 @@ class Ctx:
         """Write truth (with split) and train once.  Queries that read them
         in many branches then scan the stage instead of re-running the
         orders x line-items join and the last-borrow window in each branch."""
-        base = scratch_path(self.spark, "holdout")
-        IO.write_stage(self.holdout, f"{base}/truth")
-        IO.write_stage(self.train, f"{base}/train")
-        self._derive(self.spark.read.parquet(f"{base}/truth"), self.spark.read.parquet(f"{base}/train"))
+        self._derive(*PL.stage_holdout(self.inter, scratch_path(self.spark, "holdout")))
 
     def votes(self) -> DataFrame:
         return L2.weighted_vote(self.preds, self.fw, k=1, validate="lazy")
@@ -359,12 +356,15 @@ def p3_final_vote(c: Ctx) -> DataFrame:
         total_cap=TOTAL_CAP,
         m=2,
         top10=c.p2(),
+        books=c.books,
+        out_path=scratch_path(c.spark, "p3-submission"),
+        stage_path=scratch_path(c.spark, "p3"),
     )
     return fv.picks
 
 
 def p4_full_run(c: Ctx) -> DataFrame:
-    return PL.full_run(c.preds, c.inter, c.items, c.users, c.fw, aux=FIXTURE_AUX, cap=CAP)
+    return PL.full_run(c.preds, c.inter, c.items, c.users, c.fw, aux=FIXTURE_AUX, cap=CAP, total_cap=TOTAL_CAP)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
