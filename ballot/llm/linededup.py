@@ -103,8 +103,9 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(_lines, "doc long, k1 long, k2 long")
     keys.write.parquet(staged)
     lines = spark.read.parquet(staged)
-    cuts = lines.filter(F.col("doc") != NO_ID).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001)
-    cuts = sorted({int(c) for c in cuts})
+    # where the batches end: this sets their sizes, not the result
+    places = [i / batches for i in range(1, batches)]
+    cuts = sorted({int(c) for c in lines.filter(F.col("doc") != NO_ID).approxQuantile("doc", places, 0.001)} if places else ())
     runs, losses = Runs(spark, fanout), None
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = lines

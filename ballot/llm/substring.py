@@ -70,21 +70,24 @@ def units(text: str, unit: str = "sentence", min_chars: int = MIN_CHARS) -> Iter
 
 def removed_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each removed unit: doc_id, char_start, char_end, and the
-    occurrence that stays: kept_doc_id, kept_start."""
+    occurrence that stays: kept_doc_id, kept_start; text_hash tells apart the
+    texts of one id."""
 
     def run(batches):
         for batch in batches:
-            doc, start, end, digest = [], [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            doc, whole, start, end, digest = [], [], [], [], []
+            for d, t, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 for s, e, key in units(t.as_py() or "", unit, min_chars):
                     doc.append(NO_ID if d is None else d)
+                    whole.append(h)
                     start.append(s)
                     end.append(e)
                     digest.append(key)
             k = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["k1", "k2", "doc", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(whole, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["k1", "k2", "doc", "h", "s", "e"])
 
-    found = staged(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "k1 long, k2 long, doc long, s long, e long"), "units")
+    rows = docs.select(F.col(doc_id).cast("long"), text, F.xxhash64(text))
+    found = staged(rows.mapInArrow(run, "k1 long, k2 long, doc long, h long, s long, e long"), "units")
     first = found.groupBy("k1", "k2").agg(F.min("doc").alias("own"), F.max("doc").alias("_last"), F.min("s").alias("_s"), F.max("s").alias("_e"))
     twice = staged(first.filter("own < _last or _s < _e").select("k1", "k2", "own"), "unit-keys")
     again = staged(found.join(bounded_broadcast(twice, MAX_BROADCAST), ["k1", "k2"]), "unit-repeats")
@@ -92,12 +95,12 @@ def removed_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", u
     kept = again.filter("doc = own").groupBy("k1", "k2").agg(F.min("s").alias("at"))
     out = again.join(kept, ["k1", "k2"]).filter("doc > own or s > at")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), real("own").alias("kept_doc_id"), F.col("at").alias("kept_start"))
+    return out.select(real("doc").alias("doc_id"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), real("own").alias("kept_doc_id"), F.col("at").alias("kept_start"), F.col("h").alias("text_hash"))
 
 
 def remove_units(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed spans cut out of their texts."""
-    spans = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("_spans"))
+    spans = removed.groupBy(F.col("doc_id").alias("_doc"), "text_hash").agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("_spans"))
     names = docs.columns
     at = names.index(text)
 
@@ -113,5 +116,5 @@ def remove_units(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", te
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    both = docs.alias("d").join(spans.alias("x"), F.col(f"d.{doc_id}").eqNullSafe(F.col("x._doc")), "left")
+    both = docs.alias("d").join(spans.alias("x"), F.col(f"d.{doc_id}").eqNullSafe(F.col("x._doc")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("x.text_hash")), "left")
     return both.select("d.*", F.col("x._spans").alias("_spans_of_units")).mapInArrow(run, docs.schema)

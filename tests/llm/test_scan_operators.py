@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from llm_fixtures import VOCAB, awkward, clashing, empty, text_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from ballot.llm import decontaminate, pii, quality, secret_scan
@@ -64,8 +65,6 @@ def brute_leaks(rows, items):
 
 @pytest.fixture(scope="module")
 def leak_case():
-    from conftest import VOCAB
-
     rng = random.Random(3)
     some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
     items = [(i, " ".join(some(rng.randint(12, 60)))) for i in range(30)]
@@ -237,8 +236,6 @@ def brute_scores(spark, docs, trusted, buckets, smoothing):
 
 
 def test_scores_equal_brute_force_and_reject_junk(spark):
-    from conftest import text_of
-
     rng = random.Random(2)
     good = [(i, text_of(rng, rng.randint(60, 200)), "en", "a", 1) for i in range(60)]
     junk = [(100 + i, " ".join(w.upper() + "!!" for w in text_of(rng, 100).split()), "en", "a", 1) for i in range(12)]
