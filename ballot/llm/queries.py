@@ -99,8 +99,6 @@ WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_lm_scoring": op2_lm_scoring,
-    "op3_pii": op3_pii,
     "op4_line_dedup": f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
