@@ -321,12 +321,19 @@ def o39_assemble_features(c: Ctx) -> DataFrame:
     return _features(c)
 
 
+def _staged_features(c: Ctx) -> DataFrame:
+    """The features, written once: fit and score both read the stage."""
+    path = scratch_path(c.spark, "features")
+    IO.write_stage(_features(c), path)
+    return c.spark.read.parquet(path)
+
+
 def o40_gbdt_scorer(c: Ctx) -> DataFrame:
-    return LR.gbdt_scorer(_features(c), c.val, seed=42, max_iter=10, max_depth=3)
+    return LR.gbdt_scorer(_staged_features(c), c.val, seed=42, max_iter=10, max_depth=3)
 
 
 def o41_model_search(c: Ctx) -> DataFrame:
-    return LR.model_search(_features(c), c.val, {"maxDepth": [2, 3], "maxIter": [5, 10]}, seed=42)
+    return LR.model_search(_staged_features(c), c.val, {"maxDepth": [2, 3], "maxIter": [5, 10]}, seed=42)
 
 
 # ------------------------------------------------------------------ pipelines

@@ -25,6 +25,8 @@ HEADLINE = [
     "o32_embedding_variant",
     "o36_coborrow_candidates",
     "o22_top1",
+    "o28_admission_gate",
+    "p4_full_run",
 ]
 
 
