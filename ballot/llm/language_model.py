@@ -25,8 +25,8 @@ Steps, all over whole tables:
 3. Texts are scored: words and pairs that make up 1 / 2**20 of the training
    tokens or more (there are 2**20 of each at most, and they are sent to all tasks)
    are resolved where the text is; the others are sent to their shards as
-   Elias-Fano sequences with the number of the document, looked up, and summed
-   for each document.
+   Elias-Fano sequences with the number of the document and looked up; a
+   shard answers a message with its documents' sums, and these are added.
 
 So a frequent word or pair never gathers its rows in one shard, and the shards
 grow in number, not in size.  All pairs are kept: there is no count cut-off.
@@ -248,7 +248,7 @@ def _collect(rows: DataFrame) -> Frequent:
 
 
 _EMPTY = np.zeros(0, np.uint64)
-_SCORED = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+_SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
 
 class _Scorer:
@@ -296,7 +296,7 @@ class _Scorer:
         rows = [{"shard": s, "uid": start, "docs": docs, "words": r[0], "word_docs": r[1], "pairs": r[2], "pair_docs": r[3]} for s, r in sorted(sent.items())]
         # the documents themselves travel with any shard's message
         home = start // _MAX_DOCS % self.m.shards
-        whole = {"shard": home, "uid": start, "docs": docs, "heads": [{k: v for k, v in zip(_SCORED[1:], row)} for row in zip(*(c.to_pylist() for c in columns))]}
+        whole = {"shard": home, "uid": start, "docs": docs, "heads": [{k: v for k, v in zip(_SCORED, row)} for row in zip(*(c.to_pylist() for c in columns))]}
         yield pa.RecordBatch.from_pylist([*rows, whole], schema=_QUERY)
 
     def queries(self, held):
@@ -309,18 +309,14 @@ class _Scorer:
 _HEADS = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
 _QUERY = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("docs", pa.int64()), ("words", pa.binary()), ("word_docs", pa.binary()), ("pairs", pa.binary()), ("pair_docs", pa.binary()), ("heads", _HEADS)])
 _QUERY_SQL = "shard int, uid long, docs long, words binary, word_docs binary, pairs binary, pair_docs binary, heads array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
-_PART_SQL = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_PART = pa.schema([("uid", pa.int64()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("heads", _HEADS)])
+_PART_SQL = "uid long, known binary, base binary, score binary, heads array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
+_SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _answer(model: Model):
     def run(key, queries, shard):
-        """Sums for each document of what a shard knows about it."""
-        out: dict[str, list] = {k: [] for k in _SCORED}
-
-        def add(uid, **columns):
-            for k in _SCORED:
-                out[k].append(uid if k == "uid" else columns.get(k, pa.nulls(len(uid), _TYPES[k])))
-
+        """For each message what the shard knows about its documents: one row."""
         count, keys, trie = np.zeros(0, np.int64), None, None
         for row in shard.to_batches() if shard.num_rows else ():
             for i in range(row.num_rows):
@@ -329,12 +325,12 @@ def _answer(model: Model):
                     count = np.frombuffer(row.column("counts")[i].as_buffer(), "<i8")
                 if row.column("codes")[i].is_valid:
                     trie = Trie(*[row.column(k)[i].as_buffer() for k in ("contexts", "pointers", "successors", "codes")])
+        out = []
         for batch in queries.to_batches():
             for i in range(batch.num_rows):
                 uid, docs = batch.column("uid")[i].as_py(), batch.column("docs")[i].as_py()
                 if batch.column("heads")[i].is_valid:
-                    flat = batch.column("heads")[i].values
-                    add(pa.array(np.arange(uid, uid + docs)), **{k: flat.field(k) for k in _SCORED[1:]})
+                    out.append({"uid": uid, "heads": batch.column("heads")[i].as_py()})
                     continue
                 kind = "<u4" if docs > _MAX_DOCS else "<u2"
                 q, doc = Sequence(batch.column("words")[i].as_buffer()).values(), np.frombuffer(batch.column("word_docs")[i].as_buffer(), kind)
@@ -345,20 +341,25 @@ def _answer(model: Model):
                 base = np.bincount(doc, model.log_u(c), docs)
                 score = base + np.bincount(doc, model.log_rest(c), docs)
                 known = np.bincount(doc[c > 0], minlength=docs)
-                here = np.bincount(doc, minlength=docs) > 0
                 q, doc = Sequence(batch.column("pairs")[i].as_buffer()).values(), np.frombuffer(batch.column("pair_docs")[i].as_buffer(), kind)
                 if trie is not None:
-                    codes = trie.lookup(q)
-                    score += np.bincount(doc, codes / STEP, docs)
-                    here |= np.bincount(doc, codes, docs) > 0
-                at = np.flatnonzero(here)
-                add(pa.array(at + uid), n_known=pa.array(known[at]), base=pa.array(base[at]), score=pa.array(score[at]))
-        return pa.table({k: pa.chunked_array(v, _TYPES[k]) for k, v in out.items()})
+                    score += np.bincount(doc, trie.lookup(q) / STEP, docs)
+                out.append({"uid": uid, "known": known.astype("<u4").tobytes(), "base": base.tobytes(), "score": score.tobytes()})
+        return pa.Table.from_pylist(out, schema=_PART)
 
     return run
 
 
-_TYPES = {"uid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+def _sum(key, parts):
+    """All rows of one message's documents -> one row a document."""
+    heads = parts["heads"].combine_chunks().drop_null().values
+    out = {k: heads.field(k) for k in ("doc_id", "held_out", "n_tokens")}
+    sums = {k: heads.field(f).to_numpy().copy() for k, f in (("known", "n_known"), ("base", "base"), ("score", "score"))}
+    for k, kind in (("known", "<u4"), ("base", "<f8"), ("score", "<f8")):
+        for x in parts[k]:
+            if x.is_valid:
+                sums[k] += np.frombuffer(x.as_buffer(), kind).astype(sums[k].dtype)
+    return pa.table(out | {"n_known": sums["known"], "base_score": sums["base"], "score": sums["score"]})
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: float = MU, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -376,5 +377,5 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = ("contexts", "pointers", "successors", "codes")
     known = words.select("shard", "keys", "counts", *[none.alias(k) for k in levels]).unionByName(tries.select("shard", none.alias("keys"), none.alias("counts"), *levels))
     parts = rows.mapInArrow(send, _QUERY_SQL).groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answer(model), _PART_SQL)
-    sums = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    sums = parts.groupBy("uid").applyInArrow(_sum, _SCORED_SQL)
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
