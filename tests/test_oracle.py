@@ -10,18 +10,23 @@ TABLES = "customer part orders lineitem embeddings".split()
 NAMES = [
     "o05_conform",
     "o06_standardize",
+    "o07_calibrate",
     "o08_model_weights",
     "o10_support_filter",
+    "o13_supplementary",
     "o15_variant_intersection",
     "o17_weighted_vote",
     "o22_top1",
     "o23_decision_margin",
     "o26_variant_stability",
     "o27_admission_scenarios",
+    "o30_submission_check",
     "o31_graph_propagate",
     "o32_embedding_variant",
     "o36_coborrow_candidates",
+    "o37_hybrid_candidates",
     "o38_cold_start_fill",
+    "o39_assemble_features",
     "p1_layer1_family",
     "p2_layer1_top10",
     "p3_final_vote",

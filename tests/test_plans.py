@@ -81,3 +81,10 @@ def test_embedding_profile_is_not_exploded_and_masks_are_not_looped(spark):
     assert "Generate" not in plan(QUERIES["o32_embedding_variant"](spark, SF_SMALL))
     assert "NestedLoop" not in plan(QUERIES["o26_variant_stability"](spark, SF_SMALL))
     assert "NestedLoop" not in plan(QUERIES["o30_submission_check"](spark, SF_SMALL))
+
+
+def test_final_vote_reads_the_staged_voters(spark):
+    """The picks come back from the submission: no copy of Layer 1 is left in the plan."""
+    text = plan(QUERIES["p3_final_vote"](spark, SF_SMALL))
+    assert text.count("FileScan") == 2 and "FileScan csv" in text and "FileScan parquet" in text
+    assert "Window" not in text
