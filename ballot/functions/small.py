@@ -2,8 +2,9 @@
 
 A side is broadcast when it has at most ``max_rows`` rows.  The check runs a
 ``limit(max_rows + 1).count()`` job, which stops after ``max_rows + 1`` rows.
-When the side is an aggregate of a large table it is cached first, so the check
-and the join share one computation.  Above the bound the join is left to
+When the side is an aggregate of a large table it is written to the shared
+checkpoint folder first, so the check and the join share one computation and
+nothing stays cached.  Above the bound the join is left to
 Catalyst and AQE (sort-merge, or a runtime broadcast if statistics allow).
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballot.session import scratch_path
+
 # One row per model, per scenario or per group; far above any real model count,
 # far below what a broadcast can carry.
 MAX_BROADCAST_ROWS = 100_000
@@ -19,7 +22,9 @@ MAX_BROADCAST_ROWS = 100_000
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, cache: bool = False) -> DataFrame:
     if cache:
-        df = df.cache()
+        path = scratch_path(df.sparkSession, "small")
+        df.write.parquet(path)
+        df = df.sparkSession.read.parquet(path)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
