@@ -11,18 +11,23 @@ Documents with equal sets form a class, and only classes go on.
    of 512 bits.  Samples that two sets have in common cancel out in the XOR of
    their sketches, so its population count measures how many differ, most
    precisely for high similarities.  Candidates whose count is beyond what the
-   threshold allows (six standard deviations of the MinHash estimate and of
-   the sketch's own noise) are dropped.
+   threshold allows (by 4.5 standard deviations of the MinHash estimate and
+   the sketch's own noise together) are dropped.  So are those whose full
+   sets' parity bitmaps differ in more bits than linked sets differ in
+   elements; equal elements cancel out, so this drops no link.
 3. The others are confirmed on their full sets.
 
-Candidates are not all pairs of a band's classes.  Each class is first paired
-with the smallest one of its bands; the confirmed links give components.  A
-band whose classes all lie in one component is settled: no pair in it can
-change the result.  In the others each class outside the band's largest
-component is compared with all classes of other components inside an equi-join
-on the band; only pairs that the sketches let through leave the join, and
-large bands are split by Spark.  So a large group of copies costs a row a
-member, and no link between two components is lost.
+Candidates are not all pairs of a band's classes.  In rounds, each class is
+paired with one hub of each of its bands: the class that shares most bands
+with others, so the text that the others were copied from.  Confirmed links
+give components; a band whose classes all lie in one component is settled, as
+no pair in it can change the result.  After ``HUB_ROUNDS`` rounds (fewer if one
+finds nothing) the bands that are still open are joined with themselves: each
+class outside the band's largest component meets all classes of other
+components inside an equi-join on the band, where only pairs that the sketches
+let through leave the join, once, in the first band they share; large bands
+are split by Spark.  So a large group of copies costs a row a member and
+round, and no link between two components is lost.
 
 Defined results: texts of fewer words than a shingle are one shingle as a
 whole; null and empty texts link with nothing, not even with each other;
@@ -34,6 +39,8 @@ result.  Other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +52,22 @@ from ballot.llm import words as W
 from ballot.llm.graph import components, staged
 
 SKETCH_BITS = 512
+#: Bits of the parity bitmap of a full set.
+PARITY_BITS = 1024
 #: Rows of (id, class) that are sent to all tasks at most; beyond it they are shuffled.
 MAX_BROADCAST = 1_000_000
+HUB_ROUNDS = 3
 _S = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_T = [f"t{i}" for i in range(PARITY_BITS // 64)]
 
 
 def max_odd(threshold: float, samples: int) -> int:
     """Population count up to which a pair may reach the threshold."""
-    low = threshold - 6 * math.sqrt(threshold * (1 - threshold) / samples)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * samples * (1 - low) / SKETCH_BITS)) + 6 * math.sqrt(SKETCH_BITS) / 2)
+    differ = 2 * samples * (1 - threshold)
+    stay = math.exp(-2 * differ / SKETCH_BITS)
+    of_samples = 2 * math.sqrt(samples * threshold * (1 - threshold)) * stay
+    of_sketch = math.sqrt(SKETCH_BITS * (1 - stay * stay)) / 2
+    return math.ceil(SKETCH_BITS / 2 * (1 - stay) + 4.5 * math.hypot(of_samples, of_sketch))
 
 
 class Signer:
@@ -72,15 +86,19 @@ class Signer:
             best = least if best is None else np.minimum(best, least)
         return best.astype(np.uint64)
 
-    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes and odd sketch of a set of shingle fingerprints."""
+    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Band hashes, odd sketch of the samples and parity bitmap of the set."""
         m = self.samples(s)
         acc = np.arange(1, self.bands + 1, dtype=np.uint64)
         for column in m.reshape(self.bands, self.rows).T:
             acc = (acc ^ (acc >> np.uint64(31))) * W._K1 + column
         bit = (W.mix(m ^ self.salt) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-        return W.mix(acc), np.packbits(odd).view(np.uint64)
+        whole = (W.mix(s) % np.uint64(PARITY_BITS)).astype(np.int64)
+        return W.mix(acc), _parity(bit, SKETCH_BITS), _parity(whole, PARITY_BITS)
+
+
+def _parity(bit: np.ndarray, size: int) -> np.ndarray:
+    return np.packbits((np.bincount(bit, minlength=size) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _sets(texts: pa.Array, shingle: int):
@@ -109,32 +127,35 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, rows: int,
             n = np.zeros(batch.num_rows, np.int64)
             node = np.zeros(batch.num_rows, np.int64)
             band = np.zeros((batch.num_rows, bands), np.uint64)
-            odd = np.zeros((batch.num_rows, len(_S)), np.uint64)
+            odd = np.zeros((batch.num_rows, len(_S) + len(_T)), np.uint64)
             for i, s in _sets(batch.column(1), shingle):
                 n[i], node[i] = len(s), _node(s)
-                band[i], odd[i] = signer.sign(s)
+                band[i], odd[i, : len(_S)], odd[i, len(_S) :] = signer.sign(s)
             own = np.where(n > 0, bands, 0)
             offsets = np.append(0, np.cumsum(own)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[n > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), lists, *[pa.array(odd[:, j].copy().view(np.int64)) for j in range(len(_S))]], names=["doc_id", "n", "node", "bands", *_S])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), lists, *[pa.array(odd[:, j].copy().view(np.int64)) for j in range(odd.shape[1])]], names=["doc_id", "n", "node", "bands", *_S, *_T])
 
-    schema = "doc_id long, n long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in _S)
+    schema = "doc_id long, n long, node long, bands array<long>, " + ", ".join(f"{x} long" for x in (*_S, *_T))
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
 
-def _odd(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _S[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+def _differ(columns: list[str]) -> Column:
+    """Bits in which x and y differ."""
+    return reduce(add, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in columns))
 
 
 def _close(num: int, den: int, samples: int) -> Column:
     """Pairs x, y whose sizes and sketches allow a link."""
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (small * den >= large * num) & (_odd("x", "y") <= max_odd(num / den, samples))
+    # linked sets differ in (|x| + |y|) (den - num) / (den + num) elements at most
+    whole = _differ(_T) * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    return (small * den >= large * num) & whole & (_differ(_S) <= max_odd(num / den, samples))
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are linked."""
-    need = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+def _sets_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(node, items): the full sets of the classes that share a band."""
+    need = nodes.join(members.select("node").distinct(), "node", "left_semi")
     need = staged(need.select(F.col("rep").alias("_id"), F.col("node").alias("_node")), "near-need")
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     rows = rows.join(bounded_broadcast(need, MAX_BROADCAST), "_id").select("_node", "_text")
@@ -150,10 +171,64 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, t
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(want[at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["node", "items"])
 
-    sets = staged(rows.mapInArrow(run, "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("_y")), "b")
+    return staged(rows.mapInArrow(run, "node long, items array<long>"), "near-sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked."""
+    pairs = staged(pairs, "near-pairs")
+    need = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-need")
+    some = sets.join(bounded_broadcast(need, MAX_BROADCAST), "node").groupBy("node").agg(F.first("items").alias("items"))
+    both = pairs.join(some.select(F.col("node").alias("a"), F.col("items").alias("_x")), "a").join(some.select(F.col("node").alias("b"), F.col("items").alias("_y")), "b")
     same = F.size(F.array_intersect("_x", "_y"))
-    return both.filter(den * same >= num * (F.size("_x") + F.size("_y") - same)).select("a", "b")
+    return staged(both.filter(den * same >= num * (F.size("_x") + F.size("_y") - same)).select("a", "b"), "near-links")
+
+
+def _links(members: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, samples: int) -> DataFrame | None:
+    """(node, comp) of the linked classes.  ``members``: (band, node)."""
+    light = nodes.select("node", "n", *_S, *_T)
+    x, y = light.alias("x"), light.alias("y")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_c"))
+    weights = members.join(sizes, "band").groupBy("node").agg(F.sum("_c").alias("weight"))
+    free = F.lit(False).alias("was_hub")
+    open_ = staged(members.join(weights, "node").select("band", "node", "weight", F.col("node").alias("comp"), free), "near-open")
+    links, tested, comp = None, None, None
+    for _ in range(HUB_ROUNDS):
+        best = F.max_by(F.struct("node", "comp"), F.struct("weight", "node"))
+        hubs = open_.filter("not was_hub").groupBy("band").agg(best.alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+        met = staged(open_.join(hubs, "band"), "near-hubs")
+        pairs = met.filter("comp <> hub_comp").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "near-tested")
+        near = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_close(num, den, samples)).select("a", "b")
+        found = _confirm(near, sets, num, den)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = found.limit(1).count()
+        if new:
+            links = found if links is None else links.unionByName(found)
+            comp = staged(components(links), "near-comp")
+        now = met.withColumn("was_hub", F.col("was_hub") | (F.col("node") == F.col("hub"))).drop("hub", "hub_comp")
+        if new:
+            now = now.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = now.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("band")
+            now = now.join(mixed, "band")
+        open_ = staged(now.select("band", "node", "weight", "comp", "was_hub"), "near-open")
+        if not new:
+            break
+
+    # all pairs of components in the bands that are still open
+    counts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    rest = staged(open_.select("band", "node", "comp").join(main, "band").join(nodes.select("node", "n", "bands", *_S, *_T), "node"), "near-rest")
+    differ = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    pairs = rest.filter("comp <> main").alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & differ & _close(num, den, samples) & once)
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).join(tested, ["a", "b"], "left_anti")
+    found = _confirm(pairs, sets, num, den)
+    if not found.limit(1).count():
+        return comp
+    return staged(components(found if links is None else links.unionByName(found)), "near-comp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, num: int = 85, den: int = 100, rows: int = 8, bands: int = 48) -> DataFrame:
@@ -161,40 +236,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Links have den * |intersection| >= num * |union|.
     """
-    samples = rows * bands
     signed = staged(signatures(docs, doc_id, text, shingle, rows, bands), "near-signed")
     real = signed.filter("n > 0 and doc_id is not null")
-    firsts = [F.first(x).alias(x) for x in ("n", "bands", *_S)]
+    firsts = [F.first(x).alias(x) for x in ("n", "bands", *_S, *_T)]
     nodes = staged(real.groupBy("node").agg(F.min("doc_id").alias("rep"), *firsts), "near-nodes")
 
     # bands that hold several classes, and their members
     placed = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = placed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").select("band", "hub")
+    shared = placed.groupBy("band").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("band")
     members = staged(placed.join(shared, "band"), "near-members")
-
-    light = nodes.select("node", "n", *_S)
-    hubs = staged(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near-hubs")
-    x = light.alias("x")
-    y = light.alias("y")
-    near = hubs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_close(num, den, samples)).select("a", "b")
-    first = staged(_confirm(staged(near, "near-pairs"), nodes, docs, doc_id, text, shingle, num, den), "near-links")
-
-    # bands that still hold several components
-    comp = components(first)
-    known = members.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    counts = known.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("band", "main")
-    open_ = staged(known.join(mixed, "band").join(light, "node"), "near-open")
-    differ = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    rest = open_.filter("comp <> main").alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & differ & _close(num, den, samples))
-    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
-    second = _confirm(staged(rest, "near-pairs"), nodes, docs, doc_id, text, shingle, num, den)
-    comp = staged(components(first.unionByName(second)), "near-comp")
-
-    labels = comp.join(nodes.select("node", "rep"), "node")
-    smallest = labels.groupBy("comp").agg(F.min("rep").alias("label"))
-    linked = labels.join(smallest, "comp").select("node", "label")
-    final = nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("label", "rep").alias("_label"))
+    sets = _sets_of(members, nodes, docs, doc_id, text, shingle)
+    comp = _links(members, nodes, sets, num, den, rows * bands)
+
+    final = nodes.select("node", F.col("rep").alias("_label"))
+    if comp is not None:
+        labels = comp.join(nodes.select("node", "rep"), "node")
+        smallest = labels.groupBy("comp").agg(F.min("rep").alias("label"))
+        linked = labels.join(smallest, "comp").select("node", "label")
+        final = final.join(linked, "node", "left").select("node", F.coalesce("label", "_label").alias("_label"))
     out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(final, "node", "left")
     label = F.coalesce("_label", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -208,4 +267,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     """
     judged = near_duplicates(docs, doc_id, text, **options).filter("doc_id is not null")
     gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).filter("not _kept").select("_gone")
-    return docs.join(bounded_broadcast(staged(gone, "near-gone"), MAX_BROADCAST), F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = bounded_broadcast(staged(gone, "near-gone"), MAX_BROADCAST)
+    return docs.alias("d").join(gone.alias("g"), F.col(f"d.{doc_id}") == F.col("g._gone"), "left_anti")
