@@ -72,8 +72,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every removed unit and the occurrence that stays."""
-    return substring.removed_units(documents(spark, sf_dir)).drop("text_hash")
+    """Every removed unit or passage and the occurrence that stays."""
+    return substring.removed(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,17 @@ Digests are reduced map-side to their earliest occurrence and count before
 they are shuffled; only digests that occur twice are joined back, and a digest
 that a third of all documents hold is a join whose large side Spark splits.
 
+Units miss passages of short lines and the ends of a passage in longer
+sentences.  ``removed_passages`` finds every repeated run of ``PASSAGE`` words
+exactly, wherever lines and sentences end: of all windows of that many words
+the earliest stays, the words of the others are removed.  Words are runs of
+non-spaces, compared without case and without marks at their ends.  To spare
+most windows, every window of ``PASSAGE`` words first names its least hash of
+``GRAM`` words, one in about 11 words; equal windows name the same one, so only
+windows around a named hash that occurs twice are hashed and compared.  A
+window that overlaps its own first occurrence loses only the words beyond it.
+``removed`` has the units and the passages; their spans may overlap.
+
 Defined results: null and empty texts have no units; units of fewer than
 ``min_chars`` normalised code points stay; a null id ranks after all others
 and is reported as null; repeated rows of one id: their units have equal ranks
@@ -29,14 +40,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast
+from ballot.llm import words as W
 from ballot.llm.graph import staged
 
 MIN_CHARS = 40
 LONG_WORDS = 30
+#: Words of the shortest passage that is removed wherever it lies, and of the hashes that lead to it.
+PASSAGE = 50
+GRAM = 26
 MAX_BROADCAST = 1_000_000
 NO_ID = 2**63 - 1
 _UNIT = {
@@ -47,6 +62,7 @@ _UNIT = {
 _WORD = re.compile(r"[^ \t-\r]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _MARKS = " \t\n\x0b\x0c\r.,;:!?\"'()[]"
+_MARK_BYTES = np.isin(np.arange(256), list(_MARKS.encode()))
 
 
 def units(text: str, unit: str = "sentence", min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, bytes]]:
@@ -98,6 +114,110 @@ def removed_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", u
     return out.select(real("doc").alias("doc_id"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), real("own").alias("kept_doc_id"), F.col("at").alias("kept_start"), F.col("h").alias("text_hash"))
 
 
+def _bare_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words: fingerprint without the marks at both ends, byte start and
+    end, and number of the text; and the texts' bytes and offsets."""
+    data, off = W.utf8(col)
+    starts, ends, first = W.word_bounds(data, off)
+    text = np.repeat(np.arange(len(col)), np.diff(first))
+    plain = np.flatnonzero(~_MARK_BYTES[data])
+    at = np.searchsorted(plain, starts)
+    last = np.searchsorted(plain, ends) - 1
+    some = last >= at  # words of marks alone stay as they are
+    a, b = starts.copy(), ends.copy()
+    a[some], b[some] = plain[at[some]], plain[last[some]] + 1
+    return W.word_hashes(data, a, b), starts, ends, text, data, off
+
+
+def _sliding(v: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
+    """``least`` of each n neighbours (n <= len(v)), by doubling."""
+    m, size = len(v) - n + 1, 1
+    while size * 2 <= n:
+        v = least(v[:-size], v[size:])
+        size *= 2
+    return least(v[:m], v[n - size : n - size + m])
+
+
+def _whole(text: np.ndarray, passage: int) -> np.ndarray:
+    """Whether the ``passage`` words from each place on are of one text."""
+    return text[: len(text) - passage + 1] == text[passage - 1 :]
+
+
+def _named(h: np.ndarray, text: np.ndarray, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are the least of a whole window."""
+    if len(h) < passage:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g, n = W.windows(h, gram), passage - gram + 1
+    least = np.where(_whole(text, passage), _sliding(g, n, np.minimum), np.uint64(0))
+    edge = np.zeros(n - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), n, np.maximum) == g)
+    return at, g[at]
+
+
+def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """As ``removed_units``, a row for each removed stretch of repeated windows
+    of ``passage`` words; the occurrence that stays is its first window's."""
+
+    def name(batches):
+        for batch in batches:
+            ids, whole, col = batch.column(0), batch.column(1), batch.column(2)
+            for a, b in W.slices(len(col), W.utf8(col)[1]):
+                h, _, _, t, _, _ = _bare_words(col.slice(a, b - a))
+                at, g = _named(h, t, passage, gram)
+                row, place = t[at], at - np.searchsorted(t, t[at])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), ids.take(pa.array(row + a)), whole.take(pa.array(row + a)), pa.array(place.astype(np.int32))], names=["g", "doc", "h", "at"])
+
+    def window(batches):
+        for batch in batches:
+            ids, whole, col, places = batch.column(0), batch.column(1), batch.column(2), batch.column(3)
+            for a, b in W.slices(len(col), W.utf8(col)[1]):
+                h, starts, ends, t, data, off = _bare_words(col.slice(a, b - a))
+                lists = places.slice(a, b - a)
+                first = np.searchsorted(t, np.arange(b - a))
+                row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                at = first[row] + lists.flatten().to_numpy()
+                step = np.zeros(len(h) + 1, np.int64)
+                np.add.at(step, np.maximum(at - (passage - gram), first[row]), 1)
+                np.add.at(step, at + 1, -1)
+                p = np.flatnonzero((np.cumsum(step)[: len(h) - passage + 1] > 0) & _whole(t, passage))
+                k, row = W.windows(h, passage)[p], t[p]
+                chars = np.zeros(len(data) + 1, np.int64)
+                np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+                s, e = chars[starts[p]] - chars[off[row]], chars[ends[p + passage - 1]] - chars[off[row]]
+                # beyond the text's own first occurrence of the window
+                o = np.lexsort((k, row))
+                new = np.ones(len(o), bool)
+                new[1:] = (k[o][1:] != k[o][:-1]) | (row[o][1:] != row[o][:-1])
+                own = np.empty(len(o), np.int64)
+                own[o] = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+                f = np.where(own < np.arange(len(o)), np.maximum(s, e[own]), s)
+                ints = [pa.array(x.astype(np.int32)) for x in (s, f, e)]
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), ids.take(pa.array(row + a)), whole.take(pa.array(row + a)), *ints], names=["k", "doc", "h", "s", "f", "e"])
+
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("t is not null")
+    named = staged(rows.mapInArrow(name, "g long, doc long, h long, at int"), "grams")
+    common = staged(named.groupBy("g").count().filter("count > 1").select("g"), "gram-keys")
+    near = named.join(bounded_broadcast(common, MAX_BROADCAST), "g").groupBy("doc", "h").agg(F.collect_set("at").alias("at"))
+    found = staged(rows.join(near, ["doc", "h"]).select("doc", "h", "t", "at").mapInArrow(window, "k long, doc long, h long, s int, f int, e int"), "windows")
+    here = F.struct("doc", "s")
+    first = found.groupBy("k").agg(F.min(here).alias("own"), F.max(here).alias("last")).filter("own < last")
+    twice = staged(first.select("k", F.col("own.doc").alias("own"), F.col("own.s").alias("at")), "window-keys")
+    again = found.join(bounded_broadcast(twice, MAX_BROADCAST), "k").filter("doc > own or (doc = own and s > at)")
+    # the windows of one text, in order: stretches that overlap are one row
+    order = Window.partitionBy("doc", "h").orderBy("f", "e", "own", "at")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = again.withColumn("_new", F.coalesce(F.col("f") > before, F.lit(True)).cast("int"))
+    stretch = apart.withColumn("_n", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = stretch.groupBy("doc", "h", "_n").agg(F.min("f").alias("s"), F.max("e").alias("e"), F.min(F.struct("f", "e", "own", "at")).alias("k"))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(real("doc").alias("doc_id"), F.col("s").cast("long").alias("char_start"), F.col("e").cast("long").alias("char_end"), real("k.own").alias("kept_doc_id"), F.col("k.at").cast("long").alias("kept_start"), F.col("h").alias("text_hash"))
+
+
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The removed units and the removed passages."""
+    return removed_units(docs, doc_id, text).unionByName(removed_passages(docs, doc_id, text))
+
+
 def remove_units(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed spans cut out of their texts."""
     spans = removed.groupBy(F.col("doc_id").alias("_doc"), "text_hash").agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("_spans"))

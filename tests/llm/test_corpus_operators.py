@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -314,6 +315,65 @@ def test_units_of_awkward_rows(awkward, clashing, empty):
     assert out.columns == clashing.columns and out.count() == clashing.count()
 
 
+def brute_passages(rows, n=50):
+    """Characters of words that lie in a window of n words met before, by id
+    and place; of a window that overlaps its own first occurrence only those beyond it."""
+    first, gone = {}, defaultdict(set)
+    for d, t in sorted(rows, key=lambda r: math.inf if r[0] is None else r[0]):
+        at = [m.span() for m in re.finditer(r"[^ \t-\r]+", t or "")]
+        w = [t[a:b].lower().strip(".,;:!?\"'()[]") or t[a:b] for a, b in at]
+        own = {}
+        for p in range(len(w) - n + 1):
+            key = tuple(w[p : p + n])
+            q = own.setdefault(key, p)
+            if first.setdefault(key, (d, p)) != (d, p):
+                gone[d] |= {i for j in range(p if q == p else max(p, q + n), p + n) for i in range(*at[j])}
+    return gone
+
+
+def test_passages_equal_brute_force_of_word_windows(spark):
+    rng = random.Random(21)
+    verse = ["\n".join(sentence(rng, 4) for _ in range(15)), "\n".join(f"- {sentence(rng, 2)};" for _ in range(30))]
+    prose = [sentence(rng, n) for n in (50, 51, 64, 90)] + [text_of(rng, 75), " ".join("É" + w for w in sentence(rng, 55).split())]
+    rows = []
+    for i in range(90):
+        words = sentence(rng, rng.randint(0, 160)).split()
+        if i % 2:
+            at = rng.randint(0, len(words))
+            words[at:at] = [rng.choice(verse + prose)]
+        if i % 17 == 0:
+            words += words
+        rows.append((i, " ".join(words)))
+    rows += [(100, "la " * 300 + sentence(rng, 60)), (101, "one two three " * 40), (102, None), (103, sentence(rng, 49)), (None, prose[3]), (104, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = brute_passages(rows), defaultdict(set)
+    texts = dict(rows)
+    assert sum(map(len, want.values())) > 10_000 and {100, 101, 104, None} <= set(want)
+    for r in substring.removed_passages(docs).collect():
+        new = {i for i in range(r.char_start, r.char_end) if texts[r.doc_id][i] not in " \n"}
+        assert new and not new & got[r.doc_id]
+        got[r.doc_id] |= new
+        assert (r.kept_doc_id, r.kept_start) != (r.doc_id, r.char_start) and r.kept_doc_id is not None
+    assert dict(got) == dict(want)
+    both = substring.removed(docs)
+    cut = {r.doc_id: r.text for r in substring.remove_units(docs, both).collect()}
+    for d, t in rows:
+        left = {i for i, c in enumerate(t or "") if c not in " \n"} - want[d]
+        assert len("".join((cut[d] or "").split())) <= len(left)
+    # verse was kept whole by units alone
+    lines = spark.createDataFrame([(1, verse[0]), (2, "a b c\n" + verse[0])], "doc_id long, text string")
+    assert substring.removed_units(lines).count() == 0
+    assert [tuple(r)[:5] for r in substring.removed(lines).collect()] == [(2, 6, 6 + len(verse[0]), 1, 0)]
+
+
+def test_passages_of_awkward_rows(awkward, clashing, empty):
+    assert substring.removed(empty).count() == 0
+    gone = substring.removed(clashing)
+    assert {None, 7, 8} <= {r.doc_id for r in gone.collect()} and not gone.filter("doc_id = 6").count()
+    out = substring.remove_units(clashing, gone)
+    assert out.columns == clashing.columns and out.count() == clashing.count()
+
+
 # -------------------------------------------------------------- near-dedup
 
 
