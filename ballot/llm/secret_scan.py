@@ -4,8 +4,9 @@ Candidates are found in every text: assignments, access keys, long
 hexadecimal runs (the base kinds), and other long runs of letters and digits.
 Each candidate's value is hashed, and over the whole corpus every hash gets
 the number of distinct owners and of distinct repositories that hold it.
-Values of more than ``max_owners`` owners are examples that were copied from
-one text to the next; the others look live.  All base spans stay; of the other
+Values of more than ``max_owners`` owners or of more than ``max_repositories``
+repositories are examples that were copied from one text to the next; the
+others, of few owners and few repositories, look live.  All base spans stay; of the other
 runs (kind ``token``) only live ones are added.
 
 A regular expression's matches and the text between them (``split``) give
@@ -33,8 +34,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same as the 20 or more of AKIA[A-Z0-9]+: both take the whole run
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Values that more owners hold are widely copied examples.
+#: Values that more owners or repositories hold are widely copied examples; two repositories for each owner.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
 _SPAN = "struct<start:long,kind:int,end:long,value:string>"
 
 
@@ -86,9 +88,9 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("_n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, verdicts
-    (``live`` or ``example``, as the spans), n_live, n_example, most_owners."""
+    (``live`` or ``example``, as the spans), n_live, n_example, most_owners, most_repositories."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.col(owner).alias("owner"), F.col(repository).alias("repository"))
     found = find(rows, "_text").drop("_text")
     counts = [_count(F.col("_base"), k) for k in KINDS[:3]]
@@ -96,10 +98,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     # numbers are given before the write, so both uses below see the same ones
     found = staged(found.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "owner", "repository", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), hashed.alias("_all")), "secrets")
     each = found.select("_row", "owner", "repository", F.explode("_all").alias("c")).select("_row", "owner", "repository", "c.*")
-    judged = each.drop("owner", "repository").join(ownership(each), "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = each.drop("owner", "repository").join(ownership(each), "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     judged = judged.filter((F.col("kind") < KINDS.index("token")) | F.col("live"))
     # one document's spans
-    spans = judged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("s"), F.max("n_owners").alias("most"))
+    spans = judged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("s"), F.max("n_owners").alias("most"), F.max("n_repositories").alias("most_in"))
     none = F.array().cast("array<struct<start:long,kind:int,end:long,live:boolean>>")
     s = F.coalesce("s", none)
     return (
@@ -110,5 +112,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
             F.size(F.filter(s, lambda x: x["live"])).cast("long").alias("n_live"),
             F.size(F.filter(s, lambda x: ~x["live"])).cast("long").alias("n_example"),
             F.coalesce("most", F.lit(0).cast("long")).alias("most_owners"),
+            F.coalesce("most_in", F.lit(0).cast("long")).alias("most_repositories"),
         )
     )

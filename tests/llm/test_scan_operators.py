@@ -305,6 +305,19 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert got[11].spans == "" and got[11].n_live == 0
 
 
+def test_values_copied_inside_one_owner_are_examples(spark):
+    copied, few, loose = "0123456789abcdef" * 2, "fedcba9876543210" * 2, "Zx9Qw8Er7Ty6Ui5Op4As3"
+    rows = [(i, f"{copied} {loose}{few if i < 2 else ''}", "s1", i) for i in range(300)] + [(i, few, "s1", i % 2) for i in range(400, 420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo long")
+    got = {r.doc_id: r for r in secret_scan.scan(docs, owner="source", repository="repo").collect()}
+    for i in range(2, 300):
+        assert (got[i].spans, got[i].verdicts, got[i].most_owners, got[i].most_repositories) == ("hex:0:32", "example", 1, 300)
+    # many rows of two repositories
+    assert all((got[i].verdicts, got[i].n_live, got[i].most_repositories) == ("live", 1, 2) for i in range(400, 420))
+    some = secret_scan.scan(docs, owner="source", repository="repo", max_repositories=300).filter("doc_id = 5").first()
+    assert some.verdicts == "live,live"
+
+
 def test_secrets_of_awkward_rows(awkward, clashing, empty):
     assert secret_scan.scan(empty).count() == 0
     got = secret_scan.scan(clashing).collect()
