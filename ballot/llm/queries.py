@@ -60,6 +60,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled sample: id, quality, toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents labelled as good and not toxic."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
@@ -67,8 +72,8 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures and verdict."""
-    judged = quality.judge(documents(spark, sf_dir), trusted(spark, sf_dir))
-    return judged.select("doc_id", "_quality.*").withColumn("score", F.col("score") / 1_000_000)
+    judged = quality.judge(documents(spark, sf_dir), trusted(spark, sf_dir), labels=labels(spark, sf_dir))
+    return judged.select("doc_id", "_quality.*").withColumns({k: F.col(k) / 1_000_000 for k in ("score", "toxicity")})
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

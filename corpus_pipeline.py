@@ -24,7 +24,7 @@ NEAR = {"shingle": 5, "num": 80, "den": 100, "rows": 7, "bands": 56}
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality rules."""
-    return quality.keep_good(docs, Q.trusted(spark, sf_dir))
+    return quality.keep_good(docs, Q.trusted(spark, sf_dir), labels=Q.labels(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

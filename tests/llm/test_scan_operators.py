@@ -11,7 +11,7 @@ import pytest
 from llm_fixtures import VOCAB, awkward, clashing, empty, text_of  # noqa: F401
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, pii, quality, secret_scan
+from ballot.llm import decontaminate, pii, quality, queries, secret_scan
 from ballot.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -266,6 +266,27 @@ def test_quality_of_awkward_rows(spark, awkward, clashing, empty):
     assert {r.doc_id for r in kept.collect()} == {None, 5, 6, 7, 8, 9}
 
 
+# of 40 toxic documents at sf0.01 ten hold only words too rare there to be in the lexicon
+@pytest.mark.parametrize(("size", "most"), [("sf0.01", 0.26), ("sf0.1", 0.1)])
+def test_production_verdicts_follow_the_labels(spark, size, most):
+    where = f"/root/testdata/{size}"
+    judged = queries.op7_quality_rules(spark, where).filter("not base_failed").select("doc_id", "kept")
+    share = judged.join(queries.labels(spark, where), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {(r.quality, r.toxic): r.kept for r in share}
+    assert kept[1, 0] > 0.97 and kept[1, 1] < most
+    assert kept.get((0, 0), 0) < 0.05 and kept.get((0, 1), 0) < 0.05, kept
+
+
+def test_scores_do_not_move_with_the_trusted_count(spark):
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, 100), "en", "a", 1) for i in range(20)] + [(i, text_of(rng, 100).upper(), "en", "a", 1) for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    many = docs.unionByName(docs).unionByName(docs)
+    one, three = ({r[0]: r[1] for r in quality.judge(d, ids, buckets=256).select("doc_id", "_quality.score").collect()} for d in (docs, many))
+    assert all(abs(one[i] - three[i]) < 20_000 for i in range(20, 40))  # of 10^6
+
+
 # ----------------------------------------------------------------- secrets
 
 ASSIGN = re.compile(
