@@ -20,8 +20,8 @@ the earliest stays, the words of the others are removed.  Words are runs of
 non-spaces, compared without case and without marks at their ends.  To spare
 most windows, every window of ``PASSAGE`` words first names its least hash of
 ``GRAM`` words, one in about 11 words; equal windows name the same one, so only
-windows around a named hash that occurs twice are hashed and compared.  A
-window that overlaps its own first occurrence loses only the words beyond it.
+windows around a named hash that occurs twice are hashed and compared, and of equal
+texts only those of the smallest id.  A window that overlaps its own first occurrence loses only the words beyond it.
 ``removed`` has the units and the passages; their spans may overlap.
 
 Defined results: null and empty texts have no units; units of fewer than
@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast
 from ballot.llm import words as W
+from ballot.llm.exprs import SPACES
 from ballot.llm.graph import staged
 
 MIN_CHARS = 40
@@ -197,7 +198,11 @@ def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("t is not null")
     named = staged(rows.mapInArrow(name, "g long, doc long, h long, at int"), "grams")
     common = staged(named.groupBy("g").count().filter("count > 1").select("g"), "gram-keys")
-    near = named.join(bounded_broadcast(common, MAX_BROADCAST), "g").groupBy("doc", "h").agg(F.collect_set("at").alias("at"))
+    every = staged(named.join(bounded_broadcast(common, MAX_BROADCAST), "g").groupBy("doc", "h").agg(F.collect_set("at").alias("at")), "gram-places")
+    # a text of enough words that a smaller id holds too is one stretch
+    least = every.groupBy("h").agg(F.min("doc").alias("rep"), F.max("doc").alias("_last")).filter("rep < _last").select("h", "rep")
+    copies = staged(every.select("doc", "h").join(least, "h").filter("doc > rep"), "copies")
+    near = every.join(copies, ["doc", "h"], "left_anti")
     found = staged(rows.join(near, ["doc", "h"]).select("doc", "h", "t", "at").mapInArrow(window, "k long, doc long, h long, s int, f int, e int"), "windows")
     here = F.struct("doc", "s")
     first = found.groupBy("k").agg(F.min(here).alias("own"), F.max(here).alias("last")).filter("own < last")
@@ -209,8 +214,13 @@ def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     apart = again.withColumn("_new", F.coalesce(F.col("f") > before, F.lit(True)).cast("int"))
     stretch = apart.withColumn("_n", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = stretch.groupBy("doc", "h", "_n").agg(F.min("f").alias("s"), F.max("e").alias("e"), F.min(F.struct("f", "e", "own", "at")).alias("k"))
+    out = staged(out.select("doc", "h", "s", "e", "k.own", "k.at"), "stretches")
+    # the first window of a copy stays where that of its text does
+    ends = rows.select("h", "doc", (F.length("t") - F.length(F.ltrim("t", F.lit(SPACES)))).alias("s"), F.length(F.rtrim("t", F.lit(SPACES))).alias("e")).distinct()
+    begin = out.select(F.col("doc").alias("rep"), "h", "s", "own", "at")
+    whole = copies.join(ends, ["doc", "h"]).join(begin, ["rep", "h", "s"], "left").select("doc", "h", "s", "e", F.coalesce("own", "rep").alias("own"), F.coalesce("at", "s").alias("at"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.col("s").cast("long").alias("char_start"), F.col("e").cast("long").alias("char_end"), real("k.own").alias("kept_doc_id"), F.col("k.at").cast("long").alias("kept_start"), F.col("h").alias("text_hash"))
+    return out.unionByName(whole.distinct()).select(real("doc").alias("doc_id"), F.col("s").cast("long").alias("char_start"), F.col("e").cast("long").alias("char_end"), real("own").alias("kept_doc_id"), F.col("at").cast("long").alias("kept_start"), F.col("h").alias("text_hash"))
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
