@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, language_model, linededup, mixing, neardup, pii, quality, secret_scan, sharding, substring
+from ballot.llm import decontaminate, language_model, linededup, mixing, neardup, periodic, pii, quality, secret_scan, sharding, substring, whitening
+from ballot.llm.exprs import let, words
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -87,6 +88,51 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), owner="source", repository="doc_id")
 
 
+def periodic_text(doc_id: Column, text: Column) -> Column:
+    """The text, of which one id in ten by its checksum repeats a part of itself
+    from some word on.  The words are joined by one space."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+
+        def filled(at: Column) -> Column:  # at: first word, period
+            a, p = at["a"], at["p"]
+            return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))))
+
+        start = (g % n).cast("int")
+        return F.when(n > 0, let(F.struct(start.alias("a"), (1 + F.floor((n - start) / (3 + g % 8))).cast("int").alias("p")), filled)).otherwise(F.lit(""))
+
+    return F.when(h % 10 == 0, let(words(text), repeated)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's repeated stretches of words, and the text without them."""
+    docs = documents(spark, sf_dir)
+    found = periodic.find_runs(docs.select("doc_id", periodic_text(F.col("doc_id"), F.col("text")).alias("text")))
+    key = lambda r: F.struct(r["length"], -r["start"], -r["period"])
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(key(x) > key(y), -1).when(key(x) < key(y), 1).otherwise(0)), F.lit(0))
+    every = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's leading whitened components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_scoring": op2_lm_scoring,
@@ -98,6 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
