@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballot.llm import decontaminate, language_model, linededup, mixing, neardup, periodic, pii, quality, secret_scan, sharding, substring, whitening
+from ballot.llm import decontaminate, language_model, linededup, mixing, neardup, ngram_join, periodic, pii, quality, secret_scan, sharding, substring, whitening
 from ballot.llm.exprs import let, words
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -128,6 +128,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of the Jaccard join on four-word shingles."""
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's leading whitened components."""
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -144,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
