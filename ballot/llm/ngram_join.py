@@ -22,7 +22,8 @@ trie that its doors' hubs walk: the hub of a door is the class there that shares
 most doors with others, so the text that others were copied from.  The links
 found give components.  Doors whose classes all lie in one component are
 settled; in the others classes outside the largest component walk the trie of
-the classes of other components that the length bound admits.  So a large group
+the classes of other components that the length bound admits.  Before texts are
+read again, pairs that share fewer doors than any linked pair are left out.  So a large group
 of copies costs a row a member, and no link between two components is lost.
 
 A hub's trie is split by salt into parts of about ``PART`` leaves.  A task reads
@@ -142,7 +143,7 @@ def _paths(nodes: DataFrame, need: DataFrame, docs: DataFrame, doc_id: str, text
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["node", "path"])
 
-    return staged(rows.mapInArrow(run, "node long, path array<long>").groupBy("node").agg(F.first("path").alias("path")), "join-paths")
+    return rows.mapInArrow(run, "node long, path array<long>").groupBy("node").agg(F.first("path").alias("path"))
 
 
 class Walk:
@@ -191,9 +192,22 @@ class Walk:
         return self.den * both >= self.num * (self.n + len(path) - both)
 
 
+def _sharing(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b) that share as many doors as a linked pair must.
+
+    Of the set whose last door comes first, all n-grams but n - need lie in the
+    other set, need being the least intersection, so at least need - t + 1 of
+    its n - t + 1 doors do, and they are doors there as well.
+    """
+    here, there = (members.select("door", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    both = pairs.join(here, "a").join(there, ["b", "door"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("doors"))
+    need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-6)
+    most = F.ceil(F.greatest("na", "nb") * num / den + 1e-6)
+    return staged(both.filter(F.col("doors") >= need - most + 1).select("a", "b"), "join-sharing")
+
+
 def _walked(pairs: DataFrame, paths: DataFrame, num: int, den: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b): every a walks the trie of its b."""
-    pairs = staged(pairs, "join-met")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
     leaves = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "_parts").cast("int").alias("part"), "b")
     path = paths.select(F.col("node").alias("b"), "path")
@@ -218,19 +232,23 @@ def _walked(pairs: DataFrame, paths: DataFrame, num: int, den: int) -> DataFrame
     return staged(rows.mapInArrow(run, "a long, b long"), "join-links")
 
 
-def _sizes_allow(x: str, y: str, num: int, den: int) -> Column:
-    small, large = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
-    return small * den >= large * num
+def _admitted(num: int, den: int) -> Column:
+    """Whether x and y may be linked, by their sizes n and the places i of a first common door."""
+    sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+    left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    return sizes & (left * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
 
 
 def linked_classes(nodes: DataFrame, members: DataFrame, paths_of, num: int, den: int) -> DataFrame | None:
     """(node, comp) of the linked classes, None without links.  ``members``: (door, i, node, n)."""
     # the hub of each door meets all others there
     shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("_k"))
-    hubs = members.join(shared, "node").groupBy("door").agg(F.max_by(F.struct("node", "n"), F.struct("_k", "node")).alias("h"))
-    met = members.join(hubs.select("door", F.col("h.node").alias("a"), F.col("h.n").alias("hn")), "door")
-    pairs = staged(met.filter(F.col("node") != F.col("a")).filter(_sizes_allow("", "h", num, den)).select("a", F.col("node").alias("b")).distinct(), "join-hubs")
-    links = _walked(pairs, paths_of(pairs), num, den)
+    hubs = members.join(shared, "node").groupBy("door").agg(F.max_by(F.struct("node", "n", "i"), F.struct("_k", "node")).alias("h"))
+    met = members.alias("x").join(hubs.select("door", "h.*").alias("y"), "door").filter(F.col("x.node") != F.col("y.node"))
+    met = met.filter(_admitted(num, den)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    pairs = staged(met.distinct(), "join-hubs")
+    near = _sharing(pairs, members, num, den)
+    links = _walked(near, paths_of(near), num, den)
     comp = staged(components(links), "join-comp") if links.limit(1).count() else None
 
     # doors that hold several components
@@ -243,13 +261,13 @@ def linked_classes(nodes: DataFrame, members: DataFrame, paths_of, num: int, den
     open_ = staged(placed.join(main, "door").select("door", "i", "node", "n", "comp", "main"), "join-open")
     x, y = open_.filter("comp <> main").alias("x"), open_.alias("y")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    reach = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
-    rest = x.join(y, (F.col("x.door") == F.col("y.door")) & apart & _sizes_allow("x.", "y.", num, den) & reach)
+    rest = x.join(y, (F.col("x.door") == F.col("y.door")) & apart & _admitted(num, den))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = staged(rest.join(done, ["a", "b"], "left_anti"), "join-rest")
     if not rest.limit(1).count():
         return comp
+    rest = _sharing(rest, members, num, den)
     more = _walked(rest, paths_of(rest), num, den)
     if not more.limit(1).count():
         return comp
@@ -276,7 +294,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     real = signed.filter("n > 0 and doc_id is not null")
     nodes = staged(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("doors").alias("doors")), "join-nodes")
     placed = nodes.select("node", "n", F.posexplode("doors").alias("i", "door"))
-    shared = placed.groupBy("door").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("door")
+    shared = placed.groupBy("door").count().filter("count > 1").select("door")
     members = staged(placed.join(shared, "door").select("door", "i", "node", "n"), "join-members")
 
     def paths_of(pairs: DataFrame) -> DataFrame:
