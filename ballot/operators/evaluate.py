@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ballot.functions import bounded_broadcast, safe_ratio, scalar_count
 from ballot.operators.layer2 import arbitration_order, ballots, top1, weighted_vote
 from ballot.schema import BOOK, FAMILY, MODEL, PRIORITY, RNK, USER, WEIGHT
+from ballot.session import scratch_path
 
 
 # --------------------------------------------------------------------- O13
@@ -240,6 +241,18 @@ def admission_scenarios(
 # --------------------------------------------------------------------- O28
 
 
+def _vote_key(score: str, support: str, priority: str, book: str) -> Column:
+    """The arbitration order as one value: the smallest wins."""
+    last = F.coalesce(F.col(priority), F.lit(2**31 - 1))
+    return F.struct((-F.col(score)).alias("s"), (-F.col(support)).alias("n"), last.alias("p"), F.col(book).alias(BOOK))
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def admission_gate(
     df: DataFrame,
     weights: DataFrame,
@@ -252,39 +265,70 @@ def admission_gate(
     """Admit candidates in the given order when validation hits do not fall.
 
     ``truth`` must be the validation users.  Non-degradation is guaranteed on
-    those users only, not on unseen users.  One grouped job per candidate; the
-    driver reads one small row per step.
+    those users only, not on unseen users.
+
+    The vote is never taken again.  Three stages under ``spark.checkpoint.dir``
+    hold its running state: the ballots, one folder a model; the *contested*
+    pairs, which some candidate still to come votes for, with the votes they
+    have so far; and the winner of each user.  Adding a model only raises the
+    pairs that it votes for, so a step joins one model's ballots to their
+    contested pairs, takes the best raised pair of each touched user, and
+    compares it with that user's winner.  Hits are a running sum: the step's
+    job returns by how much they change.  When the model is admitted, the raised
+    pairs and the new winners go into the next state; pairs that no later
+    candidate votes for leave it, so it shrinks.  A lost executor recomputes
+    from the last state.  The driver reads one row a step.
     Output: step, model, hits_before, hits_after, admitted.
     """
     spark = df.sparkSession
+    candidates, backbone = list(candidates), list(backbone)
     # A candidate enters at its capped weight and keeps it once admitted.
     if cap is not None:
-        weights = weights.withColumn(
-            WEIGHT,
-            F.when(F.col(MODEL).isin(list(candidates)), F.least(F.col(WEIGHT), F.lit(cap))).otherwise(F.col(WEIGHT)),
-        )
-    # Every step reads the same ballots (rnk <= k of the models in play) and
-    # validation users: keep those two small inputs cached for the loop.
-    ballots_in = (
-        df.filter((F.col(RNK) <= k) & F.col(MODEL).isin(list(backbone) + list(candidates)))
-        .join(truth.select(USER), USER, "left_semi")
-        .persist()
+        capped = F.when(F.col(MODEL).isin(candidates), F.least(F.col(WEIGHT), F.lit(cap))).otherwise(F.col(WEIGHT))
+        weights = weights.withColumn(WEIGHT, capped)
+    t = _staged(truth.select(USER, F.col(BOOK).alias("_truth")), "gate-truth")
+    voting = df.filter((F.col(RNK) <= k) & F.col(MODEL).isin(backbone + candidates)).join(t.select(USER), USER, "left_semi")
+    cast = ballots(voting, weights, k=k, validate="lazy").select(USER, BOOK, "value", F.col(PRIORITY).alias("_prio"), MODEL)
+    path = scratch_path(spark, "gate-ballots")
+    cast.write.partitionBy(MODEL).parquet(path)
+    cast = spark.read.schema(cast.schema).parquet(path)
+
+    base = cast.filter(F.col(MODEL).isin(backbone)).groupBy(USER, BOOK).agg(
+        F.sum("value").cast("long").alias("score"), F.count(F.lit(1)).alias("support"), F.min("_prio").alias("best_priority")
     )
-    t = truth.persist()
-    admitted = list(backbone)
+    base = _staged(base, "gate-votes")
+    winners = base.groupBy(USER).agg(F.min(_vote_key("score", "support", "best_priority", BOOK)).alias("best"))
+    winners = _staged(t.join(winners, USER, "left"), "gate-winners")
+    order = spark.createDataFrame(list(enumerate(candidates, start=1)), "_step int, model string")
+    last = cast.join(F.broadcast(order), MODEL).groupBy(USER, BOOK).agg(F.max("_step").alias("last"))
+    contested = last.join(base, [USER, BOOK], "left").na.fill(0, ["score", "support"])
+    contested = _staged(contested, "gate-contested")
+
+    def right(best: str) -> Column:
+        return F.coalesce(F.col(f"{best}.{BOOK}") == F.col("_truth"), F.lit(False)).cast("long")
+
+    hits = int(winners.agg(F.coalesce(F.sum(right("best")), F.lit(0))).first()[0])
     rows = []
-    try:
-        for step, cand in enumerate(candidates, start=1):
-            res = admission_scenarios(ballots_in, weights, admitted, [cand], t, cap=None, k=k)
-            got = {r["scenario"]: r["hits"] for r in res.select("scenario", "hits").collect()}
-            before, after = int(got[0]), int(got[1])
-            ok = after >= before
-            rows.append((step, cand, before, after, ok))
-            if ok:
-                admitted.append(cand)
-    finally:
-        ballots_in.unpersist()
-        t.unpersist()
+    for step, model in enumerate(candidates, start=1):
+        new = cast.filter(F.col(MODEL) == model).drop(MODEL)
+        raised = contested.join(new, [USER, BOOK]).select(
+            USER,
+            BOOK,
+            "last",
+            (F.col("score") + F.col("value")).alias("score"),
+            (F.col("support") + 1).alias("support"),
+            F.least("best_priority", "_prio").alias("best_priority"),
+        )
+        best = raised.groupBy(USER).agg(F.min(_vote_key("score", "support", "best_priority", BOOK)).alias("now"))
+        turned = winners.join(best, USER).filter(F.col("best").isNull() | (F.col("now") < F.col("best")))
+        change = turned.agg(F.coalesce(F.sum(right("now") - right("best")), F.lit(0))).first()[0]
+        after = hits + int(change)
+        rows.append((step, model, hits, after, after >= hits))
+        if after >= hits and step < len(candidates):
+            hits = after
+            winners = _staged(winners.join(best, USER, "left").withColumn("best", F.least("best", "now")).drop("now"), "gate-winners")
+            kept = contested.join(new.select(USER, BOOK), [USER, BOOK], "left_anti").unionByName(raised)
+            contested = _staged(kept.filter(F.col("last") > step), "gate-contested")
     return spark.createDataFrame(
         rows, "step int, model string, hits_before long, hits_after long, admitted boolean"
     )
