@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast, safe_ratio
 from ballot.functions.rank import HOT_LIST_ROWS, hot_groups, rank_within
-from ballot.operators.layer1 import topk_fusion
 from ballot.operators.layer2 import cascade
-from ballot.schema import BOOK, FAMILY, MICRO, MODEL, RAW, RNK, USER
+from ballot.operators.prepare import standardize
+from ballot.operators.weights import attach_weights
+from ballot.schema import BOOK, FAMILY, MICRO, MODEL, PRIORITY, RAW, RNK, USER, WEIGHT
 
 
 def _ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:
@@ -246,12 +247,22 @@ def embedding_variant(
 
 
 def hybrid_candidates(lists: Sequence[DataFrame], weights: DataFrame, k: int = 10, name: str = "hybrid") -> DataFrame:
-    """Weighted blend of candidate lists: linear positional ballots over each
-    list's Top-k, summed in micro-votes, re-ranked with the arbitration order."""
-    from ballot.operators.layer2 import union_models
-
-    fused = topk_fusion(union_models(list(lists)), weights, k=k, name=name)
-    return fused.select(MODEL, F.lit("hybrid").alias(FAMILY), USER, BOOK, RAW, RNK)
+    """Weighted blend of candidate lists: scores are standardised inside each
+    list's Top-k (O06, by rank), a ballot is worth floor(weight * std_score)
+    micro-votes, and the sums are ranked in the arbitration order (O17, O21)."""
+    from ballot.operators.layer2 import arbitrate, union_models
+
+    top = union_models(list(lists)).filter(F.col(RNK) <= k)
+    cast = attach_weights(standardize(top, "rank", out="_std"), weights)
+    cast = cast.select(USER, BOOK, F.floor(F.col(WEIGHT) * F.col("_std")).alias("value"), PRIORITY).repartition(USER)
+    votes = cast.groupBy(USER, BOOK).agg(
+        F.sum("value").cast("long").alias("score"),
+        F.count(F.lit(1)).cast("long").alias("support"),
+        F.min(PRIORITY).cast("int").alias("best_priority"),
+    )
+    fused = arbitrate(votes).filter(F.col("arb_rank") <= k)
+    names = F.lit(name).alias(MODEL), F.lit("hybrid").alias(FAMILY)
+    return fused.select(*names, USER, BOOK, F.col("score").cast("double").alias(RAW), F.col("arb_rank").cast("int").alias(RNK))
 
 
 # --------------------------------------------------------------------- O38

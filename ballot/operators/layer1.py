@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballot.functions import scalar_count
-from ballot.operators.layer2 import arbitrate, weighted_vote
-from ballot.operators.prepare import conform
-from ballot.schema import BOOK, FAMILY, MODEL, RAW, RNK, USER, WEIGHT
+from ballot.functions import idiv, scalar_count
+from ballot.operators.layer2 import arbitrate, ballot_value, weighted_vote
+from ballot.operators.prepare import calibrated_blocks, standardize
+from ballot.operators.weights import attach_weights
+from ballot.schema import BOOK, FAMILY, MICRO, MODEL, RAW, RNK, USER, WEIGHT
 
 
 def _family_rows(df: DataFrame, family: str, k: int, variants: Sequence[str] | None) -> DataFrame:
@@ -91,6 +92,7 @@ def integrate_family(
     boost: int | None = None,
     name: str | None = None,
     min_score: int | None = None,
+    truth: DataFrame | None = None,
 ) -> DataFrame:
     """Merge a family's variants into ONE voter for Layer 2 (P1 core).
 
@@ -98,10 +100,14 @@ def integrate_family(
     keep pairs whose fused score (after the boost) reaches it; it applies in
     addition to ``min_support`` (pass ``min_support=1`` to use it alone).
 
-    Variants are weighted and fused with positional ballots over their Top-k;
-    pairs all variants agree on (the stable set) are boosted above every other
-    pair; only pairs listed by at least ``min_support`` variants are kept; the
-    result is re-ranked with ``conform``.  Output: ``predictions`` rows with
+    Variants are standardised inside each list (O06, by rank), weighted and
+    fused with positional ballots over their Top-k; pairs all variants agree on
+    (the stable set) are boosted above every other pair; only pairs listed by at
+    least ``min_support`` variants are kept.  Books are ranked by fused score,
+    then by the sum of their standardised scores over the variants, then by
+    book.  With ``truth`` (validation users) the sum is that of calibrated
+    probabilities instead: isotonic hits a row of the standardised score (O07).
+    Both sums are in whole micro-units.  Output: ``predictions`` rows with
     ``model = family`` (or ``name``), raw_score = fused score.
     """
     fam = df.filter(F.col(FAMILY) == family)
@@ -109,7 +115,14 @@ def integrate_family(
         variants = sorted(r[0] for r in fam.select(MODEL).distinct().collect())
     variants = list(variants)
     fam = fam.filter(F.col(MODEL).isin(variants))
-    votes = weighted_vote(fam, weights, k=k, positional=positional, validate=False)
+    scaled = standardize(fam, "rank", out="_std")
+    micro = F.floor(F.col("_std") * MICRO)
+    if truth is not None:
+        scaled = calibrated_blocks(scaled, truth, "_std", "_block")
+        micro = F.coalesce(idiv(F.col("_block.hits") * MICRO, F.col("_block.n")), F.lit(0))
+    cast = attach_weights(scaled.filter(F.col(RNK) <= k), weights, validate=False)
+    cast = cast.select(USER, BOOK, ballot_value(k, positional).alias("value"), micro.cast("long").alias("_scale")).repartition(USER)
+    votes = cast.groupBy(USER, BOOK).agg(F.sum("value").cast("long").alias("score"), F.count(F.lit(1)).alias("support"), F.sum("_scale").alias("_scale"))
     # After conform each (model, user, book) is unique, so the pairs every
     # registered variant lists (O15's stable set) are exactly the votes with
     # support = N: the boost reads the vote aggregate, no second pass or join.
@@ -120,15 +133,16 @@ def integrate_family(
     ).filter(F.col("support") >= min_support)
     if min_score is not None:
         boosted = boosted.filter(F.col("score") >= min_score)
-    out = boosted.select(
+    # each variant lists at most k books per user
+    order = Window.partitionBy(USER).orderBy(F.col("score").desc(), F.col("_scale").desc(), F.col(BOOK).asc())
+    return boosted.select(
         F.lit(name or family).alias(MODEL),
         F.lit(family).alias(FAMILY),
         USER,
         BOOK,
         F.col("score").cast("double").alias(RAW),
+        F.row_number().over(order).cast("int").alias(RNK),
     )
-    # each variant lists at most k books per user
-    return conform(out, list_bound=k * len(variants))
 
 
 def topk_fusion(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast, clean_score, safe_ratio
 from ballot.functions.rank import HOT_LIST_ROWS, hot_groups, rank_within
+from ballot.operators.isotonic import isotonic_blocks, isotonic_scores, rate
 from ballot.schema import BOOK, FAMILY, MODEL, RAW, RNK, USER
 
 STD_METHODS = ("minmax", "zscore", "rank")
@@ -122,8 +123,10 @@ def calibrate(df: DataFrame, truth: DataFrame, method: str = "bins", n_bins: int
     min-max score; probability = (hits + 1) / (rows + 2) per (model, bin),
     fitted on the users in ``truth`` only (pass validation users).  A bin the
     validation users never reach falls back to the model-wide rate.
-    ``isotonic``: ``pyspark.ml`` isotonic regression per model, fitted on the
-    same rows; the fit runs on Spark, the scoring is a bucket join.
+    ``isotonic``: hits of a row of the score's block, where blocks are the
+    isotonic regression of hits on scores, fitted on the same rows for all
+    models in one plan (``operators.isotonic``).  A score between two blocks
+    takes the lower one; NULL for models that no user in ``truth`` has.
     """
     scored = standardize(df, "minmax", "model", out="_mm")
     if method == "isotonic":
@@ -147,27 +150,13 @@ def calibrate(df: DataFrame, truth: DataFrame, method: str = "bins", n_bins: int
     )
 
 
-def _calibrate_isotonic(scored: DataFrame, truth: DataFrame) -> DataFrame:
-    from pyspark.ml.regression import IsotonicRegression
-
+def calibrated_blocks(df: DataFrame, truth: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: rows and hits of the isotonic block of the score ``col``."""
     t = truth.select(F.col(USER), F.col(BOOK).alias("_truth"))
-    val = (
-        scored.filter(F.col("_mm").isNotNull())
-        .join(t, USER, "inner")
-        .select(MODEL, F.col("_mm").alias("features"), (F.col(BOOK) == F.col("_truth")).cast("double").alias("label"))
-    )
-    # One isotonic fit per model over that model's validation rows (a Spark ML
-    # job each).  The number of models is small and known from the weights.
-    models = [r[0] for r in val.select(MODEL).distinct().collect()]
-    parts = []
-    for m in models:
-        fit = IsotonicRegression(featuresCol="features", labelCol="label").fit(val.filter(F.col(MODEL) == m))
-        parts.append(fit.transform(scored.filter(F.col(MODEL) == m).withColumnRenamed("_mm", "features")))
-    if not parts:
-        return scored.withColumn("cal_score", F.lit(None).cast("double")).drop("_mm")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    unseen = scored.join(val.select(MODEL).distinct(), MODEL, "left_anti").withColumnRenamed("_mm", "features")
-    out = out.unionByName(unseen.withColumn("prediction", F.lit(None).cast("double")))
-    return out.withColumnRenamed("prediction", "cal_score").drop("features")
+    hit = F.coalesce(F.col(BOOK) == F.col("_truth"), F.lit(False)).cast("long")
+    seen = df.join(t, USER, "inner").select(MODEL, F.col(col).alias("x"), hit.alias("hit"))
+    return isotonic_scores(df, isotonic_blocks(seen), col, out)
+
+
+def _calibrate_isotonic(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    return calibrated_blocks(scored, truth, "_mm", "_block").withColumn("cal_score", rate("_block")).drop("_mm", "_block")

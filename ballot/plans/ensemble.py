@@ -51,9 +51,11 @@ def layer1_family(
     k: int = 10,
     min_support: int = 7,
     stage_path: str | None = None,
+    truth: DataFrame | None = None,
 ) -> DataFrame:
-    """P1: integrate a family's variants into one list (one more model)."""
-    out = integrate_family(preds, family, weights, variants=variants, k=k, min_support=min_support)
+    """P1: integrate a family's variants into one list (one more model): O06,
+    with ``truth`` (validation users) O07, then O19."""
+    out = integrate_family(preds, family, weights, variants=variants, k=k, min_support=min_support, truth=truth)
     return _stage(out.select(*PREDICTIONS.fieldNames()), stage_path)
 
 
@@ -167,6 +169,7 @@ def full_run(
     k: int = 10,
     work_dir: str | None = None,
     total_cap: int | None = None,
+    books: DataFrame | None = None,
 ) -> DataFrame:
     """P4: candidate jobs -> P1 per family -> P2 -> P3 -> O24 on test users.
 
@@ -175,7 +178,8 @@ def full_run(
     each weight is capped by ``cap``, all aux weights together by ``total_cap``.  Every layer is written to ``work_dir`` (default:
     a fresh folder under ``spark.checkpoint.dir``) and read back, so each layer
     is computed once and a lost executor recomputes from the last stage only.
-    Output: hit@1 on the test users for every Layer-2 voter and for the final
+    The picks are checked against ``users`` and ``books`` (O30), written as the
+    submission (O03) to ``work_dir``/submission and read back.  Output: hit@1 on the test users for every Layer-2 voter and for the final
     picks (model = 'final').
     """
     spark = planted.sparkSession
@@ -185,15 +189,15 @@ def full_run(
     test = truth.filter(F.col("split") == "test").select(USER, BOOK)
 
     allp = _stage(union_models([planted] + candidate_lists(train, items, users, k)), f"{base}/lists")
-    fam_v5 = layer1_family(allp, layer1_weights, "v5", min_support=7, stage_path=f"{base}/family_v5")
+    fam_v5 = layer1_family(allp, layer1_weights, "v5", min_support=7, stage_path=f"{base}/family_v5", truth=val)
     emb = allp.filter(F.col("family") == "emb")
-    fam_emb = layer1_family(emb, model_weights(emb, val, k=k), "emb", min_support=2, stage_path=f"{base}/family_emb")
+    fam_emb = layer1_family(emb, model_weights(emb, val, k=k), "emb", min_support=2, stage_path=f"{base}/family_emb", truth=val)
     others = allp.filter(~F.col("family").isin("v5", "emb"))
     voters = _stage(union_models([fam_v5, fam_emb, others]), f"{base}/voters")
     top10 = layer1_top10(allp, model_weights(allp, val, k=k), k, stage_path=f"{base}/top10", validate=False)
     fv = final_vote(
         voters, val, users, train, aux=[*aux, *GENERATED], cap=cap, total_cap=total_cap, top10=top10,
-        stage_path=f"{base}/final",
+        books=books, out_path=f"{base}/submission", stage_path=f"{base}/final",
     )
     picks = fv.picks
     per_voter = hit_at_k(voters, test, 1)

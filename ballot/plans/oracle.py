@@ -66,6 +66,43 @@ def _graph_sql(src: str, model: str = "graph", window: int = 2) -> str:
     WHERE rnk <= 10"""
 
 
+def _std_sql(src: str) -> str:
+    """Lists with x, the rank standardised inside each list (O06)."""
+    return f"""(SELECT p.*, CAST(u.n - p.rnk + 1 AS DOUBLE) / u.n AS x FROM {src} p
+                JOIN (SELECT model, user_id, count(*) AS n FROM {src} GROUP BY model, user_id) u
+                  ON u.model = p.model AND u.user_id = p.user_id)"""
+
+
+def _iso_sql(src: str) -> str:
+    """Isotonic hit rates of the scores x of ``src`` on the validation users, as
+    max over starts of min over ends of the rate between: model, x, micro, ratio."""
+    sums = f"""(SELECT model, x, row_number() OVER w AS i, CAST(sum(n) OVER w AS BIGINT) AS n1,
+                       CAST(sum(n) OVER w AS BIGINT) - n AS n0, CAST(sum(h) OVER w AS BIGINT) AS h1,
+                       CAST(sum(h) OVER w AS BIGINT) - h AS h0
+                FROM (SELECT p.model, p.x, count(*) AS n,
+                             CAST(sum(CASE WHEN p.book_id = v.book_id THEN 1 ELSE 0 END) AS BIGINT) AS h
+                      FROM {src} p JOIN val v ON v.user_id = p.user_id WHERE p.x IS NOT NULL GROUP BY p.model, p.x)
+                WINDOW w AS (PARTITION BY model ORDER BY x))"""
+    return f"""(SELECT model, x, max(m) AS micro, max(r) AS ratio FROM (
+                  SELECT c.model, c.x, a.i, min((b.h1 - a.h0) * 1000000 // (b.n1 - a.n0)) AS m,
+                         min(CAST(b.h1 - a.h0 AS DOUBLE) / (b.n1 - a.n0)) AS r
+                  FROM {sums} c JOIN {sums} a ON a.model = c.model AND a.i <= c.i
+                  JOIN {sums} b ON b.model = c.model AND b.i >= c.i
+                  GROUP BY c.model, c.x, a.i) GROUP BY model, x)"""
+
+
+def _iso_at(src: str, iso: str) -> str:
+    """``src`` with micro and ratio of the greatest fitted score at or below x, else the smallest."""
+    return f"""(SELECT s.*, coalesce(f.micro, l.micro) AS micro, coalesce(f.ratio, l.ratio) AS ratio
+                FROM {src} s
+                LEFT JOIN (SELECT d.model, d.x, f.micro, f.ratio FROM (
+                             SELECT d.model, d.x, max(f.x) AS fx FROM (SELECT DISTINCT model, x FROM {src}) d
+                             JOIN {iso} f ON f.model = d.model AND f.x <= d.x GROUP BY d.model, d.x) d
+                           JOIN {iso} f ON f.model = d.model AND f.x = d.fx) f ON f.model = s.model AND f.x = s.x
+                LEFT JOIN (SELECT model, arg_min(micro, x) AS micro, arg_min(ratio, x) AS ratio FROM {iso} GROUP BY model) l
+                  ON l.model = s.model AND s.x IS NOT NULL)"""
+
+
 # name -> (dependencies, body)
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "inter": ((), """
@@ -146,20 +183,28 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                 FROM preds p JOIN fw w ON p.model = w.model
                 WHERE p.rnk <= 10 GROUP BY p.user_id, p.book_id))
     WHERE arb_rank <= 10"""),
+    "mmx": (("preds",), """
+    SELECT p.*, CASE WHEN s.hi = s.lo THEN 1.0 ELSE (p.raw_score - s.lo) / (s.hi - s.lo) END AS x FROM preds p
+    JOIN (SELECT model, min(raw_score) AS lo, max(raw_score) AS hi FROM preds GROUP BY model) s ON p.model = s.model"""),
+    "mmiso": (("mmx", "val"), f"SELECT * FROM {_iso_sql('mmx')}"),
+    "mmcal": (("mmx", "mmiso"), f"SELECT * FROM {_iso_at('mmx', 'mmiso')}"),
+    "v5x": (("preds",), f"SELECT * FROM {_std_sql("(SELECT * FROM preds WHERE family = 'v5')")}"),
+    "v5iso": (("v5x", "val"), f"SELECT * FROM {_iso_sql('v5x')}"),
+    "v5cal": (("v5x", "v5iso"), f"SELECT * FROM {_iso_at('v5x', 'v5iso')}"),
     # Layer 1 on the v5 family: linear Top-10 vote, stable set of all ten
     # variants boosted by 1 + family weight, support >= 7, re-ranked
-    "famvotes": (("preds", "fw"), f"""
+    "famvotes": (("v5cal", "fw"), f"""
     SELECT p.user_id, p.book_id,
            CAST(sum(w.weight * (10 - p.rnk + 1) // 10) AS BIGINT) AS score,
-           count(*) AS support, CAST(min(w.priority) AS INTEGER) AS best_priority
-    FROM preds p JOIN fw w ON p.model = w.model
+           count(*) AS support, CAST(min(w.priority) AS INTEGER) AS best_priority, sum(coalesce(p.micro, 0)) AS scale
+    FROM v5cal p JOIN fw w ON p.model = w.model
     WHERE p.family = 'v5' AND p.model IN ({_V5}) AND p.rnk <= 10
     GROUP BY p.user_id, p.book_id"""),
     "p1": (("famvotes", "fw"), f"""
     SELECT 'v5' AS model, 'v5' AS family, user_id, book_id, raw_score,
            CAST(row_number() OVER (PARTITION BY user_id
-                ORDER BY raw_score DESC NULLS LAST, book_id ASC) AS INTEGER) AS rnk
-    FROM (SELECT user_id, book_id,
+                ORDER BY raw_score DESC NULLS LAST, scale DESC, book_id ASC) AS INTEGER) AS rnk
+    FROM (SELECT user_id, book_id, scale,
                  CAST(score + CASE WHEN support = 10
                       THEN 1 + (SELECT sum(weight) FROM fw WHERE model IN ({_V5})) ELSE 0 END AS DOUBLE)
                  AS raw_score
@@ -254,14 +299,17 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT p.model, p.user_id, p.book_id, p.rnk,
            CASE WHEN s.hi = s.lo THEN 1.0 ELSE (p.raw_score - s.lo) / (s.hi - s.lo) END AS std_minmax,
            CASE WHEN u.hi = u.lo THEN 1.0 ELSE (p.raw_score - u.lo) / (u.hi - u.lo) END AS std_minmax_user,
-           CAST(u.n - p.rnk + 1 AS DOUBLE) / u.n AS std_rank
+           CAST(u.n - p.rnk + 1 AS DOUBLE) / u.n AS std_rank,
+           CAST(floor(CASE WHEN s.sd = 0 THEN 0.0 ELSE (p.raw_score - s.mean) / s.sd END * 1000000 + 0.5) AS BIGINT)
+           AS zscore_micro
     FROM preds p
-    JOIN (SELECT model, min(raw_score) AS lo, max(raw_score) AS hi FROM preds GROUP BY model) s
+    JOIN (SELECT model, min(raw_score) AS lo, max(raw_score) AS hi, avg(raw_score) AS mean,
+                 stddev_pop(raw_score) AS sd FROM preds GROUP BY model) s
       ON p.model = s.model
     JOIN (SELECT model, user_id, min(raw_score) AS lo, max(raw_score) AS hi, count(*) AS n
           FROM preds GROUP BY model, user_id) u ON p.model = u.model AND p.user_id = u.user_id"""),
-    "o07_calibrate": (("preds", "val"), """
-    SELECT b.model, b.user_id, b.book_id, coalesce(pb.p, pm.p, 0.5) AS cal_score
+    "o07_calibrate": (("preds", "val", "mmx", "mmiso", "mmcal"), """
+    SELECT b.model, b.user_id, b.book_id, coalesce(pb.p, pm.p, 0.5) AS cal_score, i.ratio AS iso_score
     FROM (SELECT p.*, CASE WHEN p.raw_score IS NOT NULL THEN least(9, CAST(floor(
                  CASE WHEN s.hi = s.lo THEN 1.0 ELSE (p.raw_score - s.lo) / (s.hi - s.lo) END * 10) AS INTEGER)) END AS bin
           FROM preds p JOIN (SELECT model, min(raw_score) AS lo, max(raw_score) AS hi FROM preds GROUP BY model) s
@@ -276,7 +324,8 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
                JOIN val v ON x.user_id = v.user_id GROUP BY x.model, x.bin) pb
       ON pb.model = b.model AND pb.bin = b.bin
     LEFT JOIN (SELECT p.model, (sum(CASE WHEN p.book_id = v.book_id THEN 1 ELSE 0 END) + 1) / (count(*) + 2) AS p
-               FROM preds p JOIN val v ON p.user_id = v.user_id GROUP BY p.model) pm ON pm.model = b.model"""),
+               FROM preds p JOIN val v ON p.user_id = v.user_id GROUP BY p.model) pm ON pm.model = b.model
+    JOIN mmcal i ON i.model = b.model AND i.user_id = b.user_id AND i.book_id = b.book_id"""),
     "o08_model_weights": (("weights_val",), "SELECT * FROM weights_val"),
     "o09_cap_weights": (("weights_val",), f"""
     SELECT model, CAST(CASE WHEN role = 'aux' AND s > {TOTAL_CAP} THEN cw * {TOTAL_CAP} // s ELSE cw END AS BIGINT)
@@ -291,10 +340,10 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT p.model, p.family, p.user_id, p.book_id, p.raw_score, p.rnk, w.weight, w.priority, w.role
     FROM preds p JOIN fw w ON p.model = w.model"""),
     "o13_supplementary": (("preds",), f"""
-    SELECT n.* FROM (SELECT * FROM preds WHERE model = 'dspos2' AND rnk <= 10) n
-    LEFT JOIN (SELECT DISTINCT user_id, book_id FROM preds WHERE model IN ('hybrid', {_V5}) AND rnk <= 10) b
-      ON b.user_id = n.user_id AND b.book_id = n.book_id
-    WHERE b.user_id IS NULL"""),
+    SELECT max(model) FILTER (new) AS model, max(family) FILTER (new) AS family, user_id, book_id,
+           max(raw_score) FILTER (new) AS raw_score, max(rnk) FILTER (new) AS rnk
+    FROM (SELECT *, model = 'dspos2' AS new FROM preds WHERE model IN ('dspos2', 'hybrid', {_V5}) AND rnk <= 10)
+    GROUP BY user_id, book_id HAVING bool_and(new)"""),
     "o14_cascade": (("cons2", "picks", "top10", "coldsrc"), """
     SELECT user_id, book_id, score, source FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord ASC, book_id ASC) AS rn FROM (
@@ -305,19 +354,27 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
       WHERE user_id IS NOT NULL AND book_id IS NOT NULL)
     WHERE rn = 1"""),
     "o15_variant_intersection": (("preds",), f"""
-    SELECT user_id, book_id FROM preds WHERE model IN ({_SUB3}) AND family = 'v5' AND rnk <= 10
+    SELECT user_id, book_id, 10 AS variants FROM preds WHERE model IN ({_V5}) AND family = 'v5' AND rnk <= 10
+    GROUP BY user_id, book_id HAVING count(*) = 10
+    UNION ALL
+    SELECT user_id, book_id, 3 FROM preds WHERE model IN ({_SUB3}) AND family = 'v5' AND rnk <= 10
     GROUP BY user_id, book_id HAVING count(*) = 3"""),
     "o16_union_models": (("voters",), "SELECT * FROM voters"),
-    "o17_weighted_vote": (("votes",), "SELECT * FROM votes"),
-    "o18_stable_boost": (("famvotes", "preds", "fw"), f"""
+    "o17_weighted_vote": (("votes", "preds", "fw"), """
+    SELECT *, 'flat' AS positional FROM votes
+    UNION ALL
+    SELECT p.user_id, p.book_id, CAST(sum(w.weight // p.rnk) AS BIGINT), count(*), CAST(min(w.priority) AS INTEGER),
+           'reciprocal'
+    FROM preds p JOIN fw w ON p.model = w.model WHERE p.rnk <= 10 GROUP BY p.user_id, p.book_id"""),
+    "o18_stable_boost": (("famvotes", "preds", "fw"), " UNION ALL ".join(f"""
     SELECT v.user_id, v.book_id,
            CAST(v.score + CASE WHEN s.user_id IS NOT NULL
                 THEN 1 + (SELECT sum(weight) FROM fw WHERE model IN ({_V5})) ELSE 0 END AS BIGINT) AS score,
-           v.support, v.best_priority, s.user_id IS NOT NULL AS stable
+           v.support, v.best_priority, s.user_id IS NOT NULL AS stable, {n} AS variants
     FROM famvotes v LEFT JOIN (
-      SELECT user_id, book_id FROM preds WHERE model IN ({_SUB3}) AND rnk <= 10
-      GROUP BY user_id, book_id HAVING count(*) = 3) s
-      ON v.user_id = s.user_id AND v.book_id = s.book_id"""),
+      SELECT user_id, book_id FROM preds WHERE model IN ({names}) AND rnk <= 10
+      GROUP BY user_id, book_id HAVING count(*) = {n}) s
+      ON v.user_id = s.user_id AND v.book_id = s.book_id""" for names, n in ((_V5, 10), (_SUB3, 3)))),
     "o19_integrate_family": (("p1",), "SELECT * FROM p1"),
     "o20_topk_fusion": (("top10",), "SELECT * FROM top10"),
     "o21_arbitrate": (("arb",), "SELECT * FROM arb"),
@@ -442,12 +499,14 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
            CAST(rn AS INTEGER) AS rnk
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id
                  ORDER BY score DESC, support DESC, best_priority ASC, book_id ASC) AS rn
-          FROM (SELECT l.user_id, l.book_id, CAST(sum(w.weight * (10 - l.rnk + 1) // 10) AS BIGINT) AS score,
+          FROM (SELECT l.user_id, l.book_id, CAST(sum(CAST(floor(w.weight * l.x) AS BIGINT)) AS BIGINT) AS score,
                        count(*) AS support, min(w.priority) AS best_priority
+                FROM (SELECT *, CAST(count(*) OVER (PARTITION BY model, user_id) - rnk + 1 AS DOUBLE)
+                                / count(*) OVER (PARTITION BY model, user_id) AS x
                 FROM (SELECT model, user_id, book_id, rnk FROM poplist
                       UNION ALL SELECT model, user_id, book_id, rnk FROM hist
                       UNION ALL SELECT model, user_id, book_id, rnk FROM coblist
-                      UNION ALL SELECT model, user_id, book_id, rnk FROM emblist) l
+                      UNION ALL SELECT model, user_id, book_id, rnk FROM emblist)) l
                 JOIN lw w ON w.model = l.model WHERE l.rnk <= 10
                 GROUP BY l.user_id, l.book_id))
     WHERE rn <= 10"""),
@@ -591,17 +650,20 @@ BLOCKS["allp"] = (("preds", "poplist", "hist", "coblist", "graph4", "emb4_16", "
     UNION ALL SELECT * FROM graph4 UNION ALL SELECT * FROM emb4_16 UNION ALL SELECT * FROM emb4_32
     UNION ALL SELECT * FROM emb4_64""")
 BLOCKS["emb_w"] = (("allp", "val"), _weights_sql("(SELECT * FROM allp WHERE family = 'emb')", "val", 10, None))
-BLOCKS["fam_emb"] = (("allp", "emb_w"), """
+BLOCKS["embx"] = (("allp",), f"SELECT * FROM {_std_sql("(SELECT * FROM allp WHERE family = 'emb')")}")
+BLOCKS["embiso"] = (("embx", "val"), f"SELECT * FROM {_iso_sql('embx')}")
+BLOCKS["embcal"] = (("embx", "embiso"), f"SELECT * FROM {_iso_at('embx', 'embiso')}")
+BLOCKS["fam_emb"] = (("embcal", "emb_w"), """
     SELECT 'emb' AS model, 'emb' AS family, user_id, book_id, raw_score,
            CAST(row_number() OVER (PARTITION BY user_id
-                ORDER BY raw_score DESC NULLS LAST, book_id ASC) AS INTEGER) AS rnk
-    FROM (SELECT user_id, book_id,
+                ORDER BY raw_score DESC NULLS LAST, scale DESC, book_id ASC) AS INTEGER) AS rnk
+    FROM (SELECT user_id, book_id, scale,
                  CAST(score + CASE WHEN support = 3 THEN 1 + (SELECT sum(weight) FROM emb_w) ELSE 0 END AS DOUBLE)
                  AS raw_score
           FROM (SELECT p.user_id, p.book_id, CAST(sum(w.weight * (10 - p.rnk + 1) // 10) AS BIGINT) AS score,
-                       count(*) AS support
-                FROM allp p JOIN emb_w w ON p.model = w.model
-                WHERE p.family = 'emb' AND p.rnk <= 10 GROUP BY p.user_id, p.book_id)
+                       count(*) AS support, sum(coalesce(p.micro, 0)) AS scale
+                FROM embcal p JOIN emb_w w ON p.model = w.model
+                WHERE p.rnk <= 10 GROUP BY p.user_id, p.book_id)
           WHERE support >= 2)""")
 BLOCKS["voters4"] = (("p1", "fam_emb", "allp"), """
     SELECT * FROM p1 UNION ALL SELECT * FROM fam_emb

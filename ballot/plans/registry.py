@@ -70,7 +70,7 @@ class Ctx:
         return L2.top1(self.votes())
 
     def p1(self) -> DataFrame:
-        return PL.layer1_family(self.preds, self.fw, "v5", variants=V5, k=10, min_support=7)
+        return PL.layer1_family(self.preds, self.fw, "v5", variants=V5, k=10, min_support=7, truth=self.val)
 
     def p2(self) -> DataFrame:
         return PL.layer1_top10(self.preds, self.fw, k=10, validate="lazy")
@@ -157,11 +157,16 @@ def o06_standardize(c: Ctx) -> DataFrame:
     mm = P.standardize(c.preds, "minmax", "model", out="std_minmax")
     mu = P.standardize(mm, "minmax", "model_user", out="std_minmax_user")
     rk = P.standardize(mu, "rank", out="std_rank")
-    return rk.select(MODEL, USER, BOOK, RNK, "std_minmax", "std_minmax_user", "std_rank")
+    zs = P.standardize(rk, "zscore", "model", out="_z")
+    # the engines' deviations differ in the last bit
+    micro = F.floor(F.col("_z") * 1_000_000 + 0.5).cast("long").alias("zscore_micro")
+    return zs.select(MODEL, USER, BOOK, RNK, "std_minmax", "std_minmax_user", "std_rank", micro)
 
 
 def o07_calibrate(c: Ctx) -> DataFrame:
-    return P.calibrate(c.preds, c.val, "bins", 10).select(MODEL, USER, BOOK, "cal_score")
+    """Both methods: bins and isotonic."""
+    both = P.calibrate(P.calibrate(c.preds, c.val, "bins", 10).withColumnRenamed("cal_score", "bin_score"), c.val, "isotonic")
+    return both.select(MODEL, USER, BOOK, F.col("bin_score").alias("cal_score"), F.col("cal_score").alias("iso_score"))
 
 
 def o08_model_weights(c: Ctx) -> DataFrame:
@@ -201,8 +206,14 @@ def o14_cascade(c: Ctx) -> DataFrame:
     return L2.cascade(sources)
 
 
+def _of_all_and_three(of: Callable[[list[str]], DataFrame]) -> DataFrame:
+    parts = [of(v).withColumn("variants", F.lit(len(v))) for v in (V5, SUB3)]
+    return L2.union_models(parts)
+
+
 def o15_variant_intersection(c: Ctx) -> DataFrame:
-    return L1.variant_intersection(c.preds, "v5", k=10, variants=SUB3)
+    """The books that all ten variants list, and those that the first three do."""
+    return _of_all_and_three(lambda v: L1.variant_intersection(c.preds, "v5", k=10, variants=v))
 
 
 def o16_union_models(c: Ctx) -> DataFrame:
@@ -210,18 +221,21 @@ def o16_union_models(c: Ctx) -> DataFrame:
 
 
 def o17_weighted_vote(c: Ctx) -> DataFrame:
-    return c.votes()
+    """Flat Top-1 ballots, and reciprocal Top-10 ballots."""
+    flat = c.votes().withColumn("positional", F.lit("flat"))
+    reciprocal = L2.weighted_vote(c.preds, c.fw, k=10, positional="reciprocal", validate="lazy")
+    return flat.unionByName(reciprocal.withColumn("positional", F.lit("reciprocal")))
 
 
 def o18_stable_boost(c: Ctx) -> DataFrame:
     fam = c.preds.filter(F.col(FAMILY) == "v5")
     votes = L2.weighted_vote(fam, c.fw, k=10, positional="linear")
-    stable = L1.variant_intersection(c.preds, "v5", k=10, variants=SUB3)
-    return L1.stable_boost(votes, stable, L1.family_boost(c.fw, V5))
+    boost = L1.family_boost(c.fw, V5)
+    return _of_all_and_three(lambda v: L1.stable_boost(votes, L1.variant_intersection(c.preds, "v5", k=10, variants=v), boost))
 
 
 def o19_integrate_family(c: Ctx) -> DataFrame:
-    return L1.integrate_family(c.preds, "v5", c.fw, variants=V5, k=10, min_support=7)
+    return L1.integrate_family(c.preds, "v5", c.fw, variants=V5, k=10, min_support=7, truth=c.val)
 
 
 def o20_topk_fusion(c: Ctx) -> DataFrame:
@@ -340,7 +354,7 @@ def o41_model_search(c: Ctx) -> DataFrame:
 
 
 def p1_layer1_family(c: Ctx) -> DataFrame:
-    return PL.layer1_family(c.preds, c.fw, "v5", variants=V5, k=10, min_support=7, stage_path=scratch_path(c.spark, "p1"))
+    return PL.layer1_family(c.preds, c.fw, "v5", variants=V5, k=10, min_support=7, stage_path=scratch_path(c.spark, "p1"), truth=c.val)
 
 
 def p2_layer1_top10(c: Ctx) -> DataFrame:
@@ -371,7 +385,7 @@ def p3_final_vote(c: Ctx) -> DataFrame:
 
 
 def p4_full_run(c: Ctx) -> DataFrame:
-    return PL.full_run(c.preds, c.inter, c.items, c.users, c.fw, aux=FIXTURE_AUX, cap=CAP, total_cap=TOTAL_CAP)
+    return PL.full_run(c.preds, c.inter, c.items, c.users, c.fw, aux=FIXTURE_AUX, cap=CAP, total_cap=TOTAL_CAP, books=c.books)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
