@@ -80,6 +80,13 @@ def standardized(preds: DataFrame) -> DataFrame:
     return standardize(preds, "rank", out="_std").withColumn(RAW, F.col("_std")).select(*PREDICTIONS.fieldNames())
 
 
+def checked(picks: DataFrame, users: DataFrame, books: DataFrame) -> None:
+    """Raise ``ValueError`` unless the picks pass the submission check (O30)."""
+    chk = submission_check(picks, users, books).collect()[0]
+    if any(chk[c] for c in ("missing", "duplicate_users", "null_keys", "unknown_books", "unknown_users")):
+        raise ValueError(f"submission check failed: {chk.asDict()}")
+
+
 def final_vote(
     voters: DataFrame,
     truth_val: DataFrame,
@@ -93,6 +100,7 @@ def final_vote(
     books: DataFrame | None = None,
     out_path: str | None = None,
     stage_path: str | None = None,
+    standardize_voters: bool = True,
 ) -> FinalVote:
     """P3: standardised voters, weights from validation, capped aux weights,
     flat Top-1 vote, arbitration and the cascade consensus -> vote -> Top-10 ->
@@ -102,10 +110,12 @@ def final_vote(
     ``stage_path`` the voters and the picks are written once each and read
     back: the weights, the vote, the check and the submission read stages
     instead of recomputing the voters' lineage.  ``picks`` are then those of
-    the submission, read back.
+    the submission, read back.  Voters already standardised are told by
+    ``standardize_voters``.
     """
     spark = voters.sparkSession
-    voters = _stage(standardized(voters), f"{stage_path}/voters" if stage_path else None)
+    voters = standardized(voters) if standardize_voters else voters
+    voters = _stage(voters, f"{stage_path}/voters" if stage_path else None)
     w = model_weights(voters, truth_val, k=1, aux=aux)
     if cap is not None:
         w = cap_weights(w, cap, total_cap)
@@ -122,9 +132,7 @@ def final_vote(
         picks = spark.read.parquet(f"{stage_path}/picks")
     if out_path:
         if books is not None:
-            chk = submission_check(picks, users, books).collect()[0]
-            if any(chk[c] for c in ("missing", "duplicate_users", "null_keys", "unknown_books", "unknown_users")):
-                raise ValueError(f"submission check failed: {chk.asDict()}")
+            checked(picks, users, books)
         write_submission(picks, out_path)
         picks = read_submission(spark, out_path).join(picks, [USER, BOOK])
     return FinalVote(picks=picks, weights=w, votes=votes)

@@ -23,10 +23,12 @@ from ballot.operators import learn as LR
 from ballot.operators import prepare as P
 from ballot.operators import weights as W
 from ballot.plans import ensemble as PL
+from ballot.plans import files as FP
 from ballot.schema import AUX, BACKBONE, BOOK, FAMILY, MODEL, PREDICTIONS, RNK, USER, VOTES, WEIGHTS
 from ballot.session import scratch_path
 from ballot.sources import io as IO
 from ballot.sources import tables as TB
+from ballot.sources.catalog import Stage, StageCatalog
 from ballot.sources.fixture import FIXTURE_AUX, FIXTURE_MODELS, LIST_DEPTH, V5, fixture_weights, planted_predictions
 
 # Fixed parameters of the registered queries.
@@ -57,12 +59,6 @@ class Ctx:
         self.raw = planted_predictions(self.spark, self.sf, self.truth)
         self.preds = P.conform(self.raw, list_bound=LIST_DEPTH)
 
-    def stage_holdout(self) -> None:
-        """Write truth (with split) and train once.  Queries that read them
-        in many branches then scan the stage instead of re-running the
-        orders x line-items join and the last-borrow window in each branch."""
-        self._derive(*PL.stage_holdout(self.inter, scratch_path(self.spark, "holdout")))
-
     def votes(self) -> DataFrame:
         return L2.weighted_vote(self.preds, self.fw, k=1, validate="lazy")
 
@@ -353,39 +349,48 @@ def o41_model_search(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------------ pipelines
 
 
+def _model_files(c: Ctx) -> list[tuple[str, str, str]]:
+    """The planted lists as one CSV folder a model: the pipelines' input files."""
+    base = scratch_path(c.spark, "models")
+    c.raw.select(MODEL, USER, BOOK, "raw_score").write.partitionBy(MODEL).option("header", True).csv(base)
+    return [(m[1], m[2], f"{base}/model={m[1]}") for m in FIXTURE_MODELS]
+
+
+def _weight_rows(c: Ctx) -> list[tuple]:
+    """The fixture's weights: one row a model."""
+    return [tuple(r) for r in c.fw.select(*WEIGHTS.fieldNames()).collect()]
+
+
+def _holdout(c: Ctx, catalog: StageCatalog) -> tuple[Stage, Stage, Stage]:
+    tables = catalog.sources({t: f"{c.sf}/{t}.parquet" for t in ("orders", "lineitem", "customer")})
+    return FP.holdout_stages(catalog, list(tables.values()), c.inter, c.users)
+
+
 def p1_layer1_family(c: Ctx) -> DataFrame:
-    return PL.layer1_family(c.preds, c.fw, "v5", variants=V5, k=10, min_support=7, stage_path=scratch_path(c.spark, "p1"), truth=c.val)
+    """From the variants' files to the family's stage."""
+    catalog = StageCatalog(c.spark, scratch_path(c.spark, "p1"))
+    validation, _, _ = _holdout(c, catalog)
+    lists = FP.model_lists(catalog, [s for s in _model_files(c) if s[1] == "v5"], list_bound=LIST_DEPTH)
+    return FP.family_from_files(catalog, lists, V5, "v5", _weight_rows(c), validation).frame
 
 
 def p2_layer1_top10(c: Ctx) -> DataFrame:
-    return PL.layer1_top10(c.preds, c.fw, k=10, stage_path=scratch_path(c.spark, "p2"), validate="lazy")
+    """From all models' files to the Top-10 baseline's stage."""
+    catalog = StageCatalog(c.spark, scratch_path(c.spark, "p2"))
+    lists = FP.model_lists(catalog, _model_files(c), list_bound=LIST_DEPTH)
+    return FP.top10_from_files(catalog, lists, _weight_rows(c)).frame
 
 
 def p3_final_vote(c: Ctx) -> DataFrame:
-    # Layer 2 reads stage files: the holdout and the conformed lists are
-    # written once; P1, the voters, the weights, the Top-10 baseline and the
-    # cold-start sources all read those stages.
-    c.stage_holdout()
-    c.preds = PL.stage(c.preds, scratch_path(c.spark, "p3-lists"))
-    fv = PL.final_vote(
-        c.voters(),
-        c.val,
-        c.users,
-        c.train,
-        aux=FIXTURE_AUX,
-        cap=CAP,
-        total_cap=TOTAL_CAP,
-        m=2,
-        top10=c.p2(),
-        books=c.books,
-        out_path=scratch_path(c.spark, "p3-submission"),
-        stage_path=scratch_path(c.spark, "p3"),
-    )
-    return fv.picks
+    """From all models' files to the checked submission, read back."""
+    catalog = StageCatalog(c.spark, scratch_path(c.spark, "p3"))
+    out = scratch_path(c.spark, "p3-submission")
+    return FP.run_files(catalog, _model_files(c), "v5", _weight_rows(c), _holdout(c, catalog), c.books, out, FIXTURE_AUX, CAP, TOTAL_CAP, LIST_DEPTH)
 
 
 def p4_full_run(c: Ctx) -> DataFrame:
-    return PL.full_run(c.preds, c.inter, c.items, c.users, c.fw, aux=FIXTURE_AUX, cap=CAP, total_cap=TOTAL_CAP, books=c.books)
+    planted = P.conform(IO.read_predictions(c.spark, _model_files(c)), list_bound=LIST_DEPTH)
+    return PL.full_run(planted, c.inter, c.items, c.users, c.fw, aux=FIXTURE_AUX, cap=CAP, total_cap=TOTAL_CAP, books=c.books)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
