@@ -45,3 +45,19 @@ def components(edges: DataFrame) -> DataFrame:
         if state == then:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) of the components ``comp`` joined by further ``links`` (a, b).
+
+    Only the links between components, which are few, go through the rounds.
+    """
+    if comp is None:
+        return staged(components(links), "comp")
+    of = comp.select("node", F.col("comp").alias("_c"))
+    ends = links.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    ends = ends.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("_c", "b").alias("b"))
+    to = staged(components(ends).select(F.col("node").alias("_c"), F.col("comp").alias("_to")), "comp-to")
+    old = comp.join(to.withColumnRenamed("_c", "comp"), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    new = to.join(comp.select(F.col("node").alias("_c")), "_c", "left_anti").select(F.col("_c").alias("node"), F.col("_to").alias("comp"))
+    return staged(old.unionByName(new), "comp")

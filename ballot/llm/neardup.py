@@ -49,14 +49,14 @@ from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast
 from ballot.llm import words as W
-from ballot.llm.graph import components, staged
+from ballot.llm.graph import merged, staged
 
 SKETCH_BITS = 512
 #: Bits of the parity bitmap of a full set.
 PARITY_BITS = 1024
 #: Rows of (id, class) that are sent to all tasks at most; beyond it they are shuffled.
 MAX_BROADCAST = 1_000_000
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 _S = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _T = [f"t{i}" for i in range(PARITY_BITS // 64)]
 
@@ -192,7 +192,7 @@ def _links(members: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
     weights = members.join(sizes, "band").groupBy("node").agg(F.sum("_c").alias("weight"))
     free = F.lit(False).alias("was_hub")
     open_ = staged(members.join(weights, "node").select("band", "node", "weight", F.col("node").alias("comp"), free), "near-open")
-    links, tested, comp = None, None, None
+    tested, comp = None, None
     for _ in range(HUB_ROUNDS):
         best = F.max_by(F.struct("node", "comp"), F.struct("weight", "node"))
         hubs = open_.filter("not was_hub").groupBy("band").agg(best.alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
@@ -206,8 +206,7 @@ def _links(members: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = found.limit(1).count()
         if new:
-            links = found if links is None else links.unionByName(found)
-            comp = staged(components(links), "near-comp")
+            comp = merged(comp, found)
         now = met.withColumn("was_hub", F.col("was_hub") | (F.col("node") == F.col("hub"))).drop("hub", "hub_comp")
         if new:
             now = now.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -226,9 +225,7 @@ def _links(members: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den:
     pairs = rest.filter("comp <> main").alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & differ & _close(num, den, samples) & once)
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).join(tested, ["a", "b"], "left_anti")
     found = _confirm(pairs, sets, num, den)
-    if not found.limit(1).count():
-        return comp
-    return staged(components(found if links is None else links.unionByName(found)), "near-comp")
+    return merged(comp, found) if found.limit(1).count() else comp
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, num: int = 85, den: int = 100, rows: int = 8, bands: int = 48) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast
 from ballot.llm import words as W
-from ballot.llm.graph import components, staged
+from ballot.llm.graph import merged, staged
 
 #: Counts behind the global order.
 BUCKETS = 1 << 18
@@ -249,7 +249,7 @@ def linked_classes(nodes: DataFrame, members: DataFrame, paths_of, num: int, den
     pairs = staged(met.distinct(), "join-hubs")
     near = _sharing(pairs, members, num, den)
     links = _walked(near, paths_of(near), num, den)
-    comp = staged(components(links), "join-comp") if links.limit(1).count() else None
+    comp = merged(None, links) if links.limit(1).count() else None
 
     # doors that hold several components
     if comp is None:
@@ -271,16 +271,7 @@ def linked_classes(nodes: DataFrame, members: DataFrame, paths_of, num: int, den
     more = _walked(rest, paths_of(rest), num, den)
     if not more.limit(1).count():
         return comp
-    if comp is None:
-        return staged(components(more), "join-comp")
-    # links between components, which are few
-    of = comp.select("node", F.col("comp").alias("_c"))
-    ends = more.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("_c", "a").alias("a"), "b")
-    ends = ends.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("_c", "b").alias("b"))
-    merged = staged(components(ends).select(F.col("node").alias("_c"), F.col("comp").alias("_to")), "join-merged")
-    old = comp.join(merged.withColumnRenamed("_c", "comp"), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
-    alone = merged.join(comp.select(F.col("node").alias("_c")), "_c", "left_anti").select(F.col("_c").alias("node"), F.col("_to").alias("comp"))
-    return staged(old.unionByName(alone), "join-comp")
+    return merged(comp, more)
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100, buckets: int = BUCKETS) -> DataFrame:
