@@ -303,7 +303,8 @@ def test_passages_inside_lines_are_found_and_clean_texts_left(spark):
     clean = [(i, text_of(rng, 150)) for i in range(50)]
     shared = [(100 + i, f"{text_of(rng, 37)[:-1]} {passage} {text_of(rng, 41)}") for i in range(5)]
     docs = spark.createDataFrame(clean + shared, "doc_id long, text string")
-    assert {r.doc_id for r in substring.removed_units(docs).collect()} == {101, 102, 103, 104}
+    assert {r.doc_id for r in substring.removed_units(docs, unit="sentence", min_chars=40).collect()} == {101, 102, 103, 104}
+    assert {r.doc_id for r in substring.removed(docs).collect()} == {101, 102, 103, 104}
 
 
 def test_units_of_awkward_rows(awkward, clashing, empty):
