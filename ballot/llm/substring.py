@@ -21,8 +21,9 @@ Places that agree in both hashes have the same windows, so all but the earliest
 them as they stand; only the earliest place of each surrounding, where one named
 hash has several, is taken apart into windows.  Named hashes that occur once are left out
 before anything else is shuffled.  Sides of joins grow with the corpus, so
-none is broadcast and the plan is the same at every size; a place that a third of
-all documents hold is a join whose large side Spark splits.
+none is broadcast and the plan is the same at every size.  A hash that a third of
+all documents hold is dealt over ``SALTS`` parts by document; aggregates note in a
+bit mask which parts hold it, and the small side is repeated for those alone.
 A window that overlaps its own first occurrence loses only the words beyond it.
 ``removed`` has the units and the passages, told apart by ``kind``; spans may overlap.
 
@@ -54,6 +55,8 @@ LONG_WORDS = 30
 #: Words of the shortest passage that is removed wherever it lies, and of the hashes that lead to it.
 PASSAGE = 50
 GRAM = 26
+#: Parts of a frequent hash; their mask fills a long.
+SALTS = 64
 NO_ID = 2**63 - 1
 _UNIT = {
     "line": re.compile(r"[^\n]+"),
@@ -207,6 +210,21 @@ def _beyond(h: np.ndarray, text: np.ndarray, chars: _Chars, places: tuple[np.nda
     return start
 
 
+def _salt(*names: str):
+    return F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _mask():
+    """The parts that hold a key, as bits."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
+
+
+def _for_parts(df: DataFrame) -> DataFrame:
+    """A row of ``df`` for each part in its mask."""
+    parts = F.expr(f"explode(filter(sequence(0, {SALTS - 1}), i -> (shiftrightunsigned(mask, i) & 1L) = 1L))")
+    return df.withColumn("salt", parts).drop("mask").hint("merge")
+
+
 def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """As ``removed_units``, a row for each removed stretch of repeated windows
     of ``passage`` words; the occurrence that stays is its first window's.
@@ -216,11 +234,14 @@ def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def name(batches):
         for batch in batches:
-            col = batch.column(0)
+            col, part = batch.column(0), batch.column(1).to_numpy()
             for a, b in W.slices(len(col), W.utf8(col)[1]):
                 h, _, _, t, _, _ = _bare_words(col.slice(a, b - a))
-                g, n = np.unique(_places(h, t, passage, gram)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+                g, _, lo, _ = _places(h, t, passage, gram)
+                g, which, n = np.unique(g, return_inverse=True, return_counts=True)
+                mask = np.zeros(len(g), np.int64)
+                np.bitwise_or.at(mask, which, np.int64(1) << part[a + t[lo]].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n), pa.array(mask)], names=["g", "n", "mask"])
 
     def place(batches):
         for batch in batches:
@@ -259,24 +280,28 @@ def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 )
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("t is not null")
-    common = staged(rows.select("t").mapInArrow(name, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g"), "gram-keys")
-    places = rows.mapInArrow(place, "g long, c long, doc long, h long, at int, n int, s int, f int, e int")
-    hits = staged(places.join(common.hint("merge"), "g"), "gram-places")
+    counted = rows.select("t", _salt("doc", "h")).mapInArrow(name, "g long, n long, mask long").groupBy("g").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
+    common = staged(counted.filter("n > 1").select("g", "mask"), "gram-keys")
+    places = rows.mapInArrow(place, "g long, c long, doc long, h long, at int, n int, s int, f int, e int").withColumn("salt", _salt("doc", "h"))
+    hits = staged(places.join(_for_parts(common), ["g", "salt"]), "gram-places")
     # the earliest place of each surrounding, and whether there are later ones
-    classes = hits.groupBy("g", "c").agg(F.min(F.struct("doc", "at", "s", "h", "n")).alias("own"), F.max(F.struct("doc", "at")).alias("last"))
-    classes = staged(classes.select("g", "c", "own", F.expr("own.doc < last.doc or own.at < last.at").alias("later")), "gram-classes")
-    several = classes.groupBy("g").count().filter("count > 1").select("g")
-    apart = classes.join(several.hint("merge"), "g").groupBy("own.doc", "own.h").agg(F.collect_list(F.struct("own.at", "own.n", "g", "c")).alias("places"))
+    classes = hits.groupBy("g", "c").agg(F.min(F.struct("doc", "at", "s", "h", "n")).alias("own"), F.max(F.struct("doc", "at")).alias("last"), _mask())
+    classes = staged(classes.select("g", "c", "own", "mask", F.expr("own.doc < last.doc or own.at < last.at").alias("later")), "gram-classes")
+    each = classes.select("g", "c", "own", _salt("c"))
+    several = _for_parts(each.groupBy("g").agg(F.count("*").alias("n"), _mask()).filter("n > 1").select("g", "mask"))
+    apart = each.join(several, ["g", "salt"]).groupBy("own.doc", "own.h").agg(F.collect_list(F.struct("own.at", "own.n", "g", "c")).alias("places"))
     near = rows.join(apart.hint("merge"), ["doc", "h"]).select("doc", "h", "t", "places")
-    windows = staged(near.mapInArrow(window, "k long, doc long, h long, at int, s int, f int, e int, g long, c long, top boolean"), "windows")
-    first = windows.groupBy("k").agg(F.min(F.struct("doc", "at", "s")).alias("own"), F.max(F.struct("doc", "at")).alias("last")).filter("own.doc < last.doc or own.at < last.at")
-    twice = staged(first.select("k", F.col("own.doc").alias("own"), F.col("own.at").alias("own_at"), F.col("own.s").alias("kept")), "window-keys")
-    again = staged(windows.join(twice.hint("merge"), "k").filter("doc > own or (doc = own and at > own_at)").drop("k", "at", "s", "own_at"), "window-repeats")
+    windows = near.mapInArrow(window, "k long, doc long, h long, at int, s int, f int, e int, g long, c long, top boolean")
+    windows = staged(windows, "windows").withColumn("salt", _salt("doc", "h"))
+    first = windows.groupBy("k").agg(F.min(F.struct("doc", "at", "s")).alias("own"), F.max(F.struct("doc", "at")).alias("last"), _mask())
+    first = first.filter("own.doc < last.doc or own.at < last.at").select("k", F.col("own.doc").alias("own"), F.col("own.at").alias("own_at"), F.col("own.s").alias("kept"), "mask")
+    twice = _for_parts(staged(first, "window-keys"))
+    again = staged(windows.join(twice, ["k", "salt"]).filter("doc > own or (doc = own and at > own_at)").drop("k", "salt", "at", "s", "own_at"), "window-repeats")
     # where the first window of a surrounding is kept
     top = again.filter("top").groupBy("g", "c").agg(F.min(F.struct("own", "kept")).alias("kept"))
     kept = classes.filter("later").join(top.hint("merge"), ["g", "c"], "left")
-    kept = kept.select("g", "c", "own", F.coalesce("kept.own", "own.doc").alias("kept_doc"), F.coalesce("kept.kept", "own.s").alias("kept"))
-    later = hits.join(kept.hint("merge"), ["g", "c"]).filter("doc > own.doc or (doc = own.doc and at > own.at)")
+    kept = kept.select("g", "c", "own", "mask", F.coalesce("kept.own", "own.doc").alias("kept_doc"), F.coalesce("kept.kept", "own.s").alias("kept"))
+    later = hits.join(_for_parts(kept), ["g", "c", "salt"]).filter("doc > own.doc or (doc = own.doc and at > own.at)")
     spans = later.select("doc", "h", "f", "e", F.col("kept_doc").alias("own"), "kept").unionByName(again.select("doc", "h", "f", "e", "own", "kept")).distinct()
     # the spans of one text, in order: stretches that overlap are one row
     order = Window.partitionBy("doc", "h").orderBy("f", "e", "own", "kept")

@@ -367,6 +367,18 @@ def test_passages_equal_brute_force_of_word_windows(spark):
     assert [tuple(r)[:5] for r in substring.removed(lines).collect()] == [(2, 6, 6 + len(verse[0]), 1, 0)]
 
 
+def test_a_passage_of_a_third_of_all_texts_is_dealt_over_parts(spark):
+    rng = random.Random(33)
+    hot, page = sentence(rng, 120), sentence(rng, 200)
+    rows = [(i, f"{sentence(rng, 40)} x{i} {hot} y{i} {sentence(rng, 40)}" if i % 3 == 0 else page if i % 3 == 1 else sentence(rng, 90)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, gone = dict(rows), defaultdict(set)
+    for r in substring.removed_passages(docs).collect():
+        gone[r.doc_id] |= {i for i in range(r.char_start, r.char_end) if texts[r.doc_id][i] != " "}
+        assert (r.kept_doc_id, r.kept_start) == ((0, texts[0].index(hot)) if r.doc_id % 3 == 0 else (1, 0))
+    assert dict(gone) == dict(brute_passages(rows)) and len(gone) == 398
+
+
 def test_passages_of_awkward_rows(awkward, clashing, empty):
     assert substring.removed(empty).count() == 0
     gone = substring.removed(clashing)
