@@ -41,6 +41,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -295,7 +297,7 @@ class _Scorer:
                 row[at], row[at + 1] = encode(keys[i]), doc[i].astype("<u4" if docs > _MAX_DOCS else "<u2").tobytes()
         rows = [{"shard": s, "uid": start, "docs": docs, "words": r[0], "word_docs": r[1], "pairs": r[2], "pair_docs": r[3]} for s, r in sorted(sent.items())]
         # the documents themselves travel with any shard's message
-        home = start // _MAX_DOCS % self.m.shards
+        home = _home(start, self.m.shards)
         whole = {"shard": home, "uid": start, "docs": docs, "heads": [{k: v for k, v in zip(_SCORED, row)} for row in zip(*(c.to_pylist() for c in columns))]}
         yield pa.RecordBatch.from_pylist([*rows, whole], schema=_QUERY)
 
@@ -306,6 +308,12 @@ class _Scorer:
         yield 2, pairs, doc, self.m.pair_shard(pairs)
 
 
+def _home(start: int, shards: int) -> int:
+    """The shard whose message carries the documents from uid ``start`` on.
+    Uids of all tasks share their low bits, so they are hashed."""
+    return zlib.crc32(int(start).to_bytes(8, "little")) % shards
+
+
 _HEADS = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
 _QUERY = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("docs", pa.int64()), ("words", pa.binary()), ("word_docs", pa.binary()), ("pairs", pa.binary()), ("pair_docs", pa.binary()), ("heads", _HEADS)])
 _QUERY_SQL = "shard int, uid long, docs long, words binary, word_docs binary, pairs binary, pair_docs binary, heads array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"

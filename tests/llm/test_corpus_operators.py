@@ -255,6 +255,12 @@ def test_shards_are_written(spark, awkward, tmp_path):
     assert spark.read.parquet(path).count() == awkward.count()
 
 
+@pytest.mark.parametrize("shards", [8, 22, 64, 512, 1024])
+def test_document_rows_are_spread_over_all_shards(shards):
+    held = Counter(language_model._home((task << 36) + batch * 4096, shards) for task in range(shards) for batch in range(32))
+    assert len(held) > 0.9 * shards and max(held.values()) < 4 * 32
+
+
 # -------------------------------------------------------- substring dedup
 
 
