@@ -718,6 +718,31 @@ QUERIES["p4_full_run"] = (("voters4", "picks4", "test"), """
                 AS DOUBLE) / (SELECT count(*) FROM test)""")
 
 
+# ---------------------------------------------------------------- O33
+BLOCKS["title_words"] = ((), """
+    SELECT book_id, w FROM (SELECT CAST(p_partkey AS BIGINT) AS book_id,
+           unnest(string_split_regex(lower(coalesce(p_name, '')), '[\\x20\\x09-\\x0D]+')) AS w FROM part)""")
+BLOCKS["title_idf"] = (("title_words",), """
+    SELECT w, CAST(floor(ln((SELECT count(*) + 1 FROM part) / (count(DISTINCT book_id) + 1)) * 1000 + 0.5) AS BIGINT)
+           + 1000 AS idf, md5('0:' || w) AS digest
+    FROM title_words WHERE w <> '' GROUP BY w""")
+BLOCKS["title_hits"] = (("title_idf",), """
+    SELECT w, dim, j * (dim // 8) + (v >> 1) % (dim // 8) AS place, CASE WHEN v % 2 = 1 THEN -idf ELSE idf END AS value
+    FROM (SELECT i.w, i.idf, d.dim, r.j, CAST('0x' || substr(i.digest, CAST(4 * r.j + 1 AS BIGINT), 4) AS BIGINT) AS v
+          FROM title_idf i, (VALUES (64), (128)) d(dim), range(8) r(j))""")
+BLOCKS["title_sums"] = (("title_words", "title_hits"), """
+    SELECT d.dim, CAST(p.p_partkey AS BIGINT) AS book_id, r.place, CAST(coalesce(s.total, 0) AS BIGINT) AS total
+    FROM part p, (VALUES (64), (128)) d(dim), range(128) r(place)
+    LEFT JOIN (SELECT h.dim, t.book_id, h.place, sum(h.value) AS total
+               FROM title_words t JOIN title_hits h ON t.w = h.w GROUP BY h.dim, t.book_id, h.place) s
+      ON s.dim = d.dim AND s.book_id = p.p_partkey AND s.place = r.place
+    WHERE r.place < d.dim""")
+QUERIES["o33_text_embedding"] = (("title_sums",), """
+    SELECT dim, book_id, sqrt(CAST(sum(CAST(total AS HUGEINT) * total) AS DOUBLE)) AS norm,
+           string_agg(CAST(total AS VARCHAR), ',' ORDER BY place) AS sums
+    FROM title_sums GROUP BY dim, book_id""")
+
+
 # ---------------------------------------------------------------- O28 gate
 # Greedy admission as a recursive CTE: the state carries the admitted list and
 # its validation hits; each step votes admitted + the next candidate.

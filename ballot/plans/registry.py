@@ -21,6 +21,7 @@ from ballot.operators import layer1 as L1
 from ballot.operators import layer2 as L2
 from ballot.operators import learn as LR
 from ballot.operators import prepare as P
+from ballot.operators import text as TX
 from ballot.operators import weights as W
 from ballot.plans import ensemble as PL
 from ballot.plans import files as FP
@@ -35,6 +36,7 @@ from ballot.sources.fixture import FIXTURE_AUX, FIXTURE_MODELS, LIST_DEPTH, V5,
 CAP = 150_000  # aux weight cap, micro-votes
 TOTAL_CAP = 400_000  # cap on the sum of aux weights, micro-votes
 SUB3 = ["v5_01", "v5_02", "v5_03"]
+TEXT_DIMS = (64, 128)
 BACKBONE_27 = ["hybrid", "v5_01", "v5_02", "v5_03"]
 CANDIDATES_27 = [m[1] for m in FIXTURE_MODELS if m[1] not in BACKBONE_27]
 LIST_WEIGHTS = [("popular", 300_000, 1, BACKBONE), ("history", 200_000, 2, AUX), ("coborrow", 150_000, 3, AUX), ("emb64", 100_000, 4, AUX)]
@@ -294,7 +296,15 @@ def o32_embedding_variant(c: Ctx) -> DataFrame:
 
 
 def o33_text_embedding(c: Ctx) -> DataFrame:
-    return LR.text_embedding(c.books.select(BOOK, "title"), "title", 64, id_col=BOOK)
+    """Both dimensions the reference names; the exact sums as one string a book."""
+    titles = c.books.select(BOOK, "title")
+    sums = F.array_join(F.transform("sums", lambda x: x.cast("string")), ",")
+    return L2.union_models(
+        [
+            TX.text_embedding(titles, "title", d, id_col=BOOK).select(F.lit(d).alias("dim"), BOOK, "norm", sums.alias("sums"))
+            for d in TEXT_DIMS
+        ]
+    )
 
 
 def o34_popularity_candidates(c: Ctx) -> DataFrame:
