@@ -743,6 +743,27 @@ QUERIES["o33_text_embedding"] = (("title_sums",), """
     FROM title_sums GROUP BY dim, book_id""")
 
 
+# ---------------------------------------------------------------- O40, O41: facts
+BLOCKS["cand_pairs"] = (("poplist", "hist", "coblist", "emblist"), """
+    SELECT DISTINCT user_id, book_id FROM (
+      SELECT user_id, book_id FROM poplist UNION ALL SELECT user_id, book_id FROM hist
+      UNION ALL SELECT user_id, book_id FROM coblist UNION ALL SELECT user_id, book_id FROM emblist)""")
+QUERIES["o40_gbdt_facts"] = (("cand_pairs",), """
+    SELECT user_id, count(*) AS n_books, CAST(sum(book_id) AS BIGINT) AS book_sum, TRUE AS ranks_ok,
+           TRUE AS scores_ok, TRUE AS order_ok, TRUE AS separates
+    FROM cand_pairs GROUP BY user_id""")
+BLOCKS["search_users"] = (("cand_pairs", "val"), """
+    SELECT DISTINCT user_id, CAST('0x' || substr(md5('42:' || user_id), 1, 8) AS BIGINT) % 8 AS fold
+    FROM cand_pairs WHERE user_id IN (SELECT user_id FROM val)""")
+# four points: two go on from folds 2 to 4, one of them from folds 2 to 7
+QUERIES["o41_search_facts"] = (("search_users",), """
+    SELECT CAST(r.rung AS INTEGER) AS rung, CAST(r.points AS BIGINT) AS points, CAST(r.kept AS BIGINT) AS kept,
+           CAST(r.chosen AS BIGINT) AS chosen,
+           (SELECT count(*) FROM search_users WHERE fold BETWEEN 2 AND r.last) AS fit_users,
+           (SELECT count(*) FROM search_users WHERE fold < 2) AS score_users, TRUE AS auc_ok
+    FROM (VALUES (0, 4, 2, 0, 4), (1, 2, 1, 1, 7)) r(rung, points, kept, chosen, last)""")
+
+
 # ---------------------------------------------------------------- O28 gate
 # Greedy admission as a recursive CTE: the state carries the admitted list and
 # its validation hits; each step votes admitted + the next candidate.

@@ -352,10 +352,22 @@ def o40_gbdt_scorer(c: Ctx) -> DataFrame:
     return LR.gbdt_scorer(_staged_features(c), c.val, seed=42, max_iter=10, max_depth=3)
 
 
+def o40_gbdt_facts(c: Ctx) -> DataFrame:
+    """What any right scorer's lists meet, user by user."""
+    path = scratch_path(c.spark, "scored")
+    IO.write_stage(o40_gbdt_scorer(c), path)
+    return LR.scorer_facts(c.spark.read.parquet(path), c.val)
+
+
 def o41_model_search(c: Ctx) -> DataFrame:
     return LR.model_search(_staged_features(c), c.val, {"maxDepth": [2, 3], "maxIter": [5, 10]}, seed=42)
 
 
+def o41_search_facts(c: Ctx) -> DataFrame:
+    """What any right search meets, rung by rung."""
+    return LR.search_facts(o41_model_search(c))
+
+
 # ------------------------------------------------------------------ pipelines
 
 

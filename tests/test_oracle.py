@@ -28,6 +28,8 @@ NAMES = [
     "o37_hybrid_candidates",
     "o38_cold_start_fill",
     "o39_assemble_features",
+    "o40_gbdt_facts",
+    "o41_search_facts",
     "p1_layer1_family",
     "p2_layer1_top10",
     "p3_final_vote",
