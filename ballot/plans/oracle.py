@@ -47,7 +47,7 @@ def _coborrow_sql(src: str, window: int = 5, neighbours: int = 20) -> str:
     WHERE rnk <= 10"""
 
 
-def _graph_sql(src: str, model: str = "graph", window: int = 2) -> str:
+def _graph_sql(src: str, model: str = "graph", window: int = 2, k: int = 10) -> str:
     """O31 over the borrows ``src``."""
     return f"""
     SELECT '{model}' AS model, 'graph' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
@@ -63,7 +63,7 @@ def _graph_sql(src: str, model: str = "graph", window: int = 2) -> str:
         JOIN {_sequence_sql(src, "user_id", "book_id")} c
           ON c.user_id = r.u2 AND c.pos <> b.pos AND abs(c.pos - b.pos) <= {window}
         GROUP BY r.user_id, c.book_id))
-    WHERE rnk <= 10"""
+    WHERE rnk <= {k}"""
 
 
 def _std_sql(src: str) -> str:
@@ -718,6 +718,42 @@ QUERIES["p4_full_run"] = (("voters4", "picks4", "test"), """
                 AS DOUBLE) / (SELECT count(*) FROM test)""")
 
 
+# ---------------------------------------------------------------- O31 in layers
+BLOCKS["net"] = (("inter",), "SELECT DISTINCT user_id, book_id FROM inter")
+BLOCKS["net_pool"] = (("inter",), _graph_sql("inter", k=50))
+BLOCKS["net_b0"] = (("net", "emb"), """
+    SELECT book_id, pos, q FROM emb WHERE pos < 16 AND book_id IN (SELECT book_id FROM net)""")
+for _l in (1, 2, 3):
+    for _to, _from, _key, _src in (("u", f"net_b{_l - 1}", "user_id", "book_id"), ("b", f"net_u{_l}", "book_id", "user_id")):
+        BLOCKS[f"net_{_to}{_l}"] = (("net", _from), f"""
+    SELECT s.{_key}, s.pos, CAST(s.total AS BIGINT) // d.n AS q
+    FROM (SELECT n.{_key}, v.pos, sum(v.q) AS total FROM net n JOIN {_from} v ON v.{_src} = n.{_src}
+          GROUP BY n.{_key}, v.pos) s
+    JOIN (SELECT {_key}, count(*) AS n FROM net GROUP BY {_key}) d ON d.{_key} = s.{_key}""")
+
+
+def _layers_sql(layers: int) -> str:
+    union = lambda t, first: " UNION ALL ".join(f"SELECT * FROM net_{t}{i}" for i in range(first, layers + 1))
+    return f"""
+    SELECT 'graph_l{layers}' AS model, 'graph' AS family, user_id, book_id, CAST(score AS DOUBLE) AS raw_score,
+           CAST(rnk AS INTEGER) AS rnk
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id ASC) AS rnk
+          FROM (SELECT p.user_id, p.book_id, CAST(coalesce(sum(u.q * b.q), 0) AS BIGINT) AS score
+                FROM net_pool p
+                LEFT JOIN (SELECT user_id, pos, CAST(sum(q) AS BIGINT) AS q FROM ({union("u", 1)}) GROUP BY user_id, pos) u
+                  ON u.user_id = p.user_id
+                LEFT JOIN (SELECT book_id, pos, CAST(sum(q) AS BIGINT) AS q FROM ({union("b", 0)}) GROUP BY book_id, pos) b
+                  ON b.book_id = p.book_id AND b.pos = u.pos
+                GROUP BY p.user_id, p.book_id))
+    WHERE rnk <= 10"""
+
+
+QUERIES["o31_graph_layers"] = (
+    ("net_pool", "net_u1", "net_u2", "net_u3", "net_b1", "net_b2", "net_b3"),
+    f"{_layers_sql(2)} UNION ALL {_layers_sql(3)}",
+)
+
+
 # ---------------------------------------------------------------- O33
 BLOCKS["title_words"] = ((), """
     SELECT book_id, w FROM (SELECT CAST(p_partkey AS BIGINT) AS book_id,

@@ -21,6 +21,7 @@ from ballot.operators import layer1 as L1
 from ballot.operators import layer2 as L2
 from ballot.operators import learn as LR
 from ballot.operators import prepare as P
+from ballot.operators import propagate as PG
 from ballot.operators import text as TX
 from ballot.operators import weights as W
 from ballot.plans import ensemble as PL
@@ -291,6 +292,12 @@ def o31_graph_propagate(c: Ctx) -> DataFrame:
     return C.graph_propagate(c.stage_inter(), k=10)
 
 
+def o31_graph_layers(c: Ctx) -> DataFrame:
+    """Two and three layers of propagation."""
+    inter = c.stage_inter()
+    return L2.union_models([PG.graph_layers(inter, c.items, 16, n, k=10, pool=50) for n in (2, 3)])
+
+
 def o32_embedding_variant(c: Ctx) -> DataFrame:
     return C.embedding_variant(c.items, c.inter, 64, k=10)
 

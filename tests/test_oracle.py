@@ -22,6 +22,7 @@ NAMES = [
     "o27_admission_scenarios",
     "o30_submission_check",
     "o31_graph_propagate",
+    "o31_graph_layers",
     "o32_embedding_variant",
     "o33_text_embedding",
     "o36_coborrow_candidates",
