@@ -6,9 +6,10 @@ priority (INT, 1 = strongest, unique), role ('backbone' | 'aux')``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballot.functions import bounded_broadcast, idiv, scalar_count
@@ -61,6 +62,80 @@ def model_weights(df: DataFrame, truth: DataFrame, k: int = 1, aux: Iterable[str
     )
 
 
+def poisson_limits(bits: int = 16) -> list[int]:
+    """Limits that a uniform number of ``bits`` bits reaches as often as a
+    Poisson(1) count is larger than 0, 1, 2, ...: 2^bits times its distribution."""
+    limits, term, total = [], math.exp(-1), 0.0
+    for j in range(bits):
+        total += term
+        limits.append(math.floor(total * 2**bits))
+        term /= j + 1
+        if limits[-1] >= 2**bits - 1:
+            break
+    return limits
+
+
+def replicate_counts(replicates: int, seed: int) -> Column:
+    """How often a user is drawn in each replicate: one Poisson(1) count for every
+    four hex digits of the md5 of seed, block and user."""
+    limits = poisson_limits()
+    counts = []
+    for r in range(replicates):
+        digits = f"substring(md5(concat('{int(seed)}:{r // 8}:', cast({USER} AS STRING))), {4 * (r % 8) + 1}, 4)"
+        counts.append(f"cast(conv({digits}, 16, 10) AS INT)")
+    at_least = " + ".join(f"cast(v >= {x} AS INT)" for x in limits)
+    return F.expr(f"transform(array({', '.join(counts)}), v -> {at_least})")
+
+
+def bootstrap_weights(
+    df: DataFrame,
+    truth: DataFrame,
+    k: int = 1,
+    aux: Iterable[str] | Mapping = (),
+    replicates: int = 32,
+    drop: int = 2,
+    seed: int = 42,
+) -> DataFrame:
+    """``model_weights`` with a lower bound in place of the plain rate.
+
+    Validation users are drawn again ``replicates`` times by hashed Poisson
+    counts; a replicate's weight is its hits * 10^6 div its users (0 without
+    users).  ``weight`` is the smallest of them after the ``drop`` smallest, so a
+    model that few users test weighs less than one as good on many.  All
+    replicates are sums of one aggregate over one read of the lists.
+    Output: model, hits, n_users, plain, weight, priority, role.
+    """
+    if not 0 <= drop < replicates:
+        raise ValueError("drop must be below replicates")
+    aux = list(aux)
+    each = range(replicates)
+    drawn = truth.select(USER).withColumn("_c", replicate_counts(replicates, seed))
+    sums = [F.coalesce(F.sum(F.get("_c", F.lit(r))), F.lit(0)).cast("long") for r in each]
+    users = drawn.agg(F.array(F.count(F.lit(1)).cast("long"), *sums).alias("_n")).scalar()
+    t = truth.select(USER, F.col(BOOK).alias("_truth"))
+    hit = (F.col(RNK) <= k) & (F.col(BOOK) == F.col("_truth"))
+    rows = df.select(MODEL, "family", USER, BOOK, RNK).join(t, USER, "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    rows = rows.withColumn("_c", F.when(F.col("_hit"), replicate_counts(replicates, seed)))
+    hits = rows.groupBy(MODEL, "family").agg(F.count_if("_hit").cast("long").alias("hits"), F.array(*sums).alias("_h"))
+    hits = hits.withColumn("_n", users)
+    rate = lambda h, n: F.coalesce(idiv(h * MICRO, F.nullif(n, F.lit(0).cast("long"))), F.lit(0)).cast("long")
+    weights = F.array(*[rate(F.get("_h", F.lit(r)), F.get("_n", F.lit(r + 1))) for r in each])
+    n_users = F.get("_n", F.lit(0))
+    out = hits.select(
+        MODEL,
+        "family",
+        "hits",
+        n_users.alias("n_users"),
+        rate(F.col("hits"), n_users).alias("plain"),
+        F.get(F.sort_array(weights), F.lit(drop)).alias(WEIGHT),
+    )
+    # One row per model: a global window over a frame of model-count rows.
+    w = Window.orderBy(F.col(WEIGHT).desc(), F.col("plain").desc(), F.col(MODEL).asc())
+    role = F.when(F.col(MODEL).isin(aux) | F.col("family").isin(aux), F.lit(AUX)).otherwise(F.lit(BACKBONE))
+    priority = F.row_number().over(w).cast("int")
+    return out.select(MODEL, "hits", "n_users", "plain", WEIGHT, priority.alias(PRIORITY), role.alias(ROLE))
+
+
 def cap_weights(weights: DataFrame, cap: int, total_cap: int | None = None) -> DataFrame:
     """Aux models get ``least(weight, cap)``; backbone weights are unchanged.
 

@@ -9,6 +9,8 @@ spelled out wherever it matters.
 
 from __future__ import annotations
 
+import math
+
 from ballot.sources.fixture import FIXTURE_AUX, FIXTURE_MODELS
 
 _FM = ",\n    ".join(f"({i}, '{n}', '{f}', {a}, {w})" for i, n, f, a, w in FIXTURE_MODELS)
@@ -718,6 +720,33 @@ QUERIES["p4_full_run"] = (("voters4", "picks4", "test"), """
                 AS DOUBLE) / (SELECT count(*) FROM test)""")
 
 
+# ---------------------------------------------------------------- O08, bootstrap
+# a count is the number of these limits, 65536 times the Poisson(1) distribution, that four hex digits reach
+_POISSON = " + ".join(
+    f"CAST(v >= {math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)))} AS INTEGER)" for j in range(8)
+)
+BLOCKS["draws"] = (("val",), f"""
+    SELECT user_id, book_id, rep, {_POISSON} AS n
+    FROM (SELECT v.user_id, v.book_id, r.rep,
+                 CAST('0x' || substr(md5('42:' || (r.rep // 8) || ':' || v.user_id), CAST(4 * (r.rep % 8) + 1 AS BIGINT), 4)
+                      AS BIGINT) AS v
+          FROM val v, range(32) r(rep))""")
+BLOCKS["drawn_weights"] = (("draws", "preds"), """
+    SELECT m.model, u.rep, CAST(coalesce(h.n, 0) * 1000000 // u.n AS BIGINT) AS weight
+    FROM (SELECT DISTINCT model FROM preds) m
+    CROSS JOIN (SELECT rep, sum(n) AS n FROM draws GROUP BY rep) u
+    LEFT JOIN (SELECT p.model, d.rep, sum(d.n) AS n FROM preds p
+               JOIN draws d ON d.user_id = p.user_id AND d.book_id = p.book_id WHERE p.rnk <= 1 GROUP BY p.model, d.rep) h
+      ON h.model = m.model AND h.rep = u.rep""")
+QUERIES["o08_bootstrap_weights"] = (("drawn_weights", "weights_val"), """
+    SELECT model, hits, n_users, plain, weight,
+           CAST(row_number() OVER (ORDER BY weight DESC, plain DESC, model ASC) AS INTEGER) AS priority, role
+    FROM (SELECT v.model, v.hits, v.n_users, v.weight AS plain, d.weight, v.role
+          FROM weights_val v
+          JOIN (SELECT model, weight, row_number() OVER (PARTITION BY model ORDER BY weight) AS i FROM drawn_weights) d
+            ON d.model = v.model AND d.i = 3)""")
+
+
 # ---------------------------------------------------------------- O31 in layers
 BLOCKS["net"] = (("inter",), "SELECT DISTINCT user_id, book_id FROM inter")
 BLOCKS["net_pool"] = (("inter",), _graph_sql("inter", k=50))

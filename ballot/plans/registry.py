@@ -172,6 +172,10 @@ def o08_model_weights(c: Ctx) -> DataFrame:
     return W.model_weights(c.preds, c.val, k=1, aux=FIXTURE_AUX)
 
 
+def o08_bootstrap_weights(c: Ctx) -> DataFrame:
+    return W.bootstrap_weights(c.preds, c.val, k=1, aux=FIXTURE_AUX, replicates=32, drop=2, seed=42)
+
+
 def o09_cap_weights(c: Ctx) -> DataFrame:
     w = W.model_weights(c.preds, c.val, k=1, aux=FIXTURE_AUX)
     return W.cap_weights(w, CAP, TOTAL_CAP).select(MODEL, "weight", "priority", "role")

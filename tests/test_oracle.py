@@ -12,6 +12,7 @@ NAMES = [
     "o06_standardize",
     "o07_calibrate",
     "o08_model_weights",
+    "o08_bootstrap_weights",
     "o10_support_filter",
     "o13_supplementary",
     "o15_variant_intersection",
