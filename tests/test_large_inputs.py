@@ -1,5 +1,10 @@
 """Steps whose sides grow with the input: their plans and the paths for hot keys."""
 
+import random
+
+import pytest
+
+from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
 
 
@@ -13,3 +18,22 @@ def test_supplementary_never_broadcasts_the_backbone(spark):
     out = E.supplementary(new, backbone, k=10)
     assert "BroadcastHashJoin" not in _plan(out) and "SortMergeJoin" in _plan(out)
     assert {(r["user_id"], r["book_id"]) for r in out.collect()} == {(1, 2), (None, 3)}
+
+
+def _borrows(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(25), rng.randrange(40), t, rng.randrange(3)) for t in range(400)]
+    rows += [(None, 3, 1, 0), (None, 4, 2, 0), (3, None, 2, 0), (4, None, 9, 1), (None, None, 5, 0), (99, 7, 1, 1)]
+    return spark.createDataFrame(rows, "user_id long, book_id long, ts long, seq long")
+
+
+@pytest.mark.parametrize("make", [C.graph_propagate, C.coborrow_candidates])
+def test_links_packed_by_borrow_and_joined_for_hot_keys_agree(spark, make):
+    train = _borrows(spark)
+    want = sorted(map(str, make(train, hot_rows=1).collect()))
+    assert want and sorted(map(str, make(train).collect())) == want
+
+
+def test_links_beside_a_borrow_need_no_join(spark):
+    assert "Join" not in _plan(C.graph_propagate(_borrows(spark)))
+    assert "Join" not in _plan(C.coborrow_pairs(_borrows(spark)))
