@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from ballot.llm import quality
 from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
+from ballot.operators import prepare as P
 
 
 def _plan(df):
@@ -37,3 +39,25 @@ def test_links_packed_by_borrow_and_joined_for_hot_keys_agree(spark, make):
 def test_links_beside_a_borrow_need_no_join(spark):
     assert "Join" not in _plan(C.graph_propagate(_borrows(spark)))
     assert "Join" not in _plan(C.coborrow_pairs(_borrows(spark)))
+
+
+def test_conform_numbers_its_partitions_by_rows(spark):
+    df = spark.createDataFrame([("m", u, u % 7, 1.0) for u in range(50)], "model string, user_id long, book_id long, raw_score double")
+    big, small = P.conform(df, list_bound=10, rows=20 * P.ROWS_EACH), P.conform(df, list_bound=10)
+    assert "20), REPARTITION_BY_NUM" in _plan(big)
+    assert sorted(map(str, big.collect())) == sorted(map(str, small.collect()))
+
+
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda words: " ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(80))
+    rows = [(i, text("abc" if i % 2 else "xyz"), int(i % 2), 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id long, quality int, toxic int")
+    trusted = labels.filter("quality = 1").select("doc_id")
+    judged = lambda: sorted(map(str, quality.judge(docs, trusted, labels=labels).select("doc_id", "_quality.*").collect()))
+    want = judged()
+    assert sum("kept=True" in r for r in want) == 30
+    monkeypatch.setattr(quality, "FIT", 1, raising=False)
+    monkeypatch.setattr(quality, "LABELS", 1)
+    assert judged() == want
