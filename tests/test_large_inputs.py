@@ -1,13 +1,17 @@
 """Steps whose sides grow with the input: their plans and the paths for hot keys."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from ballot.llm import quality
 from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
 from ballot.operators import prepare as P
+from ballot.session import _FREED
+from ballot.sources.io import write_stage
 
 
 def _plan(df):
@@ -61,3 +65,19 @@ def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
     monkeypatch.setattr(quality, "FIT", 1, raising=False)
     monkeypatch.setattr(quality, "LABELS", 1)
     assert judged() == want
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark, tmp_path):
+    before = _shuffle_files(spark)
+    write_stage(spark.range(10_000).groupBy((F.col("id") % 7).alias("g")).count(), str(tmp_path / "stage"))
+    until = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(_FREED, None) != "true"
+    assert spark.read.parquet(str(tmp_path / "stage")).count() == 7
