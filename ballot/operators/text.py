@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballot.functions.small import bounded_broadcast, scalar_count
+from ballot.functions.small import bounded_broadcast, partitions_for, scalar_count
 
 SPACE = r"[\x20\x09-\x0D]+"
 HITS = 8  # components a token reaches; four hex digits of its md5 each
 IDF_UNIT = 1000
+TEXTS_EACH = 20_000  # texts whose sums a task holds
 
 
 def token_projection(docs: DataFrame, dim: int, hits: int = HITS, seed: int = 0) -> DataFrame:
@@ -52,15 +53,16 @@ def text_embedding(
     key are one text; idf counts rows.
 
     The vocabulary is counted with map-side combination and, within the bound
-    of ``bounded_broadcast``, broadcast: then a text's tokens are summed in the
-    task that reads it, and one row of ``dim`` sums a key is shuffled.  Beyond
-    the bound tokens are joined by sort-merge, where AQE splits a hot token.
+    of ``bounded_broadcast``, broadcast: then the texts are shuffled by key, as many
+    to a task for any input, and summed there.  Beyond the bound tokens are joined by sort-merge, where AQE splits a hot token.
     """
     keys = [id_col] if id_col else [c for c in df.columns if c != text_col]
     words = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), SPACE)
     docs = df.select(*[F.col(f"`{k}`") for k in keys], words.alias("_words"))
     vocabulary = bounded_broadcast(token_projection(docs, dim, hits, seed), cache=True)
-    tokens = docs.select(*[F.col(f"`{k}`") for k in keys], F.explode("_words").alias("_token"))
+    # texts are dealt by key and by their number: a task holds the sums of about TEXTS_EACH of them
+    dealt = docs.repartition(partitions_for(docs, docs.count(), TEXTS_EACH), *[F.col(f"`{k}`") for k in keys])
+    tokens = dealt.select(*[F.col(f"`{k}`") for k in keys], F.explode("_words").alias("_token"))
     block = dim // hits
     sums = []
     for c in range(dim):
