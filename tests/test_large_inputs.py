@@ -6,10 +6,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from ballot import session
 from ballot.llm import quality
 from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
 from ballot.operators import prepare as P
+from ballot.operators import text as TX
+from ballot.plans.registry import QUERIES
 from ballot.session import _FREED
 from ballot.sources.io import write_stage
 
@@ -81,3 +84,30 @@ def test_a_written_stage_leaves_no_shuffle_files(spark, tmp_path):
     assert not left
     assert spark.conf.get(_FREED, None) != "true"
     assert spark.read.parquet(str(tmp_path / "stage")).count() == 7
+
+
+def test_texts_are_dealt_by_their_number(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 90, f"a{i % 7} b{i % 5} c") for i in range(100)] + [(None, "a1 c")], "id long, t string")
+    want = sorted(map(str, TX.text_embedding(docs, "t", 16, id_col="id").collect()))
+    monkeypatch.setattr(TX, "TEXTS_EACH", 5, raising=False)
+    out = TX.text_embedding(docs, "t", 16, id_col="id")
+    assert "21), REPARTITION_BY_NUM" in _plan(out)
+    assert sorted(map(str, out.collect())) == want
+
+
+def test_shuffle_partitions_rise_with_the_rows_and_never_fall(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        session.partitions_by_rows(spark, 7 * session.ROWS_A_PARTITION + 1)
+        assert spark.conf.get(key) == "8"
+        session.partitions_by_rows(spark, 10)
+        assert spark.conf.get(key) == "8"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_lists_read_several_times_are_conformed_once(spark):
+    for name in ("o06_standardize", "o07_calibrate"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan, name  # the planted lists are exploded in the stage's job
