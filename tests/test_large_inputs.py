@@ -1,5 +1,6 @@
 """Steps whose sides grow with the input: their plans and the paths for hot keys."""
 
+import os
 import random
 import time
 
@@ -7,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ballot import session
+from ballot.functions import bounded_broadcast
 from ballot.llm import quality
 from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
+from ballot.operators import learn as LR
 from ballot.operators import prepare as P
 from ballot.operators import text as TX
 from ballot.plans.registry import QUERIES
@@ -43,6 +46,33 @@ def test_links_packed_by_borrow_and_joined_for_hot_keys_agree(spark, make):
     assert want and sorted(map(str, make(train).collect())) == want
 
 
+def test_coborrow_scored_in_slices_leaves_only_its_lists(spark, monkeypatch):
+    base = session.checkpoint_dir(spark).removeprefix("file:")
+    left = lambda: {n for n in os.listdir(base) if n.startswith(("ballot-borrows", "ballot-neighbours"))}
+    want, before = sorted(map(str, C.coborrow_candidates(_borrows(spark)).collect())), left()
+    monkeypatch.setattr(C, "BORROWS_A_SLICE", 100, raising=False)
+    assert sorted(map(str, C.coborrow_candidates(_borrows(spark)).collect())) == want
+    assert left() == before
+
+
+def test_check_of_a_broadcast_side_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    bounded_broadcast(spark.range(10_000).groupBy((F.col("id") % 7).alias("g")).count())
+    until = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+
+
+def test_features_count_pairs_users_and_books(spark):
+    train = spark.createDataFrame([(u, (u * b) % 7, b) for u in range(9) for b in range(4)], "user_id long, book_id long, seq long")
+    train = train.withColumn("ts", F.lit("2020-01-01").cast("timestamp_ntz"))
+    cos = train.select("user_id", "book_id").distinct().withColumn("cosine", F.lit(0.5))
+    out = LR.assemble_features(train, train, None, cos)
+    assert out.count() == train.select("user_id", "book_id").distinct().count()
+    assert out.filter("cosine_missing = 0 and pair_count > 0 and book_count > 0 and user_count = 4").count() == out.count()
+
+
 def test_links_beside_a_borrow_need_no_join(spark):
     assert "Join" not in _plan(C.graph_propagate(_borrows(spark)))
     assert "Join" not in _plan(C.coborrow_pairs(_borrows(spark)))
