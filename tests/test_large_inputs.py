@@ -12,11 +12,15 @@ from ballot.functions import bounded_broadcast
 from ballot.llm import quality
 from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
+from ballot.operators import layer2 as L2
 from ballot.operators import learn as LR
 from ballot.operators import prepare as P
 from ballot.operators import text as TX
+from ballot.operators.weights import weights_frame
 from ballot.plans.registry import QUERIES
+from ballot.schema import PREDICTIONS
 from ballot.session import _FREED
+from ballot.sources import tables as TB
 from ballot.sources.io import write_stage
 
 
@@ -85,6 +89,22 @@ def test_conform_numbers_its_partitions_by_rows(spark):
     assert sorted(map(str, big.collect())) == sorted(map(str, small.collect()))
 
 
+def test_votes_number_their_partitions_by_ballots(spark):
+    preds = spark.createDataFrame([(f"m{u % 3}", "f", u // 3, u % 5, 1.0, 1) for u in range(60)], PREDICTIONS)
+    w = weights_frame(spark, [(f"m{i}", 100, i, "backbone") for i in range(3)])
+    big = L2.weighted_vote(preds, w, validate=False, rows=19 * L2.BALLOTS_EACH + 1)
+    assert "20), REPARTITION_BY_NUM" in _plan(big)
+    assert sorted(map(str, big.collect())) == sorted(map(str, L2.weighted_vote(preds, w, validate=False).collect()))
+
+
+def test_borrows_are_dealt_by_their_number(spark, monkeypatch):
+    want = sorted(map(str, TB.tpch_interactions(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(TB, "LINES_EACH", 100, raising=False)
+    out = TB.tpch_interactions(spark, "/root/testdata/sf0.001")
+    assert want and _plan(out).count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(str, out.collect())) == want
+
+
 def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
     rng = random.Random(3)
     text = lambda words: " ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(80))
