@@ -52,7 +52,7 @@ def test_links_packed_by_borrow_and_joined_for_hot_keys_agree(spark, make):
 
 def test_coborrow_scored_in_slices_leaves_only_its_lists(spark, monkeypatch):
     base = session.checkpoint_dir(spark).removeprefix("file:")
-    left = lambda: {n for n in os.listdir(base) if n.startswith(("ballot-borrows", "ballot-neighbours"))}
+    left = lambda: {n for n in os.listdir(base) if n.startswith(("ballot-borrows", "ballot-links", "ballot-neighbours"))}
     want, before = sorted(map(str, C.coborrow_candidates(_borrows(spark)).collect())), left()
     monkeypatch.setattr(C, "BORROWS_A_SLICE", 100, raising=False)
     assert sorted(map(str, C.coborrow_candidates(_borrows(spark)).collect())) == want
