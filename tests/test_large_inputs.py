@@ -97,11 +97,15 @@ def test_votes_number_their_partitions_by_ballots(spark):
     assert sorted(map(str, big.collect())) == sorted(map(str, L2.weighted_vote(preds, w, validate=False).collect()))
 
 
-def test_borrows_are_dealt_by_their_number(spark, monkeypatch):
-    want = sorted(map(str, TB.tpch_interactions(spark, "/root/testdata/sf0.001").collect()))
-    monkeypatch.setattr(TB, "LINES_EACH", 100, raising=False)
-    out = TB.tpch_interactions(spark, "/root/testdata/sf0.001")
-    assert want and _plan(out).count("REPARTITION_BY_NUM") == 2
+def test_borrows_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    orders = spark.range(40).selectExpr("nullif(id, 7) o_orderkey", "id % 9 o_custkey", "timestamp_ntz '2020-01-01 00:00:00' o_orderdate")
+    lines = spark.range(200).selectExpr("nullif(id % 50, 7) l_orderkey", "id % 11 l_partkey", "cast(id % 7 + 1 as int) l_linenumber")
+    for name, df in (("orders", orders), ("lineitem", lines)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    want = sorted(map(str, TB.tpch_interactions(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(TB, "LINES_EACH", 10, raising=False)
+    out = TB.tpch_interactions(spark, str(tmp_path))
+    assert len(want) == 156 and _plan(out).count("20), REPARTITION_BY_NUM") == 2
     assert sorted(map(str, out.collect())) == want
 
 
