@@ -12,6 +12,7 @@ from ballot.functions import bounded_broadcast
 from ballot.llm import quality
 from ballot.operators import candidates as C
 from ballot.operators import evaluate as E
+from ballot.operators import layer1 as L1
 from ballot.operators import layer2 as L2
 from ballot.operators import learn as LR
 from ballot.operators import prepare as P
@@ -21,6 +22,7 @@ from ballot.plans.registry import QUERIES
 from ballot.schema import PREDICTIONS
 from ballot.session import _FREED
 from ballot.sources import tables as TB
+from ballot.sources.fixture import planted_predictions
 from ballot.sources.io import write_stage
 
 
@@ -165,3 +167,43 @@ def test_lists_read_several_times_are_conformed_once(spark):
     for name in ("o06_standardize", "o07_calibrate"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan, name  # the planted lists are exploded in the stage's job
+
+
+def test_model_files_follow_the_rows_not_the_shuffle_partitions(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    truth = spark.range(300).selectExpr("nullif(id, 7) user_id", "id % 40 book_id")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "60")
+    try:
+        out = planted_predictions(spark, str(tmp_path), truth, parts=3)
+        write_stage(out.select("model", "user_id", "book_id", "raw_score"), f"{tmp_path}/models", fmt="csv", partition_by=["model"])
+        want = sorted(map(str, planted_predictions(spark, str(tmp_path), truth).collect()))
+    finally:
+        spark.conf.set(key, before)
+    files = [f for _, _, names in os.walk(f"{tmp_path}/models") for f in names if f.endswith(".csv")]
+    assert 16 <= len(files) <= 16 + 2
+    assert len(want) == 300 * 160 and sorted(map(str, out.collect())) == want
+
+
+def test_bounded_lists_are_scaled_and_merged_without_a_join_by_list(spark):
+    rows = [(f"m{m}", "f", u, ((u or 0) * m + r) % 9, 1.0, r) for m in range(3) for u in (1, 2, 3, 4, None) for r in range(1, 3 + m)]
+    df = spark.createDataFrame(rows, PREDICTIONS)
+    bounded = P.standardize(df, "rank", list_bound=10)
+    assert "Join" not in _plan(bounded)
+    assert sorted(map(str, bounded.collect())) == sorted(map(str, P.standardize(df, "rank").select(*bounded.columns).collect()))
+
+    w = weights_frame(spark, [(f"m{i}", 100 + i, i, "backbone") for i in range(3)])
+    truth = spark.createDataFrame([(1, 2), (2, 5), (2, 6), (9, 1)], "user_id long, book_id long")
+    merged = lambda bound: L1.integrate_family(df, "f", w, k=3, min_support=1, truth=truth, list_bound=bound)
+    text = _plan(merged(10))
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
+    want = sorted(map(str, merged(None).collect()))
+    assert want and sorted(map(str, merged(10).collect())) == want
+
+
+def test_conform_without_families_needs_no_sorted_aggregate(spark):
+    df = spark.createDataFrame([("m", u % 9, u % 7, float(u)) for u in range(80)], "model string, user_id long, book_id long, raw_score double")
+    out = P.conform(df, list_bound=10)
+    assert "SortAggregate" not in _plan(out)
+    assert sorted(map(str, out.collect())) == sorted(map(str, P.conform(df.withColumn("family", F.col("model")), list_bound=10).collect()))
