@@ -207,3 +207,13 @@ def test_conform_without_families_needs_no_sorted_aggregate(spark):
     out = P.conform(df, list_bound=10)
     assert "SortAggregate" not in _plan(out)
     assert sorted(map(str, out.collect())) == sorted(map(str, P.conform(df.withColumn("family", F.col("model")), list_bound=10).collect()))
+
+
+def test_fallback_books_are_counted_once(spark):
+    users = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "user_id long, grp string")
+    train = spark.sql("SELECT id % 2 + 1 user_id, id % 3 book_id, TIMESTAMP_NTZ'2020-01-01 00:00:00' ts FROM range(7)")
+    group, top = (x for _, x in C.cold_start_sources(users, train))
+    assert "Aggregate" not in _plan(group)  # the groups' books are read from their file
+    assert sorted(map(tuple, top.collect())) == [(1, 0, 3), (2, 0, 3), (3, 0, 3)]
+    none = dict(C.cold_start_sources(users, train.limit(0)))["global_top"]
+    assert sorted(map(tuple, none.collect())) == [(1, None, None), (2, None, None), (3, None, None)]
