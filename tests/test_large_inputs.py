@@ -196,6 +196,8 @@ def test_bounded_lists_are_scaled_and_merged_without_a_join_by_list(spark):
     w = weights_frame(spark, [(f"m{i}", 100 + i, i, "backbone") for i in range(3)])
     truth = spark.createDataFrame([(1, 2), (2, 5), (2, 6), (9, 1)], "user_id long, book_id long")
     merged = lambda bound: L1.integrate_family(df, "f", w, k=3, min_support=1, truth=truth, list_bound=bound)
+    numbered = L1.integrate_family(df, "f", w, k=3, min_support=1, list_bound=10, rows=20 * L2.BALLOTS_EACH)
+    assert "20), REPARTITION_BY_NUM" in _plan(numbered)
     text = _plan(merged(10))
     assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
     want = sorted(map(str, merged(None).collect()))
