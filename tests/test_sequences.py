@@ -1,13 +1,17 @@
 """Steps of O31, O36 and O37 inside a task, against the joins for hot keys and plain Python."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
+from ballot import session
 from ballot.operators import candidates as C
+from ballot.operators import propagate as PG
 from ballot.operators import sequences as S
 from ballot.operators.weights import weights_frame
+from ballot.plans.registry import QUERIES
 from ballot.schema import PREDICTIONS
 
 
@@ -74,3 +78,26 @@ def test_blend_deals_the_lists_once(spark):
     assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in text
     with pytest.raises(ValueError, match="without a weight"):
         C.hybrid_candidates(lists, weights.filter("model = 'a'"), k=3)
+
+
+def _stages(spark, name):
+    base = session.checkpoint_dir(spark).removeprefix("file:")
+    return {n for n in os.listdir(base) if n.startswith(f"ballot-{name}-")}
+
+
+def test_both_depths_read_one_propagation(spark):
+    before = _stages(spark, "pool"), _stages(spark, "layer")
+    QUERIES["o31_graph_layers"](spark, "/root/testdata/sf0.001")
+    # the candidates once; the books before the first of three layers, users and books after each
+    assert len(_stages(spark, "pool") - before[0]) == 1 and len(_stages(spark, "layer") - before[1]) == 7
+
+
+def test_shared_propagation_gives_the_same_lists(spark):
+    rng = random.Random(2)
+    train = spark.createDataFrame([(rng.randrange(9), rng.randrange(14), t) for t in range(120)], "user_id long, book_id long, ts long")
+    items = spark.createDataFrame([(b, [rng.random() for _ in range(4)]) for b in range(11)], "book_id long, embedding array<float>")
+    shared = PG.propagation(train, items, 4, 3, pool=6)
+    for n in (2, 3):
+        assert _rows(PG.graph_layers(train, items, 4, n, 4, 6, shared=shared)) == _rows(PG.graph_layers(train, items, 4, n, 4, 6))
+    with pytest.raises(ValueError, match="3 layers shared"):
+        PG.graph_layers(train, items, 4, 4, 4, 6, shared=shared)
