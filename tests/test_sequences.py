@@ -8,11 +8,15 @@ import pytest
 
 from ballot import session
 from ballot.operators import candidates as C
+from ballot.operators import prepare as P
 from ballot.operators import propagate as PG
 from ballot.operators import sequences as S
 from ballot.operators.weights import weights_frame
+from ballot.plans import ensemble as PL
+from ballot.plans import files
 from ballot.plans.registry import QUERIES
 from ballot.schema import PREDICTIONS
+from ballot.sources.io import read_predictions
 
 
 def _plan(df):
@@ -101,3 +105,50 @@ def test_shared_propagation_gives_the_same_lists(spark):
         assert _rows(PG.graph_layers(train, items, 4, n, 4, 6, shared=shared)) == _rows(PG.graph_layers(train, items, 4, n, 4, 6))
     with pytest.raises(ValueError, match="3 layers shared"):
         PG.graph_layers(train, items, 4, 4, 4, 6, shared=shared)
+
+
+def test_lists_of_one_family_are_conformed_without_it(spark, tmp_path):
+    rows = [(u, (u or 0) * r % 5, float(r)) for u in (1, 2, 3, None) for r in range(4)]
+    for m in ("a1", "a2", "b"):
+        spark.createDataFrame(rows, "user_id long, book_id long, raw_score double").write.option("header", True).csv(f"{tmp_path}/{m}")
+    sources = [(m, m[0], f"{tmp_path}/{m}") for m in ("a1", "a2", "b")]
+    out = files.read_lists(spark, sources, list_bound=4, rows=4)
+    assert "SortAggregate" not in _plan(out)
+    assert _rows(out) == _rows(P.conform(read_predictions(spark, sources), list_bound=4))
+
+    train = spark.sql("SELECT id % 11 user_id, id % 17 book_id, TIMESTAMP_NTZ'2020-01-01 00:00:00' ts, id seq FROM range(60)")
+    items = spark.createDataFrame([(b, [1.0 + b, 2.0]) for b in range(6)], "book_id long, embedding array<float>")
+    users = spark.createDataFrame([(u, "g") for u in range(11)], "user_id long, grp string")
+    lists = PL.candidate_lists(train, items, users, 3)
+    assert not any("SortAggregate" in _plan(x) for x in lists)
+    assert [{r["family"] for r in x.collect()} for x in lists] == [{f} for f in ("popular", "history", "coborrow", "graph", "emb", "emb", "emb")]
+
+
+def test_books_without_a_vector_go_before_the_shuffle(spark, monkeypatch):
+    train = spark.sql("SELECT nullif(id % 5, 4) user_id, nullif(id % 7, 6) book_id FROM range(60)")
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, -1.0]), (3, None), (None, [1.0, 1.0])], "book_id long, embedding array<float>")
+    out = C.embedding_variant(items, train, 2)
+    assert "LeftSemi" in _plan(out)
+    want = _rows(out)
+    monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", 1)
+    plain = C.embedding_variant(items, train, 2)
+    assert "LeftSemi" not in _plan(plain) and want and _rows(plain) == want
+
+
+def test_full_run_takes_the_holdout_and_bounds_its_lists(spark):
+    rng = random.Random(7)
+    inter = spark.createDataFrame([(rng.randrange(12), rng.randrange(9), t, t) for t in range(150)], "user_id long, book_id long, t int, seq long")
+    inter = inter.selectExpr("user_id", "book_id", "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(t) ts", "seq")
+    books = spark.createDataFrame([(b,) for b in range(9)], "book_id long")
+    items = spark.createDataFrame([(b, [rng.random() for _ in range(64)]) for b in range(8)], "book_id long, embedding array<float>")
+    users = spark.createDataFrame([(u, "gh"[u % 2]) for u in range(12)], "user_id long, grp string")
+    names = [("v5_a", "v5"), ("v5_b", "v5"), ("x", "x")]
+    planted = P.conform(spark.createDataFrame([(m, f, u, (u * 3 + r * r) % 9, float(-r)) for m, f in names for u in range(12) for r in range(4)], "model string, family string, user_id long, book_id long, raw_score double"), list_bound=4)
+    weights = weights_frame(spark, [(m, 100 + i, i, "backbone") for i, (m, _) in enumerate(names)])
+    run = lambda **kw: PL.full_run(planted, inter, items, users, weights, aux=["x"], cap=50, books=books, **kw).collect()
+    want = sorted(map(str, run()))
+    base = session.scratch_path(spark, "holdout")
+    holdout = PL.stage_holdout(inter, base)
+    work = session.scratch_path(spark, "full-run")
+    assert want and sorted(map(str, run(holdout=holdout, list_bound=4, rows=144, work_dir=work))) == want
+    assert {"truth", "train"}.isdisjoint(os.listdir(work.removeprefix("file:")))
